@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, small
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on the executors' disks; log files are not allocated ahead, for there are many small stores.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -47,8 +51,9 @@ def ingest(spark: SparkSession, path: str, state: str, digest: Callable[[Column]
     best = F.max(F.struct("len", (-F.col("doc_id")).alias("neg_id"), "file", "row"))  # nulls are the least
     path = f"{path[:-1]}[{path[-1]}]"  # as a pattern, it may name one file or a folder
     keyed = _rows(reader.parquet(path), digest).groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             keyed.writeStream.outputMode("update")
@@ -59,7 +64,8 @@ def ingest(spark: SparkSession, path: str, state: str, digest: Callable[[Column]
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     try:
         changes = spark.read.parquet(f"{state}/changes")
     except Exception as e:  # no batch has run: there were no files or no rows
