@@ -6,7 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, near_dedup, quality, token_codes
+from . import decontaminate, exact_dedup, mixing, near_dedup, quality, token_codes, wrapper
+
+
+# The weights of mixing.Recipe, family by family; a family's level is found as there.
+MIXING_SQL = r"""
+    WITH m AS (SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+                      ['web', 'books', 'forums', 'reference'][1 + coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS BIGINT), 0) % 4] AS domain,
+                      CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+               FROM documents),
+         leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM m GROUP BY ALL),
+         d0 AS (SELECT domain, CAST(sum(tokens) * 4 AS BIGINT) AS cap, CASE domain WHEN 'web' THEN 0.4::DOUBLE WHEN 'books' THEN 0.3::DOUBLE WHEN 'forums' THEN 0.1::DOUBLE WHEN 'reference' THEN 0.2::DOUBLE ELSE 1::DOUBLE END AS w,
+                       (SELECT CAST(sum(tokens) AS DOUBLE) FROM leaf) AS budget FROM leaf GROUP BY domain),
+         d1 AS (SELECT *, (budget - (sum(cap) OVER (ORDER BY cap / w, domain) - cap)) / sum(w) OVER (ORDER BY cap / w DESC, domain DESC) AS lv FROM d0),
+         d2 AS (SELECT domain, least(CAST(cap AS DOUBLE), w * max(lv) OVER ()) AS budget FROM d1),
+         l0 AS (SELECT domain, lang, CAST(sum(tokens) * 4 AS BIGINT) AS cap, CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 0.2::DOUBLE WHEN 'fr' THEN 0.2::DOUBLE WHEN 'es' THEN 0.1::DOUBLE ELSE 1::DOUBLE END AS w FROM leaf GROUP BY domain, lang),
+         l1 AS (SELECT l0.*, (budget - (sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, lang) - cap)) / sum(w) OVER (PARTITION BY domain ORDER BY cap / w DESC, lang DESC) AS lv FROM l0 JOIN d2 USING (domain)),
+         l2 AS (SELECT domain, lang, least(CAST(cap AS DOUBLE), w * max(lv) OVER (PARTITION BY domain)) AS budget FROM l1),
+         s0 AS (SELECT domain, lang, source, tokens, tokens * 4 AS cap, 1::DOUBLE AS w FROM leaf),
+         s1 AS (SELECT s0.*, (budget - (sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / w, source) - cap)) / sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w DESC, source DESC) AS lv FROM s0 JOIN l2 USING (domain, lang)),
+         s2 AS (SELECT domain, lang, source, tokens AS all_tokens, CAST(floor(round(least(CAST(cap AS DOUBLE), w * max(lv) OVER (PARTITION BY domain, lang)), 6)) AS BIGINT) AS budget FROM s1),
+         s3 AS (SELECT *, CASE WHEN all_tokens > 0 THEN budget // all_tokens ELSE 0 END AS full_epochs FROM s2),
+         k AS (SELECT m.*, full_epochs, budget - full_epochs * all_tokens AS rest,
+                      CAST('0x' || substr(md5('17|' || full_epochs || '|' || doc_id), 1, 15) AS BIGINT) AS key
+               FROM m JOIN s3 USING (domain, lang, source)),
+         t AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id) - tokens AS start FROM k)
+    SELECT doc_id, domain, lang, source, tokens AS n_tokens, CAST(full_epochs AS BIGINT) AS full_epochs,
+           CAST(greatest(0, least(tokens, rest - start)) AS BIGINT) AS last_tokens,
+           CAST(full_epochs * tokens + greatest(0, least(tokens, rest - start)) AS BIGINT) AS taken
+    FROM t"""
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,12 +63,21 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(spark, _read(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(spark, _read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_codes, op5_quality, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_codes, op5_quality, op7_exact_dedup, op8_mixing, op9_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_mixing": MIXING_SQL,
         "op2_decontaminate": r"""
             WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
                  b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
