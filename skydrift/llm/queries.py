@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, quality, token_codes, wrapper
+from . import decontaminate, exact_dedup, mixing, near_dedup, quality, suffix_dedup, token_codes, wrapper
 
 
 # The weights of mixing.Recipe, family by family; a family's level is found as there.
@@ -59,6 +59,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(spark, _read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -72,7 +76,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_codes, op5_quality, op7_exact_dedup, op8_mixing, op9_main_text)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_codes, op5_quality, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
