@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, quality, suffix_dedup, token_codes, wrapper
+from . import decontaminate, exact_dedup, license_scan, mixing, near_dedup, quality, suffix_dedup, token_codes, wrapper
 
 
 # The weights of mixing.Recipe, family by family; a family's level is found as there.
@@ -49,6 +49,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,7 +80,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op4_token_codes, op5_quality, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_main_text)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_license_scan, op4_token_codes, op5_quality, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
