@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, license_scan, mixing, near_dedup, quality, suffix_dedup, token_codes, wrapper
+from . import context_mixing, decontaminate, exact_dedup, license_scan, mixing, near_dedup, quality, suffix_dedup, token_codes, wrapper
 
 
 # The weights of mixing.Recipe, family by family; a family's level is found as there.
@@ -79,8 +79,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(spark, _read(spark, sf_dir, "pages"))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(spark, _read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_license_scan, op4_token_codes, op5_quality, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_main_text)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_license_scan, op4_token_codes, op5_quality, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_main_text, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
