@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Workspace, small
+from .common import Workspace, small
 from .shingles import U, mix
 
 LENGTH, GRAM = 400, 64
@@ -267,9 +267,7 @@ def intervals(docs: DataFrame, work: Workspace, batch_bytes: int = 2 << 20, wide
     open_spans = spans.join(small(grams, 24), "gram")
     wants = open_spans.select("one.id", "one.tkey", F.struct("gram", "span", "one.rel", "one.first", "one.last").alias("w")).groupBy("id", "tkey").agg(F.collect_list("w").alias("wants"))
     wants = work.table(wants, "wants")
-    rows, of_them = wants.count(), wants.select(F.coalesce(F.sum(F.size("wants")), F.lit(0))).first()[0]
-    near = F.broadcast(wants) if 40 * rows + 48 * of_them <= BROADCAST_BYTES else wants
-    cut = work.table(_cut_spans(docs.join(near, ["id", "tkey"])), "cut")
+    cut = work.table(_cut_spans(docs.join(wants.hint("merge"), ["id", "tkey"])), "cut")
     many = work.table(grams.where(F.col("kinds") > wide).select("gram"), "wide")
     if many.isEmpty():
         runs = _column_wise(cut, batch_bytes)
@@ -296,9 +294,7 @@ def removed(ranges: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[i
 def _with_ranges(docs: DataFrame, work: Workspace, **how) -> DataFrame:
     keyed = _keyed(docs)
     got = work.table(intervals(keyed, work, **how), "intervals")
-    rows, of_them = got.count(), got.select(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
-    got = F.broadcast(got) if 48 * rows + 16 * of_them <= BROADCAST_BYTES else got
-    return keyed.join(got, ["id", "tkey"], "left")
+    return keyed.join(got.hint("merge"), ["id", "tkey"], "left")
 
 
 def digest(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
