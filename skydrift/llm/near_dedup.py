@@ -12,8 +12,8 @@ signature is about one draw a shingle and not one for each shingle and register.
 Signatures are banded: 24 bands of 5 registers find a pair of similarity 0.8 with a chance above
 0.9999. Texts of equal multisets are one node from the start. In each bucket of a band every node is
 verified, on exact multiset overlap, against the node that shares most buckets; where a bucket still
-holds several components, its nodes are paired across them if sizes, and the number of shingles that
-no other text has, allow 0.8 at all. Pairs found so are verified too. Classes are the connected
+holds several components, its nodes are paired across them if sizes, the number of shingles that no other
+text has, and a parity bitmap of their shingles allow 0.8 at all. Pairs found so are verified too. Classes are the connected
 components of all verified links. No pair within a bucket that could be a link between components is
 left out, nothing is capped, and buckets are never gathered in one place.
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, components, small
-from .shingles import U, counted, elements, mix, shingles
+from .shingles import PARITY_BITS, U, counted, elements, mix, parity, shingles
 
 BANDS, ROWS, NEAR = 24, 5, 0.8
 REGISTERS = BANDS * ROWS
@@ -129,13 +129,15 @@ def _with_elements(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start, texts in _chunks(batch.column(1).to_pylist()):
                 lists = list(shingles(texts))
+                sets = [elements(s) for s in lists]
                 yield pa.RecordBatch.from_pydict({
                     "digest": pa.array([xxhash.xxh3_128_digest(np.sort(s).tobytes()) if len(s) else None for s in lists], pa.binary()),
                     "doc_id": batch.column(0).slice(start, len(texts)),
-                    "elems": pa.array([elements(s).view(np.int64) for s in lists], pa.list_(pa.int64())),
+                    "elems": pa.array([e.view(np.int64) for e in sets], pa.list_(pa.int64())),
+                    "parity": pa.array([parity(e) for e in sets], pa.list_(pa.int64())),
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "digest binary, doc_id long, elems array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "digest binary, doc_id long, elems array<long>, parity array<long>")
 
 
 def _linked(pairs: DataFrame, elems: DataFrame) -> DataFrame:
@@ -176,10 +178,13 @@ def grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, Dat
     # overlap <= n - alone, so a partner has at most (1 + 1/NEAR) * (n - alone) - n shingles, and at least NEAR * n
     span = mixed_members.join(alone, "node", "left").withColumn("most", F.floor(F.least(F.col("n") / NEAR, (1 + 1 / NEAR) * (F.col("n") - F.coalesce("alone", F.lit(0))) - F.col("n")) + 1e-6)).withColumn("least", F.ceil(F.col("n") * NEAR - 1e-6)).where("most >= least")
     bin_of = lambda c: F.floor(F.log(c) / math.log(1.05))
-    span = work.table(span.select("band", "value", "node", "n", "comp", "hcomp", "least", "most"), "span")
-    asks = span.where("comp <> hcomp").withColumn("bin", F.explode(F.sequence(bin_of(F.greatest(F.col("least"), F.lit(1))), bin_of(F.col("most"))))).select("band", "value", "bin", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "comp", "least", "most")])
+    span = work.table(span.join(elems.select("node", "parity"), "node").select("band", "value", "node", "n", "comp", "hcomp", "least", "most", "parity"), "span")
+    asks = span.where("comp <> hcomp").withColumn("bin", F.explode(F.sequence(bin_of(F.greatest(F.col("least"), F.lit(1))), bin_of(F.col("most"))))).select("band", "value", "bin", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "comp", "least", "most", "parity")])
     gives = span.withColumn("bin", bin_of(F.col("n")))
-    more = asks.join(gives, ["band", "value", "bin"]).where("x_comp <> comp AND n BETWEEN x_least AND x_most AND x_n BETWEEN least AND most").select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
+    # of n + n' members in all, at most (1 - NEAR) / (1 + NEAR) may differ
+    differ = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("x_parity")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+    may = (F.col("x_comp") != F.col("comp")) & F.expr("n BETWEEN x_least AND x_most AND x_n BETWEEN least AND most") & (differ <= (F.col("n") + F.col("x_n")) * ((1 - NEAR) / (1 + NEAR)) + 1e-6)
+    more = asks.join(gives, ["band", "value", "bin"]).where(may).select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
     extra = work.table(_linked(more.join(star, ["a", "b"], "left_anti"), elems), "links-2")
     if not extra.isEmpty():
         comps = work.table(components(Workspace(work.spark, "near-cc"), links.union(extra)).select(F.col("id").alias("node"), "comp"), "comps-2")

@@ -93,3 +93,13 @@ def elements(s: np.ndarray) -> np.ndarray:
     first = np.concatenate([[True], s[1:] != s[:-1]])
     nth = np.arange(len(s)) - np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
     return np.where(nth == 0, s, mix(s + nth.astype(U) * U(0x9E3779B97F4A7C15)))
+
+
+PARITY_BITS = 512
+
+
+def parity(elems: np.ndarray) -> np.ndarray:
+    """A bitmap in which each element of a set flips one bit. The symmetric difference of two sets is at least
+    the number of bits in which their bitmaps differ (a bitmap filter for set similarity joins)."""
+    bits = np.bincount((mix(elems) >> U(55)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
