@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that goes to a Python worker: texts are long, and workers' memory is bounded.
+BATCH_ROWS = "2000"
 #: A side is broadcast only when a count shows that it stays below this many bytes.
 BROADCAST_BYTES = 48 << 20
 
@@ -29,6 +31,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         atexit.register(self.drop)
 
     def at(self, tag: str) -> str:
@@ -59,12 +62,6 @@ def crc32_mod(doc_id: Column | str, m: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(m)
 
 
-def spread(df: DataFrame, *, mb: int = 8) -> int:
-    """How many partitions df should have so that each reads about mb megabytes at rest."""
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
-
-
 def components(work: Workspace, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): rows (id, comp), comp the least id of the component.
 
