@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import axis, dedoppler, detect, features, kernel, normalize
+from ..operators import axis, dedoppler, detect, features, kernel, learn, normalize, rollup
+from ..streaming import crunch
 from .registry import query
 from .views import EVENTS, N_F, N_T, SAMPLES, event_waterfall, samples
 
@@ -234,3 +235,36 @@ def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
     return features.vectors(*_found(spark, d), N_T)
 
 
+
+
+@query(None)
+def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Isolation forest over the measures of all hits of the embeddings."""
+    h, s = _found(spark, d)
+    return learn.anomalies(features.scalars(h, s).withColumn("run", F.lit("all")))
+
+
+@query(None)
+def synthetic_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Simulated hits of each class."""
+    return learn.examples(spark, 4, n_f=512)
+
+
+@query(None)
+def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A forest learnt from simulated hits, applied to the hits of the embeddings."""
+    model, _, _ = learn.train(learn.examples(spark, 12, n_f=512), trees=20)
+    h, s = _found(spark, d)
+    return learn.probabilities(model, features.scalars(h, s))
+
+
+@query(None)
+def recovery_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Share of injected tones that are found, by strength and drift."""
+    return rollup.recovery(learn.recovery_trials(spark, (2.0, 3.0), (0.0, 2.0), 8, n_noise=40, n_f=512))
+
+
+@query("WITH e AS (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM e GROUP BY 1, 2")
+def windowed_rates(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return _round(crunch.windowed_rates(e), "mean")
