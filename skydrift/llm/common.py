@@ -91,6 +91,19 @@ def components(work: Workspace, edges: DataFrame, most_rounds: int = 60) -> Data
     return e.select(F.col("b").alias("id"), F.col("a").alias("comp")).union(roots)
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system: workers are kept for the next task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def local_or_remote(uri: str):
     """A pyarrow file system and path for a Hadoop-style URI, for the files that Python workers write."""
     from pyarrow import fs

@@ -20,8 +20,8 @@ writes no file and gives no rows.
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, local_or_remote
+from .common import Workspace, local_or_remote, trim
 
 MAGIC, BLOCK = b"DACODES1", 512
+#: Encoded at once.
+TEXTS = 1000
 END = "<|endoftext|>"
 
 
@@ -118,54 +120,105 @@ class Codes:
         return self.span(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
+# The letters that stand for bytes in byte-level vocabularies. Printable Latin-1 bytes are themselves.
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = np.zeros(256, "<u4")
+LETTERS[_printable] = _printable
+LETTERS[np.setdiff1d(np.arange(256), _printable)] = 256 + np.arange(256 - len(_printable))
+
+
 class Encoder:
     """The tokenizer over whole texts, with what it gave for pieces between blanks kept for the next.
 
     A byte-level BPE splits a text before it merges anything, and always before a blank that follows
     something else than white space; around a line feed between two such characters; and before a
-    comma or full stop that follows a letter. So pieces cut there give the same ids alone.
+    comma or full stop that follows a letter. So pieces cut there give the same ids alone. Texts with other white space, or with
+    several blanks or line feeds in a row, are encoded as they are.
     """
 
-    most = 400_000  # pieces kept
+    most = 300_000  # pieces kept
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.kept = Tokenizer.from_file(path), {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if re.search(r"\s\s", text):
-            return re.split(r"(?<=\S)(?= )", text)
-        out = []
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            if first:
-                out.append(first)
-            out += [" " + x for x in rest]
+        self.feed = np.array(self.tok.encode("\n", add_special_tokens=False).ids, "<u4")
+        probe = [" probe", "été", " Größe", "日本語", "a", " ª"]
+        whole = [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(probe, add_special_tokens=False)]
+        self.by_bytes = False
+        try:  # only a byte-level tokenizer's model takes bytes as letters
+            self.by_bytes = self._words(probe) == whole
+        except Exception:  # noqa: BLE001 - a model of another kind
+            pass
+
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """Of single words of letters alone, with a blank before or without: each is one piece to the pre-tokenizer,
+        so its bytes, as the letters that stand for them, go to the tokenizer's model at once."""
+        raw = np.frombuffer("\n".join(pieces).encode(), np.uint8)
+        tokenize = self.tok.model.tokenize
+        return [array("I", [t.id for t in tokenize(p)]).tobytes() for p in LETTERS[raw].tobytes().decode("utf-32-le").split(chr(LETTERS[10]))] if pieces else []
+
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """Of pieces without white space but for one blank before them."""
+        out: list[bytes] = [b""] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if p.isalpha() or p[0] == " " and p[1:].isalpha()] if self.by_bytes else []
+        for k, ids in zip(plain, self._words([pieces[k] for k in plain])):
+            out[k] = ids
+        rest = [k for k, x in enumerate(out) if not x]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for k, e in zip(part, self.tok.encode_batch_fast([pieces[k] for k in part], add_special_tokens=False)):
+                out[k] = array("I", e.ids).tobytes()
         return out
 
+    def _learn(self, new: set[str]) -> None:
+        """Pieces begin with a line feed, or else follow a blank; None: the text has to be encoded as it is."""
+        kept, need, plans = self.kept, {}, []
+        if joined := new & {"", "\n"}:
+            kept.update(dict.fromkeys(joined))
+            new = new - joined
+        joined = "".join([p[1:] if p[0] == "\n" else p for p in new])
+        if len(joined.split()) > 1 or joined.strip() != joined or END in joined:  # some piece isn't a plain word
+            odd = [p for p in new if END in p or len((p[1:] if p[0] == "\n" else "." + p).split()) != 1 or p[-1].isspace() or p[1:2].isspace()]
+            kept.update(dict.fromkeys(odd))
+            new = new.difference(odd)
+        for p in new:
+            head = p[1:] if p[0] == "\n" else " " + p
+            if head[-1] in ",." and len(head) > 1 and head[-2].isalpha():
+                tail, head = head[-1], head[:-1]
+                need[tail] = b""
+            else:
+                tail = ""
+            need[head] = b""
+            plans.append((p, head, tail))
+        words = list(need)
+        need = dict(zip(words, self._many(words)))
+        feed = self.feed.tobytes()
+        for p, head, tail in plans:
+            ids = need[head] + need[tail] if tail else need[head]
+            kept[p] = feed + ids if p[:1] == "\n" else ids
+
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
+        gc.disable()  # many small objects come here, and none in cycles
+        try:
+            return self._encoded(list(texts))
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > self.most:
             self.kept.clear()
-        kept, cut = self.kept, [self.pieces(t) for t in texts]
-        need, joined = set(), []
-        for p in set().union(*cut).difference(kept) if cut else ():
-            if len(p) > 1 and p[-1] in ",." and p[-2].isalpha():
-                joined.append(p)
-                need.update(x for x in (p[:-1], p[-1]) if x not in kept)
-            else:
-                need.add(p)
-        need = list(need)
-        for p, e in zip(need, self.tok.encode_batch_fast(need, add_special_tokens=False)):
-            kept[p] = array("I", e.ids).tobytes()
-        for p in joined:
-            kept[p] = kept[p[:-1]] + kept[p[-1]]
-        return [b"".join(map(kept.__getitem__, c)) for c in cut]
+        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        self._learn(set().union(*cut).difference(self.kept) if cut else set())
+        get, skip, out = self.kept.__getitem__, self.feed.nbytes, []
+        for text, pieces in zip(texts, cut):
+            try:
+                out.append(b"".join(map(get, pieces))[skip:])
+            except TypeError:  # a None among them
+                out.append(array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes())
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -202,8 +255,8 @@ def write_files(docs: DataFrame, out: str, vocabulary: str, end_id: int, tokens_
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(keys), 256):
-                for key, got in zip(keys[at : at + 256], enc([t or "" for t in texts.slice(at, 256).to_pylist()])):
+            for at in range(0, len(keys), TEXTS):
+                for key, got in zip(keys[at : at + TEXTS], enc([t or "" for t in texts.slice(at, TEXTS).to_pylist()])):
                     n = len(got) // 4 + 1
                     if held and held + n > tokens_a_file:
                         yield flush()
@@ -213,6 +266,8 @@ def write_files(docs: DataFrame, out: str, vocabulary: str, end_id: int, tokens_
                     held += n
         if ids:
             yield flush()
+        enc.kept.clear()
+        trim()
 
     n = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
