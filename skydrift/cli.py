@@ -7,11 +7,13 @@ import json
 import os
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import SearchConfig
-from .operators import learn, report, rfi, rollup
+from .functions.exprs import is_off_scan
+from .operators import learn, report, rfi, rollup, share
 from .operators.search import candidates, nfine_of, searched
 from .sources import filterbank
 
@@ -66,10 +68,40 @@ def demo(spark: SparkSession, out: str, n_f: int = 1 << 18, seed: int = 3) -> tu
     return meta, [r.asDict() for r in rfi.truth_join(truth, ranked(found), 16).orderBy("tone_id").collect()]
 
 
+def cadence(spark: SparkSession, files: list[str], out: str, cfg: SearchConfig) -> DataFrame:
+    """Searches ON and OFF scans (names with _OFF are OFF) and writes the signals that come again in every ON scan
+    along their drift, and in no OFF scan."""
+    heads = {os.path.splitext(os.path.basename(f))[0]: filterbank.read_header(f) for f in files}
+    pad = max(guard(h, cfg) for h in heads.values())
+    units = spark.read.format("filterbank").option("width", cfg.channels_per_unit).option("pad", pad).load(",".join(files))
+    first = next(iter(heads.values()))
+    hits = searched(units, cfg, nfine_of(first.foff, first.nchans)).where("channel IS NOT NULL")
+    hits = hits.select(F.xxhash64("unit_id", "channel").alias("hit_id"), F.regexp_replace("unit_id", ":[^:]*$", "").alias("name"), "frequency_mhz", "drift_rate_hz_s", "snr")
+    hits.write.mode("overwrite").parquet(f"{out}/hits")
+    scans = spark.createDataFrame([(n, h.tstart) for n, h in heads.items()], "name string, mjd double").withColumn("is_on", ~is_off_scan("name"))
+    rfi.cadence_events(scans, spark.read.parquet(f"{out}/hits")).write.mode("overwrite").parquet(f"{out}/events")
+    return spark.read.parquet(f"{out}/events")
+
+
+def share_run(spark: SparkSession, run: str, out: str, cfg: SearchConfig) -> DataFrame:
+    """Writes the run's best findings that pass the gate to a local bundle that doesn't hold them yet."""
+    found = spark.read.parquet(f"{run}/candidates.parquet").where(F.col("interest") >= cfg.share_min_interest)
+    lacking = {c: F.lit(None).cast(t) for c, t in (("multi_target", "boolean"), ("synthetic", "boolean")) if c not in found.columns}
+    found = found.withColumns(lacking | {"cadence": F.col("cadence") if "cadence" in found.columns else F.lit("not_run"), "finding_id": share.finding_id(F.col("file"))})
+    try:
+        done = spark.read.parquet(f"{out}/shared")
+    except AnalysisException:  # nothing has been shared
+        done = spark.createDataFrame([], "finding_id string, destination string")
+    send = share.decisions(found, ("bundle",), done, cfg.share_require_cadence).where("action = 'send'").select("finding_id")
+    sent = share.write_bundle(share.records(found.join(send, "finding_id", "left_semi")), f"{out}/bundle", cfg.share_top)
+    sent.select("finding_id", F.lit("bundle").alias("destination")).write.mode("append").parquet(f"{out}/shared")
+    return sent
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="skydrift")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"demo": ["out"], "inspect": ["path"], "analyze": ["path", "out"], "crunch": ["folder", "out"], "train": ["out"], "benchmark": ["out"], "summary": ["root"], "status": []}.items():
+    for name, args in {"demo": ["out"], "inspect": ["path"], "analyze": ["path", "out"], "crunch": ["folder", "out"], "train": ["out"], "benchmark": ["out"], "summary": ["root"], "share": ["run", "out"], "status": []}.items():
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
@@ -77,6 +109,10 @@ def main(argv: list[str] | None = None) -> None:
         if name == "analyze":
             s.add_argument("--f-start", type=float)
             s.add_argument("--f-stop", type=float)
+    s = sub.add_parser("cadence")
+    s.add_argument("out")
+    s.add_argument("files", nargs="+")
+    s.add_argument("--config")
     a = p.parse_args(argv)
     spark, cfg = session(), SearchConfig.load(a.config)
     if a.command == "demo":
@@ -101,6 +137,10 @@ def main(argv: list[str] | None = None) -> None:
         r.show()
     elif a.command == "summary":
         report.read_runs(spark, a.root).orderBy(F.desc("hits")).show(truncate=False)
+    elif a.command == "cadence":
+        cadence(spark, a.files, a.out, cfg).show(truncate=False)
+    elif a.command == "share":
+        share_run(spark, a.run, a.out, cfg).show()
     elif a.command == "status":
         print(f"Spark {spark.version}, {spark.sparkContext.defaultParallelism} tasks at once")
 

@@ -60,6 +60,15 @@ def parameters(kind: str, n_t: int, n_f: int, rng: np.random.Generator, snr: tup
     return {"kind": kind, "start": float(rng.uniform(min(lo, hi), max(lo, hi))), "drift": drift, "snr": float(rng.uniform(*snr)), "width": {"rfi_wideband": float(rng.uniform(12, 40)), "rfi_drifting_broad": float(rng.uniform(9, 16))}.get(kind, 1.0)}
 
 
+def two_tones(n_t: int = 256, n_f: int = 1024, seed: int = 1) -> np.ndarray:
+    """Noise with one steady and one drifting tone, for the plain detector."""
+    rng = np.random.default_rng(seed)
+    z = rng.normal(10, 1, (n_t, n_f))
+    z[:, n_f * 3 // 10] += 7
+    z[np.arange(n_t), (n_f * 7 // 10 + np.arange(n_t) * 0.2).astype(int)] += 5
+    return z
+
+
 def normalized(z: np.ndarray, block: int = 512) -> np.ndarray:
     """The array form of normalize.normalize."""
     z = np.nan_to_num(z.astype(np.float64))

@@ -64,8 +64,7 @@ def advanced(progress: DataFrame, visited: DataFrame) -> DataFrame:
 
 def remembered(signals: DataFrame, per_obs: int = PER_OBSERVATION, overall: int = OVERALL) -> DataFrame:
     """signals(obs, seq, rank, frequency_mhz, target): the first of each observation, of these the last overall."""
-    kept = signals.where(F.col("rank") <= per_obs)
-    return kept.withColumn("r", F.row_number().over(Window.orderBy(F.desc("seq"), F.desc("rank"), F.desc("obs")))).where(F.col("r") <= overall).drop("r")
+    return signals.where(F.col("rank") <= per_obs).orderBy(F.desc("seq"), F.desc("rank"), F.desc("obs")).limit(overall)
 
 
 def lifetime_best(results: DataFrame, version: str) -> DataFrame:
@@ -80,3 +79,18 @@ def cache_key(columns: list[str]) -> Column:
 def misses(units: DataFrame, cache: DataFrame) -> DataFrame:
     """Units whose key the cache doesn't hold."""
     return units.join(cache.select("key"), "key", "left_anti")
+
+
+def results_version(cfg: dict, code: str, model: str = "none") -> str:
+    """Names what results depend on; cached ones under another name are passed over."""
+    import hashlib
+    import json
+
+    return f"{code}:{model}:{hashlib.sha1(json.dumps(cfg, sort_keys=True).encode()).hexdigest()[:12]}"
+
+
+def probed(cache: dict, key: str, probe, now: float, keep_hours: float = 24.0):
+    """probe(key), or what it gave within the last hours; cache maps keys to [time, value]."""
+    if key not in cache or now - cache[key][0] > keep_hours * 3600:
+        cache[key] = [now, probe(key)]
+    return cache[key][1]

@@ -49,7 +49,7 @@ def searched(units: DataFrame, cfg: SearchConfig, nfine: int | None = None) -> D
             raise ValueError("foff must be in MHz")
         need = cfg.max_drift_rate_hz_s * tsamp / hz if hz else 1.0
         k = max(0, min(int(np.ceil(need)) - 1, cfg.max_drift_ch_per_step - 1, n_f // max(n_t, 1) - 1))
-        snr, drift = search(z, k, need)
+        snr, drift = search(z.astype(np.float32), k, need)
         out = []
         for c in peaks(snr, nms_window(n_t, n_f, k), cfg.snr_threshold, cfg.max_hits_per_unit):
             at = int(c) + chan_start

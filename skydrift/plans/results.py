@@ -86,7 +86,7 @@ def multi_target(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + SCANS + ", g AS (SELECT 'c' || (n % 3) AS cadence, name, is_on FROM scans, (SELECT unnest(range(0, 3)) AS n) WHERE n <> 1 OR place = 0 OR place = 1), k AS (SELECT cadence, count_if(is_on) AS n_on, count_if(NOT is_on) AS n_off FROM g GROUP BY 1) SELECT cadence, n_on, n_off, n_on >= 2 AND n_off > 0 AS testable FROM k")
 def cadence_testable(spark: SparkSession, d: str) -> DataFrame:
     s = _scans(spark)
-    three = s.crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "n"))).where("n <> 1 OR name IN ('scan0', 'scan1')").withColumn("cadence", F.concat(F.lit("c"), (F.col("n") % 3).cast("string")))  # 6 x 3 rows
+    three = s.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("n <> 1 OR name IN ('scan0', 'scan1')").withColumn("cadence", F.concat(F.lit("c"), F.col("n").cast("string")))
     return rfi.testable(three).select("cadence", "n_on", "n_off", "testable")
 
 

@@ -145,3 +145,40 @@ def test_config(tmp_path):
     c = SearchConfig.load(str(tmp_path / "c.json"))
     assert c.snr_threshold == 12 and c.known_rfi_bands_mhz == ((1, 2),)
     assert SearchConfig.load(str(tmp_path / "none.json")) == SearchConfig()
+
+
+def t0_steps(n):
+    """Time steps, and so channels at one channel a step, from the first scan to the n-th."""
+    return n * 0.0035 * 86400 / 18.253611008
+
+
+def test_cadence_over_files(spark, tmp_path):
+    fb.register(spark)
+    files = []
+    for n, (name, tone) in enumerate([("A_ON1", True), ("B_OFF1", False), ("A_ON2", True), ("B_OFF2", False)]):
+        t0 = 59000 + n * 0.0035
+        make(tmp_path / f"{name}.fil", seed=n, tone=(2000 + t0_steps(n), 1.0) if tone else None, tstart=t0)
+        files.append(str(tmp_path / f"{name}.fil"))
+    got = cli.cadence(spark, files, str(tmp_path / "out"), SearchConfig(channels_per_unit=4096)).collect()
+    assert [(r["on_scans_matched"], r["n_on_scans"], r["off_scans_checked"], r["matched_in"]) for r in got] == [(2, 2, 2, "A_ON2")]
+
+
+def test_share_sends_once(spark, tmp_path):
+    fb.register(spark)
+    cli.demo(spark, str(tmp_path), n_f=1 << 16)
+    cfg = SearchConfig(share_min_interest=20.0)
+    first = cli.share_run(spark, str(tmp_path / "run"), str(tmp_path / "s"), cfg).count()
+    assert 0 < first <= 3
+    assert spark.read.text(str(tmp_path / "s/bundle")).count() == first
+    again = {r["finding_id"] for r in spark.read.parquet(str(tmp_path / "s/shared")).collect()}
+    assert len(again) == first
+
+
+def test_probe_cache_and_versions():
+    from skydrift.operators import ledger
+
+    calls, cache = [], {}
+    for now in (0, 3600, 90_000):
+        ledger.probed(cache, "k", lambda k: calls.append(k), now)
+    assert len(calls) == 2
+    assert ledger.results_version({"a": 1}, "1") != ledger.results_version({"a": 2}, "1")
