@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 #: Bytes: A-Z to a-z, 0-9, a-z and all of non-ASCII characters as they are, anything else to a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -120,6 +122,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_bytes:
                     i.append(sorted(found))
                 types = [f.type for f in batch.schema][-3:]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(n, types[0]), pa.array(r, types[1]), pa.array(i, types[2])], schema=batch.schema)
+            trim()
 
         out = out.mapInArrow(task, schema)
     return out.withColumnsRenamed({"_n": "n_words", "_r": "runs", "_i": "items"})

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, small
+from .common import Workspace, components, small, trim
 from .shingles import PARITY_BITS, U, counted, elements, mix, parity, shingles
 
 BANDS, ROWS, NEAR = 24, 5, 0.8
@@ -120,6 +120,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     "digest": pa.array([xxhash.xxh3_128_digest(np.sort(s).tobytes()) if len(s) else None for s in lists], pa.binary()),
                     "bands": pa.array([x if len(s) else [] for x, s in zip(b, lists)], pa.list_(pa.int64())),
                 })
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, digest binary, bands array<long>")
 
@@ -136,6 +137,7 @@ def _with_elements(docs: DataFrame) -> DataFrame:
                     "elems": pa.array([e.view(np.int64) for e in sets], pa.list_(pa.int64())),
                     "parity": pa.array([parity(e) for e in sets], pa.list_(pa.int64())),
                 })
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "digest binary, doc_id long, elems array<long>, parity array<long>")
 

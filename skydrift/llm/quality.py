@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod
+from .common import crc32_mod, trim
 
 THRESHOLD = 0.3
 
@@ -164,6 +164,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             m = sent.value
             s = m.score(np.array([m.sizes(t) for t in batch.column(at).to_pylist()], np.int64).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "_score"])
+        trim()
 
     return docs.mapInArrow(task, schema)
 
