@@ -28,7 +28,8 @@ from .common import trim
 
 #: Bytes: A-Z to a-z, 0-9, a-z and all of non-ASCII characters as they are, anything else to a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in texts whose A-Z are as they were.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words(text: str | None) -> list[bytes]:

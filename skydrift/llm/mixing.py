@@ -146,4 +146,4 @@ def select(spark: SparkSession, docs: DataFrame, recipe: Recipe = Recipe()) -> D
     last = F.when(F.col("last_tokens") == 0, F.array().cast("array<string>")).when(F.col("last_tokens") < F.col("tokens"), F.array(short)).otherwise(F.array("text"))
     texts = F.when(F.col("tokens") == 0, F.array("text")).otherwise(F.concat(F.array_repeat("text", F.col("full_epochs").cast("int")), last))
     out = out.withColumn("_text", F.explode(texts))
-    return out.select(*[(F.col("_text") if c == "text" else F.when(F.col("_text") == F.col("text"), F.col(own[c])).otherwise(F.length("_text").cast(docs.schema[c].dataType)) if c == "n_chars" else F.col(own[c])).alias(c) for c in names])
+    return out.select(*[(F.col("_text") if c == "text" else F.when(F.col("_text").eqNullSafe(F.col("text")), F.col(own[c])).otherwise(F.length("_text").cast(docs.schema[c].dataType)) if c == "n_chars" else F.col(own[c])).alias(c) for c in names])

@@ -141,7 +141,7 @@ def repeated_starts(group: np.ndarray, rel: np.ndarray, spans: list[bytes], leng
             if not stay.all():  # those that have ended leave; common prefixes close over the gap
                 kept = np.flatnonzero(stay)
                 if len(kept):
-                    lcp = np.minimum.reduceat(lcp, np.concatenate([[0], kept[:-1] + 1]))
+                    lcp = np.minimum.reduceat(lcp[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1]))
                     lcp[np.concatenate([[True], group[order[kept[1:]]] != group[order[kept[:-1]]]])] = 0
                 else:
                     lcp = lcp[:0]

@@ -39,6 +39,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPE = frozenset("ul ol dl table div article section main body html aside nav form td th blockquote".split())
+UNSEEN = frozenset("script style template noscript".split())  # they don't part what stands around them
 #: What is no main text, by element name.
 OUTSIDE = frozenset("head script style noscript template iframe object svg canvas nav header footer aside form button select option input textarea dialog menu audio video map".split())
 #: And by a word of class, id or role.
@@ -213,10 +214,10 @@ def main_text(root: Node, template: set[int] = frozenset()) -> str:
             if taken:
                 now.append(x)
         elif x.tag in OUTSIDE and not (x.tag == "header" and taken and inside) or x.out and x.tag not in OUTSIDE:
-            if x.tag not in INLINE:
+            if x.tag not in INLINE and x.tag not in UNSEEN:
                 cut()
         else:
-            taken = taken or not inside and x.tag != "#page" and x.tag not in ("html", "head", "title") or x.tag in ("article", "main")
+            taken = taken or not inside or x.tag in ("article", "main")
             block = x.tag not in INLINE
             if block:
                 cut()
