@@ -11,6 +11,7 @@ KNOWN_BANDS_MHZ = ((1164.0, 1189.0), (1215.0, 1240.0), (1200.0, 1341.0), (1559.0
 
 @dataclass(frozen=True)
 class SearchConfig:
+    # Names and defaults of the settings, as settings files have them.
     channels_per_unit: int = 262144
     max_drift_rate_hz_s: float = 4.0
     max_drift_ch_per_step: int = 32

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HALF = 32
+# The names of what is measured, in their order.
 SCALARS = ("snr", "abs_drift_ch", "zero_drift", "bandwidth_ch", "on_fraction", "modulation", "kurtosis", "wobble_rms", "sidelobe_ratio", "off_track_level", "peak_to_mean")
 
 
