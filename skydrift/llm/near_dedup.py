@@ -197,6 +197,8 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every row."""
     work = Workspace(spark, "near-dedup")
     rows, nodes, comps = grouped(docs, work)
+    for tag in ("member", "star", "elems", "mixed", "span", "links-1", "links-2"):
+        work.drop(tag)
     named = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("class"))
     out = rows.join(named, "digest", "left")
     return out.select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), "n")

@@ -294,6 +294,8 @@ def removed(ranges: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[i
 def _with_ranges(docs: DataFrame, work: Workspace, **how) -> DataFrame:
     keyed = _keyed(docs)
     got = work.table(intervals(keyed, work, **how), "intervals")
+    for tag in ("anchors", "again", "spans", "grams", "wants", "cut", "wide", "runs"):
+        work.drop(tag)
     return keyed.join(got.hint("merge"), ["id", "tkey"], "left")
 
 
