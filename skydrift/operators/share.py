@@ -87,10 +87,11 @@ def decisions(hits: DataFrame, destinations: tuple[str, ...], shared: DataFrame,
 
 
 def markdown(rec: dict) -> str:
-    """One finding in words."""
-    s = rec["signal"]
-    lines = [f"# {s['frequency_mhz']:.6f} MHz, {s['drift_rate_hz_s']:+.3f} Hz/s", "", f"SNR {s['snr']:.1f}, interest {rec['assessment']['interest']}.", ""]
-    lines += [f"- [{'x' if v else ' '}] {k}" for k, v in rec["checks"].items()]
+    """One finding in words. JSON leaves out what is null."""
+    s, a = rec.get("signal", {}), rec.get("assessment", {})
+    number = lambda k, f: format(s[k], f) if s.get(k) is not None else "?"
+    lines = [f"# {number('frequency_mhz', '.6f')} MHz, {number('drift_rate_hz_s', '+.3f')} Hz/s", "", f"SNR {number('snr', '.1f')}, interest {a.get('interest', '?')}, class {a.get('ai_class', '?')}.", ""]
+    lines += [f"- [{'x' if rec.get('checks', {}).get(k) else ' '}] {k}" for k in CHECKS]
     return "\n".join(lines) + "\n"
 
 

@@ -182,3 +182,48 @@ def test_probe_cache_and_versions():
         ledger.probed(cache, "k", lambda k: calls.append(k), now)
     assert len(calls) == 2
     assert ledger.results_version({"a": 1}, "1") != ledger.results_version({"a": 2}, "1")
+
+
+def test_publishing(spark):
+    import json
+
+    from skydrift.operators import share
+    from skydrift.plans.results import classed
+    from skydrift.sources import publish
+
+    from .conftest import SF
+
+    seen = []
+
+    class Hook(http.server.BaseHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def answer(self, body, status=200):
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            known = any(u == "/repos/a/b/issues" and re.search(r"AIS-[0-9A-F]{12}", self.path)[0] in x["title"] for u, x in seen)
+            self.answer({"total_count": int(known)})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path == "/bad":
+                return self.answer({}, 500)
+            seen.append((self.path, body))
+            self.answer({"html_url": "http://x/1"})
+
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Hook)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{s.server_port}"
+    from pyspark.sql import functions as F
+
+    found = share.records(classed(spark, SF).withColumn("finding_id", share.finding_id(F.col("target"))).orderBy("hit_id").limit(3))
+    assert all(r["ok"] for r in publish.to_webhook(found, f"{url}/hook", "slack").collect())
+    assert len(seen) == 3 and all(len(b["text"]) <= 1990 for _, b in seen)
+    assert {r["detail"] for r in publish.to_issues(found, url, "a/b", "t").collect()} == {"http://x/1"}
+    assert {r["detail"] for r in publish.to_issues(found, url, "a/b", "t").collect()} == {"there already"}
+    assert not any(r["ok"] for r in publish.to_webhook(found, f"{url}/bad").collect())
+    s.shutdown()
