@@ -62,6 +62,12 @@ def crc32_mod(doc_id: Column | str, m: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(m)
 
 
+def about(share: float, *columns: str, seed: int = 0) -> Column:
+    """True for about this share of the values of some columns, always the same ones. Unlike the first rows of an
+    order, such a sample takes nothing from each task to one place but what is in it."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+
 def components(work: Workspace, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): rows (id, comp), comp the least id of the component.
 
