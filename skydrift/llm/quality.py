@@ -7,7 +7,7 @@ dictionaries and not on itself. With g and b the sums of the sizes, the normalis
 logistic calibration, fitted on labelled texts that neither dictionary has seen.
 
 The fit sees a bounded sample: `most_rows` rows a class for the dictionaries (of each at most
-`most_bytes` bytes) and as many for the calibration, those with the least hash of the id. Scoring covers
+`most_bytes` bytes) and as many for the calibration, give or take a few, chosen by the hash of the id. Scoring covers
 whole texts of all rows. Held-out rows (crc32 of the id as text, modulo 5, is 0) are never learnt from.
 
 Null texts are empty; an empty text gets the score that the calibration gives to no bytes. Rows of null
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, trim
+from .common import about, crc32_mod, trim
 
 THRESHOLD = 0.3
 
@@ -118,10 +118,10 @@ def _dictionary(texts: list[bytes], size: int, piece: int = 1024) -> bytes:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_bytes: int = 16 << 10, dictionary_bytes: int = 448 << 10) -> Model:
     """Learns from rows that are not held out."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 5) != 0))
-    order = F.xxhash64(F.col("doc_id"), F.lit(11))
+    held = {int(r["quality"]): r["count"] for r in known.where("quality IN (0, 1)").groupBy("quality").count().collect()}
     ids = None
     for q in (0, 1):
-        some = known.where(F.col("quality") == q).select("doc_id", "quality", order.alias("h")).distinct().orderBy("h", "doc_id").limit(2 * most_rows)
+        some = known.where((F.col("quality") == q) & about(2 * most_rows / max(held.get(q, 0), 1), "doc_id", seed=11)).select("doc_id", "quality").distinct()
         ids = some if ids is None else ids.union(some)
     ids = ids.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))).select("doc_id", "quality", "part")
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 4 * most_rows short rows
