@@ -244,16 +244,19 @@ def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
     return learn.anomalies(features.scalars(h, s).withColumn("run", F.lit("all")))
 
 
+PER_CLASS = 400
+
+
 @query(None)
 def synthetic_examples(spark: SparkSession, d: str) -> DataFrame:
     """Simulated hits of each class."""
-    return learn.examples(spark, 4, n_f=512)
+    return learn.examples(spark, PER_CLASS)
 
 
 @query(None)
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     """A forest learnt from simulated hits, applied to the hits of the embeddings."""
-    model, _, _ = learn.train(learn.examples(spark, 12, n_f=512), trees=20)
+    model, _, _ = learn.train(learn.examples(spark, PER_CLASS).persist())  # read several times
     h, s = _found(spark, d)
     return learn.probabilities(model, features.scalars(h, s))
 
@@ -261,7 +264,7 @@ def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def recovery_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """Share of injected tones that are found, by strength and drift."""
-    return rollup.recovery(learn.recovery_trials(spark, (2.0, 3.0), (0.0, 2.0), 8, n_noise=40, n_f=512))
+    return rollup.recovery(learn.recovery_trials(spark, (0.75, 1.0, 1.5, 2.0, 3.0), (0.0, 0.5, 2.0, 8.0), 20, n_noise=60))
 
 
 @query("WITH e AS (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM e GROUP BY 1, 2")
