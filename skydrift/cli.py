@@ -51,7 +51,7 @@ def demo(spark: SparkSession, out: str, n_f: int = 1 << 18, seed: int = 3) -> tu
     os.makedirs(out, exist_ok=True)
     z = learn.noise(16, n_f, rng)
     tones = [(int(n_f * f), d) for f, d in ((0.21, 1.4), (0.52, -2.3), (0.83, 3.1))]
-    for kind in ("rfi_carrier", "rfi_intermittent", "rfi_wideband"):
+    for kind in ("rfi_zero_drift", "rfi_intermittent", "rfi_wideband"):
         for _ in range(8):
             p = learn.parameters(kind, 16, n_f, rng)
             lo = max(0, int(p["start"]) - 600)
@@ -119,7 +119,7 @@ def main(argv: list[str] | None = None) -> None:
         meta, ranks = demo(spark, a.out)
         print(json.dumps({"stats": meta["stats"], "tones": ranks}, default=str))
     elif a.command == "inspect":
-        filterbank.header_table(spark, a.path if os.path.isdir(a.path) else os.path.dirname(a.path)).show(truncate=False)
+        filterbank.header_table(spark, a.path).show(truncate=False)
     elif a.command == "analyze":
         print(json.dumps(analyze(spark, a.path, a.out, cfg, a.f_start, a.f_stop)["stats"]))
     elif a.command == "crunch":

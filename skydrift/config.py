@@ -34,7 +34,7 @@ class SearchConfig:
     share_min_interest: float = 70.0
     share_top: int = 3
     share_require_cadence: bool | None = None
-    issue_repo: str | None = None
+    github_repo: str | None = None
     webhook_url: str | None = None
     webhook_format: str = "json"
     reporter_handle: str | None = None

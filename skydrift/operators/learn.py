@@ -14,8 +14,18 @@ from .features import SCALARS
 from .kernel import peaks, search
 from .dedoppler import nms_window
 
-# The classes of signals.
-LABELS = ("noise", "rfi_carrier", "rfi_intermittent", "rfi_nonlinear", "rfi_wideband", "rfi_drifting_broad", "technosignature_like")
+# The classes of signals, in the order in which models and tables have them.
+LABELS = ("technosignature_like", "rfi_zero_drift", "rfi_wideband", "rfi_nonlinear", "rfi_intermittent", "rfi_strong_carrier", "noise")
+# Of each simulated kind the drift (channels a step; none: log-uniform from two steps of the search to the
+# largest), the factor of its strength (none: log-uniform from 10 to 1000) and the width in channels.
+KINDS = {
+    "technosignature_like": (None, 1.0, (0.5, 2.0)),
+    "rfi_zero_drift": ((0.0, 0.0), 1.0, (0.5, 3.0)),
+    "rfi_wideband": ((-0.3, 0.3), 0.6, (12.0, 40.0)),
+    "rfi_nonlinear": ((-1.0, 1.0), 1.0, (1.0, 3.0)),
+    "rfi_intermittent": ((-2.0, 2.0), 1.6, (0.5, 2.0)),
+    "rfi_strong_carrier": ((-0.3, 0.3), None, (0.5, 2.0)),
+}
 BANDS_OF_DRIFT = (1.0, 12.0)
 
 
@@ -31,33 +41,37 @@ def noise(n_t: int, n_f: int, rng: np.random.Generator, bandpass: bool = True, n
 
 
 def profile(n_f: int, centre: float, width: float) -> np.ndarray:
-    """A tone's power over channels: sinc squared if it is narrow, else a bell curve; sums to one at the least width."""
+    """A tone's power over channels: sinc squared if it is narrow, else a bell curve; the largest is one."""
     x = np.arange(n_f) - centre
-    return np.sinc(x) ** 2 if width <= 1.5 else np.exp(-0.5 * (x / (width / 2.355)) ** 2)
+    p = np.sinc(x) ** 2 * (np.abs(x) <= 3 * width + 2) if width <= 1 else np.exp(-0.5 * (x / (width / 2.355)) ** 2)
+    return p / (p.max() or 1.0)
 
 
 def inject(z: np.ndarray, kind: str, start: float, drift: float, snr: float, width: float, rng: np.random.Generator, smear: bool = False) -> np.ndarray:
-    """z with one signal; smear spreads each sample over the channels that it drifts through."""
+    """z with one signal, of snr times each channel's own deviation; smear spreads each sample over the channels that
+    it drifts through. An intermittent one is on in a third of the samples, one at least."""
     n_t, n_f = z.shape
-    out, sigma = z.copy(), float(1.4826 * np.median(np.abs(z - np.median(z)))) or 1.0
-    wobble = 3.0 * np.sin(2 * np.pi * np.arange(n_t) / max(n_t, 2) * rng.uniform(1, 2)) if kind == "rfi_nonlinear" else np.zeros(n_t)
-    on = rng.random(n_t) < 0.35 if kind == "rfi_intermittent" else np.ones(n_t, bool)
-    for t in np.flatnonzero(on):
-        at = start + drift * t + wobble[t]
-        steps = max(1, math.ceil(abs(drift))) if smear else 1
-        row = sum(profile(n_f, at + drift * (k + 0.5) / steps * (steps > 1), width) for k in range(steps)) / steps
-        out[t] += snr * sigma * row
+    out, sigma, t = z.copy(), z.std(0), np.arange(n_t)
+    at = start + drift * t + (3.0 * width * np.sin(5 * np.pi * t / max(n_t, 2.5) + snr) if kind == "rfi_nonlinear" else 0.0)
+    on = t
+    if kind == "rfi_intermittent":
+        on = np.union1d(np.flatnonzero(rng.random(n_t) < 0.35), rng.integers(n_t, size=1))
+    steps = max(1, math.ceil(abs(drift))) if smear else 1
+    for row in on:
+        out[row] += snr * sigma * (sum(profile(n_f, at[row] + drift * (k + 0.5) / steps * (steps > 1), width) for k in range(steps)) / steps)
     return out
 
 
-def parameters(kind: str, n_t: int, n_f: int, rng: np.random.Generator, snr: tuple[float, float] = (2.0, 10.0), max_drift: float = 32.0) -> dict:
-    """Random ones for a kind of signal; drifts are even on a logarithmic scale."""
-    drift = float(np.exp(rng.uniform(np.log(0.2), np.log(max_drift)))) * rng.choice([-1.0, 1.0])
-    if kind in ("rfi_carrier", "rfi_intermittent", "rfi_wideband"):
-        drift = 0.0
-    reach = abs(drift) * n_t
-    lo, hi = 40 + (reach if drift < 0 else 0), n_f - 40 - (reach if drift > 0 else 0)
-    return {"kind": kind, "start": float(rng.uniform(min(lo, hi), max(lo, hi))), "drift": drift, "snr": float(rng.uniform(*snr)), "width": {"rfi_wideband": float(rng.uniform(12, 40)), "rfi_drifting_broad": float(rng.uniform(9, 16))}.get(kind, 1.0)}
+def _log_uniform(rng: np.random.Generator, low: float, high: float) -> float:
+    return float(np.exp(rng.uniform(np.log(low), np.log(high))))
+
+
+def parameters(kind: str, n_t: int, n_f: int, rng: np.random.Generator, snr: tuple[float, float] = (1.5, 6.0), max_drift: float = 4.0) -> dict:
+    """Random ones for a kind of signal, which stays within the window."""
+    drifts, factor, widths = KINDS[kind]
+    edge = min(max_drift * n_t + 40, (n_f - 1) / 2)
+    drift = rng.uniform(*drifts) if drifts else _log_uniform(rng, min(2 / max(n_t - 1, 1), max_drift), max_drift) * rng.choice([-1.0, 1.0])
+    return {"kind": kind, "start": float(rng.uniform(edge, n_f - edge)), "drift": float(drift), "snr": float(rng.uniform(*snr)) * factor if factor else _log_uniform(rng, 10, 1000), "width": float(rng.uniform(*widths))}
 
 
 def two_tones(n_t: int = 256, n_f: int = 1024, seed: int = 1) -> np.ndarray:

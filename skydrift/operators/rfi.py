@@ -103,6 +103,13 @@ def truth_join(injected: DataFrame, hits: DataFrame, n_t: int) -> DataFrame:
 
 
 def nearest(hits: DataFrame, places: DataFrame) -> DataFrame:
-    """For each place (place_id, file, at) the hit of its file that lies nearest; of equal ones the first."""
-    x = places.join(hits, "file").withColumn("off", F.abs(F.col("channel") - F.col("at")))
-    return x.groupBy("place_id").agg(F.min(F.struct("off", "hit_id")).alias("m")).select("place_id", F.col("m.hit_id").alias("hit_id"), F.col("m.off").alias("distance"))
+    """For each place (place_id, file, at) the hit of its file that lies nearest; of equal ones the first. In order of
+    channel that is the last hit before the place or the first one after it, so no pairs are made."""
+    one = hits.groupBy("file", F.col("channel").alias("at")).agg(F.min("hit_id").alias("hit_id"))
+    both = places.select("file", "at", "place_id", F.lit(None).cast(dict(one.dtypes)["hit_id"]).alias("hit_id")).unionByName(one.withColumn("place_id", F.lit(None).cast(dict(places.dtypes)["place_id"])))
+    hit = F.when(F.col("hit_id").isNotNull(), F.struct("at", "hit_id"))
+    order = Window.partitionBy("file").orderBy("at", F.col("hit_id").isNull())
+    before, after = F.last(hit, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.last(hit, True).over(Window.partitionBy("file").orderBy(F.desc("at"), F.col("hit_id").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    far = lambda h: F.when(h.isNotNull(), F.struct(F.abs(h["at"] - F.col("at")).alias("off"), h["hit_id"].alias("hit_id")))
+    x = both.withColumn("before", before).withColumn("after", after).where("place_id IS NOT NULL").withColumn("m", F.least(far(F.col("before")), far(F.col("after")))).where("m IS NOT NULL")
+    return x.groupBy("place_id").agg(F.min("m").alias("m")).select("place_id", F.col("m.hit_id").alias("hit_id"), F.col("m.off").alias("distance"))

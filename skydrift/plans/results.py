@@ -55,11 +55,11 @@ def ood_cap(spark: SparkSession, d: str) -> DataFrame:
     return score.interest(hits(spark, d), 10.0, snr_max=25.0).where("ood").select("hit_id", "interest")
 
 
-CLASSED = SCORED + """, classed AS (SELECT *, CASE WHEN ood THEN 'out_of_distribution' WHEN coalesce(p_technosignature_like, -1) >= p_rfi_carrier AND coalesce(p_technosignature_like, -1) >= p_noise THEN 'technosignature_like' WHEN p_rfi_carrier >= p_noise THEN 'rfi_carrier' ELSE 'noise' END AS ai_class FROM scored)"""
+CLASSED = SCORED + """, classed AS (SELECT *, CASE WHEN ood THEN 'out_of_distribution' WHEN coalesce(p_technosignature_like, -1) >= p_rfi_zero_drift AND coalesce(p_technosignature_like, -1) >= p_noise THEN 'technosignature_like' WHEN p_rfi_zero_drift >= p_noise THEN 'rfi_zero_drift' ELSE 'noise' END AS ai_class FROM scored)"""
 
 
 def classed(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).withColumn("ai_class", F.when(F.col("ood"), "out_of_distribution").otherwise(score.best_class(["p_technosignature_like", "p_rfi_carrier", "p_noise"])))
+    return scored(spark, d).withColumn("ai_class", F.when(F.col("ood"), "out_of_distribution").otherwise(score.best_class(["p_technosignature_like", "p_rfi_zero_drift", "p_noise"])))
 
 
 @query(CLASSED + " SELECT hit_id, ai_class FROM classed")
@@ -123,11 +123,11 @@ def share_cadence_status(spark: SparkSession, d: str) -> DataFrame:
     return share.cadence_of(hits(spark, d), ev).select("hit_id", "cadence_status")
 
 
-@query(W + """, tones AS (SELECT c_custkey AS tone_id, (c_custkey * 131) % 65536 AS start_channel, (c_custkey % 21 - 10) / 10.0::DOUBLE AS true_drift FROM customer WHERE c_custkey % 10 = 0), rk AS (SELECT channel, row_number() OVER (ORDER BY snr DESC, hit_id) AS rank FROM hits)
+@query(W + """, tones AS (SELECT c_custkey AS tone_id, (c_custkey * 131) % 65536 AS start_channel, (c_custkey % 21 - 10) / 10.0::DOUBLE AS true_drift FROM customer), rk AS (SELECT channel, row_number() OVER (ORDER BY snr DESC, hit_id) AS rank FROM hits)
     SELECT tone_id, min(rank) AS best_rank FROM tones LEFT JOIN rk ON abs(channel - start_channel) <= abs(true_drift * 16) + 4 GROUP BY 1""")
 def injection_recovery(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    tones = spark.read.parquet(f"{d}/customer.parquet").where(k % 10 == 0).select(k.alias("tone_id"), ((k * 131) % 65536).alias("start_channel"), ((k % 21 - 10) / 10.0).alias("true_drift"))
+    tones = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("tone_id"), ((k * 131) % 65536).alias("start_channel"), ((k % 21 - 10) / 10.0).alias("true_drift"))
     return rfi.truth_join(tones, score.ranked(hits(spark, d), "snr"), 16).select("tone_id", F.col("best_rank").cast("long").alias("best_rank"))
 
 
@@ -179,14 +179,14 @@ def finding_id(spark: SparkSession, d: str) -> DataFrame:
     return hits(spark, d).select("hit_id", share.finding_id(F.col("target")).alias("finding_id"))
 
 
-@query(W + f""", f AS (SELECT *, {FID} AS finding_id, {GATE} ELSE 'ok' END AS gate FROM hits WHERE hit_id % 5 < 2), old AS (SELECT DISTINCT {FID} AS finding_id, CASE WHEN hit_id % 2 = 0 THEN 'bundle' ELSE 'webhook' END AS destination FROM hits WHERE hit_id % 23 = 0),
+@query(W + f""", f AS (SELECT *, {FID} AS finding_id, {GATE} ELSE 'ok' END AS gate FROM hits), old AS (SELECT DISTINCT {FID} AS finding_id, CASE WHEN hit_id % 2 = 0 THEN 'bundle' ELSE 'webhook' END AS destination FROM hits WHERE hit_id % 23 = 0),
     x AS (SELECT f.finding_id, t.destination, CASE WHEN gate <> 'ok' THEN gate WHEN old.finding_id IS NOT NULL THEN 'already shared' WHEN t.destination <> 'bundle' AND cadence <> 'passed' THEN 'no cadence pass' WHEN t.destination <> 'bundle' AND synthetic THEN 'synthetic data' ELSE 'ok' END AS reason
           FROM f JOIN (SELECT unnest(['bundle', 'webhook']) AS destination) t ON true LEFT JOIN old ON old.finding_id = f.finding_id AND old.destination = t.destination)
     SELECT finding_id, destination, CASE WHEN reason = 'ok' THEN 'send' ELSE 'skip' END AS action, reason FROM x""")
 def share_decisions(spark: SparkSession, d: str) -> DataFrame:
     h = hits(spark, d).withColumn("finding_id", share.finding_id(F.col("target")))
     old = h.where("hit_id % 23 = 0").select("finding_id", F.when(F.col("hit_id") % 2 == 0, "bundle").otherwise("webhook").alias("destination"))
-    return share.decisions(h.where("hit_id % 5 < 2"), ("bundle", "webhook"), old)
+    return share.decisions(h, ("bundle", "webhook"), old)
 
 
 @query(W + f""", f AS (SELECT {FID} AS finding_id, hit_id FROM hits), old AS (SELECT DISTINCT finding_id FROM f WHERE hit_id % 23 = 0) SELECT hit_id, finding_id FROM f WHERE finding_id NOT IN (SELECT finding_id FROM old)""")
@@ -218,17 +218,17 @@ def recovery_table(spark: SparkSession, d: str) -> DataFrame:
     return rollup.recovery(t).withColumn("rate", F.round("rate", 6))
 
 
-@query(CLASSED + " SELECT CASE WHEN hit_id % 4 = 0 THEN 'noise' WHEN hit_id % 4 = 1 THEN 'rfi_carrier' ELSE 'technosignature_like' END AS label, ai_class AS predicted, count(*) AS n FROM classed GROUP BY 1, 2")
+@query(CLASSED + " SELECT CASE WHEN hit_id % 4 = 0 THEN 'noise' WHEN hit_id % 4 = 1 THEN 'rfi_zero_drift' ELSE 'technosignature_like' END AS label, ai_class AS predicted, count(*) AS n FROM classed GROUP BY 1, 2")
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rollup.confusion(_labelled(spark, d))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("hit_id") % 4
-    return classed(spark, d).select(F.when(k == 0, "noise").when(k == 1, "rfi_carrier").otherwise("technosignature_like").alias("label"), F.col("ai_class").alias("predicted"), "drift")
+    return classed(spark, d).select(F.when(k == 0, "noise").when(k == 1, "rfi_zero_drift").otherwise("technosignature_like").alias("label"), F.col("ai_class").alias("predicted"), "drift")
 
 
-@query(CLASSED + """, l AS (SELECT CASE WHEN hit_id % 4 = 0 THEN 'noise' WHEN hit_id % 4 = 1 THEN 'rfi_carrier' ELSE 'technosignature_like' END AS label, ai_class, CAST(CASE WHEN abs(drift) < 0.5 THEN 0 WHEN abs(drift) < 1.0 THEN 1 ELSE 2 END AS INTEGER) AS band FROM classed) SELECT label, band, round(avg(CASE WHEN label = ai_class THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS recall, count(*) AS n FROM l GROUP BY 1, 2""")
+@query(CLASSED + """, l AS (SELECT CASE WHEN hit_id % 4 = 0 THEN 'noise' WHEN hit_id % 4 = 1 THEN 'rfi_zero_drift' ELSE 'technosignature_like' END AS label, ai_class, CAST(CASE WHEN abs(drift) < 0.5 THEN 0 WHEN abs(drift) < 1.0 THEN 1 ELSE 2 END AS INTEGER) AS band FROM classed) SELECT label, band, round(avg(CASE WHEN label = ai_class THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS recall, count(*) AS n FROM l GROUP BY 1, 2""")
 def recall_by_drift(spark: SparkSession, d: str) -> DataFrame:
     return rollup.recall_by_band(_labelled(spark, d), (0.5, 1.0)).withColumn("recall", F.round("recall", 6))
 

@@ -152,22 +152,27 @@ def subband_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 DM = """lag AS (SELECT CAST(s AS INTEGER) AS s, 4148.808::DOUBLE * (pow(200.0::DOUBLE - 1.5::DOUBLE * (s * 4 + 1.5::DOUBLE), -2) - pow(200.0::DOUBLE - 1.5::DOUBLE * 1.5::DOUBLE, -2)) / 1.0 AS delay FROM (SELECT unnest(range(0, 16)) AS s)),
-    nt AS (SELECT CAST(120 AS BIGINT) AS n), top AS (SELECT least(1000.0::DOUBLE, 60.0::DOUBLE / greatest(max(delay), 1e-12::DOUBLE)) AS top FROM lag), dms AS (SELECT CAST(i AS INTEGER) AS i, top * i / 7 AS dm FROM top, (SELECT unnest(range(0, 8)) AS i))"""
-EVT_T = 120
+    nt AS (SELECT CAST(max(t) + 1 AS BIGINT) AS n FROM evt), top AS (SELECT least(1000.0::DOUBLE, any_value(n) / 2.0::DOUBLE / greatest(max(delay), 1e-12::DOUBLE)) AS top FROM lag, nt), dms AS (SELECT CAST(i AS INTEGER) AS i, top * i / 7 AS dm FROM top, (SELECT unnest(range(0, 8)) AS i))"""
 
 
-@query("WITH " + DM + " SELECT i, round(dm, 6) AS dm FROM dms")
+def _bins(spark: SparkSession, d: str) -> int:
+    """Time steps of the event table, as a header would say."""
+    return (event_waterfall(spark, d).agg(F.max("t")).first()[0] or 0) + 1
+
+
+@query("WITH " + EVENTS + ", " + DM + " SELECT i, round(dm, 6) AS dm FROM dms")
 def dm_trials(spark: SparkSession, d: str) -> DataFrame:
-    return _round(detect.trials(detect.delays(spark, N_F, NSUB, 200.0, -1.5, TS), EVT_T, 1000.0, 8), "dm")
+    return _round(detect.trials(detect.delays(spark, N_F, NSUB, 200.0, -1.5, TS), _bins(spark, d), 1000.0, 8), "dm")
 
 
-DEDISP = SUB + ", " + DM + """, sh AS (SELECT s, i, dm, CAST(round_even(delay * dm, 0) AS INTEGER) AS shift FROM lag, dms), ser0 AS (SELECT i, t - shift AS t, sum(z) / 4.0::DOUBLE AS v FROM sub JOIN sh ON sub.s = sh.s WHERE t < 120 AND t - shift >= 0 AND shift < 120 GROUP BY 1, 2),
-    ser AS (SELECT dms.i, dm, CAST(g.t AS INTEGER) AS t, coalesce(v, 0.0) AS v FROM dms, (SELECT unnest(range(0, 120)) AS t) g LEFT JOIN ser0 ON ser0.i = dms.i AND ser0.t = g.t)"""
+DEDISP = SUB + ", " + DM + """, sh AS (SELECT s, i, dm, CAST(round_even(delay * dm, 0) AS INTEGER) AS shift FROM lag, dms), ser0 AS (SELECT i, t - shift AS t, sum(z) / 4.0::DOUBLE AS v FROM sub JOIN sh ON sub.s = sh.s WHERE t - shift >= 0 GROUP BY 1, 2),
+    ser AS (SELECT dms.i, dm, CAST(g.t AS INTEGER) AS t, coalesce(v, 0.0) AS v FROM dms, (SELECT unnest(range(0, (SELECT n FROM nt))) AS t) g LEFT JOIN ser0 ON ser0.i = dms.i AND ser0.t = g.t)"""
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
     lag = detect.delays(spark, N_F, NSUB, 200.0, -1.5, TS)
-    return detect.dedispersed(_sub(spark, d).where(F.col("t") < EVT_T), lag, detect.trials(lag, EVT_T, 1000.0, 8), EVT_T, NSUB)
+    n = _bins(spark, d)
+    return detect.dedispersed(_sub(spark, d), lag, detect.trials(lag, n, 1000.0, 8), n, NSUB)
 
 
 @query("WITH " + DEDISP + " SELECT i, round(dm, 6) AS dm, t, round(v, 6) AS v FROM ser")
@@ -176,19 +181,19 @@ def dedisperse(spark: SparkSession, d: str) -> DataFrame:
 
 
 BOX = DEDISP + """, bx AS (""" + " UNION ALL ".join(f"SELECT i, dm, t, {w} AS w, sum(v) OVER (PARTITION BY i ORDER BY t ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) / sqrt({w}::DOUBLE) AS box FROM ser" for w in (1, 2, 4, 8, 16)) + """),
-    bz AS (SELECT * FROM bx WHERE t <= 120 - w), bm AS (SELECT i, w, median(box) AS m FROM bz GROUP BY 1, 2), bs AS (SELECT bz.i, bz.w, m, 1.4826::DOUBLE * median(abs(box - m)) AS sd FROM bz JOIN bm ON bz.i = bm.i AND bz.w = bm.w GROUP BY 1, 2, 3),
+    bz AS (SELECT * FROM bx WHERE t <= (SELECT n FROM nt) - w), bm AS (SELECT i, w, median(box) AS m FROM bz GROUP BY 1, 2), bs AS (SELECT bz.i, bz.w, m, 1.4826::DOUBLE * median(abs(box - m)) AS sd FROM bz JOIN bm ON bz.i = bm.i AND bz.w = bm.w GROUP BY 1, 2, 3),
     bq AS (SELECT bz.i, dm, bz.w, t, round((box - m) / CASE WHEN sd <> 0 THEN sd ELSE 1 END, 9) AS snr FROM bz JOIN bs ON bz.i = bs.i AND bz.w = bs.w), bb AS (SELECT i, dm, w, t, snr FROM (SELECT *, row_number() OVER (PARTITION BY i, w ORDER BY snr DESC, t) AS rn FROM bq) WHERE rn = 1)"""
 
 
 @query("WITH " + BOX + " SELECT i, round(dm, 6) AS dm, w, t, round(snr, 6) AS snr FROM bb")
 def boxcar_snr(spark: SparkSession, d: str) -> DataFrame:
-    return _round(detect.boxcars(_series(spark, d), EVT_T).select("i", "dm", "w", "t", "snr"), "dm", "snr")
+    return _round(detect.boxcars(_series(spark, d), _bins(spark, d)).select("i", "dm", "w", "t", "snr"), "dm", "snr")
 
 
 @query("WITH " + BOX + """, bu AS (SELECT *, t // greatest(w, 4) AS bucket FROM bb WHERE snr >= 1.5), b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY snr DESC, i, w) AS r FROM bu) WHERE r = 1)
     SELECT i, round(dm, 6) AS dm, w, t, round(snr, 6) AS snr, dm < 1 AS likely_rfi FROM (SELECT *, row_number() OVER (ORDER BY snr DESC, t, i, w) AS q FROM b1) WHERE q <= 50""")
 def pulses(spark: SparkSession, d: str) -> DataFrame:
-    return _round(detect.pulses(detect.boxcars(_series(spark, d), EVT_T), 1.5).select("i", "dm", "w", "t", "snr", "likely_rfi"), "dm", "snr")
+    return _round(detect.pulses(detect.boxcars(_series(spark, d), _bins(spark, d)), 1.5).select("i", "dm", "w", "t", "snr", "likely_rfi"), "dm", "snr")
 
 
 @query("WITH " + EVENTS + """, sp AS (SELECT c, median(z) AS level FROM evt GROUP BY 1), md AS (SELECT median(level) AS m, stddev_pop(level) AS sd FROM sp), mx AS (SELECT m, sd, 1.4826::DOUBLE * median(abs(level - m)) AS mad FROM sp, md GROUP BY 1, 2)

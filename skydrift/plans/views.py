@@ -50,7 +50,7 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
         k.alias("hit_id"), (k % 6).cast("int").alias("scan_no"), (k % 2 == 0).alias("is_on"), F.concat(F.lit("T"), (u % 8).cast("string")).alias("target"), F.concat(F.lit("T"), (u % 8).cast("string")).alias("file"),
         (F.lit(1000.0) + F.col("o_totalprice") / 1000.0).alias("frequency_mhz"), ((k % 41 - 20) / 10.0).alias("drift"), ((k % 41 - 20) / 10.0).alias("drift_rate_hz_s"), (F.lit(10.0) + (u % 500) / 5.0).alias("snr"), ((k * 7919) % 65536).alias("channel"),
         (u % 12).cast("double").alias("bandwidth_ch"), ((k % 9) / 8.0).alias("on_fraction"), F.when(k % 10 != 0, (k % 100) / 100.0).alias("anomaly"),
-        F.when(k % 7 != 0, (k % 97) / 97.0).alias("p_technosignature_like"), ((k % 89) / 89.0).alias("p_rfi_carrier"), ((k % 83) / 83.0).alias("p_noise"), (k % 13 == 0).alias("drift_unresolved"), F.when(k % 5 == 0, "failed").when(k % 3 == 0, "passed").otherwise("not_run").alias("cadence"), (k % 11 == 0).alias("synthetic"))
+        F.when(k % 7 != 0, (k % 97) / 97.0).alias("p_technosignature_like"), ((k % 89) / 89.0).alias("p_rfi_zero_drift"), ((k % 83) / 83.0).alias("p_noise"), (k % 13 == 0).alias("drift_unresolved"), F.when(k % 5 == 0, "failed").when(k % 3 == 0, "passed").otherwise("not_run").alias("cadence"), (k % 11 == 0).alias("synthetic"))
     h = h.withColumns({"mirror_channel": mirror_channel(NFINE), "stationary": stationary(N_T), "known_rfi_band": in_bands("frequency_mhz", KNOWN_BANDS_MHZ), "mirror_image": F.col("hit_id") % 17 == 0, "multi_target": F.col("hit_id") % 19 == 0})
     return h
 
@@ -59,7 +59,7 @@ _bands = " OR ".join(f"frequency_mhz BETWEEN {lo} AND {hi}" for lo, hi in KNOWN_
 HITS = f"""h0 AS (SELECT o_orderkey AS hit_id, CAST(o_orderkey % 6 AS INTEGER) AS scan_no, o_orderkey % 2 = 0 AS is_on, 'T' || (o_custkey % 8) AS target, 'T' || (o_custkey % 8) AS file,
     1000.0::DOUBLE + o_totalprice / 1000.0::DOUBLE AS frequency_mhz, (o_orderkey % 41 - 20) / 10.0::DOUBLE AS drift, (o_orderkey % 41 - 20) / 10.0::DOUBLE AS drift_rate_hz_s, 10.0::DOUBLE + (o_custkey % 500) / 5.0::DOUBLE AS snr, (o_orderkey * 7919) % 65536 AS channel,
     CAST(o_custkey % 12 AS DOUBLE) AS bandwidth_ch, (o_orderkey % 9) / 8.0::DOUBLE AS on_fraction, CASE WHEN o_orderkey % 10 <> 0 THEN (o_orderkey % 100) / 100.0::DOUBLE END AS anomaly,
-    CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 97) / 97.0::DOUBLE END AS p_technosignature_like, (o_orderkey % 89) / 89.0::DOUBLE AS p_rfi_carrier, (o_orderkey % 83) / 83.0::DOUBLE AS p_noise, o_orderkey % 13 = 0 AS drift_unresolved,
+    CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 97) / 97.0::DOUBLE END AS p_technosignature_like, (o_orderkey % 89) / 89.0::DOUBLE AS p_rfi_zero_drift, (o_orderkey % 83) / 83.0::DOUBLE AS p_noise, o_orderkey % 13 = 0 AS drift_unresolved,
     CASE WHEN o_orderkey % 5 = 0 THEN 'failed' WHEN o_orderkey % 3 = 0 THEN 'passed' ELSE 'not_run' END AS cadence, o_orderkey % 11 = 0 AS synthetic FROM orders),
     hits AS (SELECT *, (channel // 1024 * 1024 + 512) * 2 - channel AS mirror_channel, abs(drift) * 15 <= 1 + 1e-6::DOUBLE AS stationary, {_bands} AS known_rfi_band, hit_id % 17 = 0 AS mirror_image, hit_id % 19 = 0 AS multi_target FROM h0)"""
 

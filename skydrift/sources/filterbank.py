@@ -225,6 +225,7 @@ class Unit(InputPartition):
     core_start: int
     core_stop: int
     if_index: int = 0
+    error: str | None = None
 
 
 def files_in(folder: str) -> list[str]:
@@ -246,6 +247,10 @@ def _rows(units: list[Unit]) -> Iterator[pa.RecordBatch]:
     types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
     kind = pa.schema([(n, types[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
     for u in units:
+        if u.error:
+            row = dict.fromkeys(kind.names) | {"unit_id": u.unit_id, "location": u.location, "error": u.error}
+            yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in kind], schema=kind)
+            continue
         h = Header(**u.header)
         try:
             z, error = read_window(u.location, u.chan_start, u.chan_stop, h, u.if_index), None
@@ -269,19 +274,38 @@ class FilterbankReader(DataSourceReader):
 
 
 class FilterbankStream(DataSourceStreamReader):
-    """Files of a folder that have names above those seen, in order of name; a batch takes all there are."""
+    """Files of a folder. An offset is all file names that were there, each with its size and time of change, so a
+    batch is what an earlier offset lacks, whatever the order of names and times; a file that is written anew is
+    searched again, and one that is taken away leaves no gap. Files named by `done` (comma-separated) are passed
+    over; names that end in .part are not yet complete."""
 
     def __init__(self, options: dict):
         self.folder, self.options = options["path"], options
+        self.done = set(filter(None, options.get("done", "").split(",")))
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {}
 
     def latestOffset(self) -> dict:
-        return {"files": len(files_in(self.folder))}
+        out = {}
+        for p in files_in(self.folder):
+            try:
+                s = os.stat(p)
+            except FileNotFoundError:  # taken away meanwhile
+                continue
+            if p not in self.done:
+                out[p] = f"{s.st_size}:{s.st_mtime_ns}"
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[Unit]:
-        return [u for p in files_in(self.folder)[start["files"] : end["files"]] for u in units_of(p, int(self.options.get("width", 262144)), int(self.options.get("pad", 0)))]
+        units = []
+        for p in sorted(end):
+            if start.get(p) != end[p]:
+                try:
+                    units += units_of(p, int(self.options.get("width", 262144)), int(self.options.get("pad", 0)))
+                except Exception as e:  # noqa: BLE001 - a file that can't be read is a unit that says why
+                    units.append(Unit(p, {}, f"{os.path.splitext(os.path.basename(p))[0]}:", 0, 0, 0, 0, error=f"{type(e).__name__}: {e}"))
+        return units
 
     def read(self, partition: Unit) -> Iterator[pa.RecordBatch]:
         return _rows([partition])
@@ -342,9 +366,9 @@ class Filterbank(DataSource):
 
 
 def header_table(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each file of a folder: what its header says, or why it can't be read."""
+    """A row for each file of a folder, or for the one file or URL named: what its header says, or why it can't be read."""
     rows = []
-    for p in files_in(folder):
+    for p in files_in(folder) if os.path.isdir(folder) else [folder]:
         try:
             h = asdict(read_header(p))
             rows.append((p, *(h[k] for k in ("fch1", "foff", "nchans", "tsamp", "nsamples", "nifs", "nbits", "tstart", "source_name", "data_offset")), {k: str(v) for k, v in h["extra"].items()}, None))

@@ -119,6 +119,24 @@ def test_overlapping_units_find_a_tone_once(spark, tmp_path):
     assert [abs(r["channel"] - 16390) <= 3 and abs(r["drift"] + 2.5) < 0.5 for r in found] == [True]
 
 
+def test_stream_takes_each_file_once_in_any_order_of_names(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    make(tmp_path / "in/m.fil")
+    make(tmp_path / "in/z.fil", seed=1)
+    cfg, seen = SearchConfig(channels_per_unit=8192), lambda: {(r["obs"], r["units"], r["errors"]) for r in crunch.ledger(spark, str(tmp_path / "out")).collect()}
+    run = lambda: crunch.crunch(spark, str(tmp_path / "in"), str(tmp_path / "out"), cfg).awaitTermination()
+    run()
+    first = seen()
+    assert {o for o, _, _ in first} == {"m", "z"}
+    make(tmp_path / "in/a.fil", seed=2)  # sorts before those that are done
+    (tmp_path / "in/m.fil").unlink()
+    (tmp_path / "in/bad.fil").write_bytes(b"\x05\x00\x00\x00hello")
+    run()
+    later = {o: (u, e) for o, u, e in seen()}
+    assert set(later) == {"m", "z", "a", "bad"} and later["bad"][1] == 1
+    assert later["z"] == next((u, e) for o, u, e in first if o == "z")  # not searched again
+
+
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     (tmp_path / "in").mkdir()
     make(tmp_path / "in/a.fil", tone=(2000, 1.5))
