@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import tempfile
 import uuid
@@ -20,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set to a local one only where unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='skydrift-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -68,7 +71,7 @@ def about(share: float, *columns: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
 
 
-def components(work: Workspace, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(work: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): rows (id, comp), comp the least id of the component.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) as joins and aggregates;
@@ -77,7 +80,7 @@ def components(work: Workspace, edges: DataFrame, most_rounds: int = 60) -> Data
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     e = work.table(e, "cc-0")
     last = None
-    for i in range(1, most_rounds):
+    for i in itertools.count(1):  # as many as it takes: their number grows with the logarithm of the nodes
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # every larger neighbour hangs on the least of the neighbourhood
@@ -91,8 +94,6 @@ def components(work: Workspace, edges: DataFrame, most_rounds: int = 60) -> Data
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("comp"))
     return e.select(F.col("b").alias("id"), F.col("a").alias("comp")).union(roots)
 

@@ -17,10 +17,12 @@ text has, and a parity bitmap of their shingles allow 0.8 at all. Pairs found so
 components of all verified links. No pair within a bucket that could be a link between components is
 left out, nothing is capped, and buckets are never gathered in one place.
 
-Null and empty texts, and those without words, are classes of their own. A class is named by its least
-doc_id; rows of equal doc_id are judged each by its own text; a row without doc_id gets the class of
-its text's group, which is null if no row of it has an id. An empty table gives an empty result. Other
-columns are ignored by `classes`, and kept by `keep_one`.
+Null and empty texts, and those without words, are classes of their own. Nodes are texts and not ids: rows of
+equal doc_id are judged each by its own text, and may be in different classes. A class is named by its least
+doc_id that is in no other class, and if it has none, by a negative number made of its texts; a row without doc_id gets the class of
+its text's group, which has no name if no row of it has an id. An empty table gives an empty result. Other
+columns are ignored by `classes`, and kept by `keep_one`. Ids are whole numbers or text that says one. Texts of any
+length are hashed whole; a task holds the hashes of one chunk of texts or of one longer text at a time.
 """
 
 from __future__ import annotations
@@ -106,40 +108,46 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), digest of the multiset (null without words), bands."""
+    """doc_id, tkey (a hash of the text), n (shingles), digest of the multiset (null without words), bands."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in _chunks(batch.column(1).to_pylist()):
+            for start, texts in _chunks(batch.column(2).to_pylist()):
                 lists = list(shingles(texts))
                 sig = signatures([counted(s) for s in lists])
                 b = bands(sig)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(start, len(texts)),
+                    "tkey": batch.column(1).slice(start, len(texts)),
                     "n": pa.array([len(s) for s in lists], pa.int64()),
                     "digest": pa.array([xxhash.xxh3_128_digest(np.sort(s).tobytes()) if len(s) else None for s in lists], pa.binary()),
                     "bands": pa.array([x if len(s) else [] for x, s in zip(b, lists)], pa.list_(pa.int64())),
                 })
         trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tkey(), "text").mapInArrow(task, "doc_id long, tkey long, n long, digest binary, bands array<long>")
+
+
+def _tkey():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey")
 
 
 def _with_elements(docs: DataFrame) -> DataFrame:
+    """digest, elems, parity of each row's text."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in _chunks(batch.column(1).to_pylist()):
+            for _, texts in _chunks(batch.column(0).to_pylist()):
                 lists = list(shingles(texts))
                 sets = [elements(s) for s in lists]
                 yield pa.RecordBatch.from_pydict({
                     "digest": pa.array([xxhash.xxh3_128_digest(np.sort(s).tobytes()) if len(s) else None for s in lists], pa.binary()),
-                    "doc_id": batch.column(0).slice(start, len(texts)),
                     "elems": pa.array([e.view(np.int64) for e in sets], pa.list_(pa.int64())),
                     "parity": pa.array([parity(e) for e in sets], pa.list_(pa.int64())),
                 })
         trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "digest binary, doc_id long, elems array<long>, parity array<long>")
+    return docs.select("text").mapInArrow(task, "digest binary, elems array<long>, parity array<long>")
 
 
 def _linked(pairs: DataFrame, elems: DataFrame) -> DataFrame:
@@ -150,22 +158,25 @@ def _linked(pairs: DataFrame, elems: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, n, digest; nodes: digest, node; comps: node, comp for nodes with a link). Nodes are the
-    least doc_id of their texts; a node without any id has none and takes part in no link."""
+    """(rows: doc_id, tkey, n, digest; nodes: digest, node; comps: node, comp for nodes with a link). Nodes are the
+    distinct texts, numbered as the table of them is written."""
     signed = work.table(_signed(docs), "signed")
-    nodes = work.table(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n")).alias("s"), F.first("bands").alias("bands")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.n").alias("n"), "bands"), "nodes")
-    rows = signed.select("doc_id", "n", "digest")
-    # two digests may share a node only if rows share a doc_id; the pair (node, digest) stays the key of rows
+    nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = work.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = signed.select("doc_id", "tkey", "n", "digest")
     member = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     buckets = member.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
     member = work.table(member.join(buckets, ["band", "value"]), "member")
     central = member.groupBy("node").agg(F.sum("size").alias("central"))
-    hubs = member.join(central, "node").groupBy("band", "value").agg(F.max(F.struct("central", (-F.col("node")).alias("neg"))).alias("m")).select("band", "value", (-F.col("m.neg")).alias("hub"))
+    hubs = member.join(central, "node").groupBy("band", "value").agg(F.max(F.struct("central", "node")).alias("m")).select("band", "value", F.col("m.node").alias("hub"))
     star = work.table(member.join(hubs, ["band", "value"]).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star")
     wanted = member.select("node").distinct()
-    ids = nodes.join(wanted, "node", "left_semi").select("digest", "node")
-    texts = docs.select("doc_id", "text").join(small(wanted.withColumnRenamed("node", "doc_id"), 16), "doc_id", "left_semi")
-    elems = work.table(_with_elements(texts).withColumnRenamed("doc_id", "node").join(ids, ["digest", "node"], "left_semi").dropDuplicates(["node"]), "elems")
+    ids = work.table(nodes.join(wanted, "node", "left_semi").select("digest", "node", "least_id"), "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least_id"), "text")
+    some = texts.join(small(ids.where("least_id IS NOT NULL").select("least_id").distinct(), 80), "least_id", "left_semi")
+    if not ids.where("least_id IS NULL").isEmpty():
+        some = some.union(texts.where("least_id IS NULL"))
+    elems = work.table(_with_elements(some).join(ids.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "elems", "parity"), "elems")
     links = work.table(_linked(star, elems), "links-1")
     comps = work.table(components(work, links).select(F.col("id").alias("node"), "comp"), "comps-1")
     # buckets that hold several components: their nodes outside the hub's component are paired across
@@ -193,24 +204,43 @@ def grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, Dat
     return rows, nodes.select("digest", "node"), comps
 
 
-def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id and class_id of every row."""
-    work = Workspace(spark, "near-dedup")
+def _named(docs: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, tkey, n, group (of the row's class; null for rows without words), class_id."""
     rows, nodes, comps = grouped(docs, work)
-    for tag in ("member", "star", "elems", "mixed", "span", "links-1", "links-2"):
+    for tag in ("member", "star", "elems", "ids", "mixed", "span", "links-1", "links-2"):
         work.drop(tag)
-    named = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("class"))
-    out = rows.join(named, "digest", "left")
-    return out.select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), "n")
+    group = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("group"))
+    rows = work.table(rows.join(group, "digest", "left"), "grouped")
+    own = F.coalesce("group", F.xxhash64("doc_id", "tkey"))
+    # ids that name nothing, as they stand in several classes; there are none unless ids come again
+    torn = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("doc_id")
+    torn = work.table(torn, "torn")
+    fit = rows.where("group IS NOT NULL AND doc_id IS NOT NULL")
+    sure = fit if torn.isEmpty() else fit.join(small(torn, 80), "doc_id", "left_anti")
+    names = fit.groupBy("group").agg((-1 - F.abs(F.min(F.xxhash64("digest")) % (1 << 62))).alias("other")).join(sure.groupBy("group").agg(F.min("doc_id").alias("least")), "group", "left")
+    out = rows.join(names.select("group", F.coalesce("least", "other").alias("name")), "group", "left")
+    return out.select("doc_id", "tkey", "n", "group", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("class_id"))
+
+
+def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id and class_id of every row."""
+    return _named(docs, Workspace(spark, "near-dedup")).select("doc_id", "class_id", "n")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents, with their own columns, of which each class keeps the one of least doc_id. Of rows that
-    repeat that doc_id one stays; rows without a doc_id stay."""
+    """The documents, with their own columns, of which each class keeps the one of least doc_id, of equal ids one
+    of them; rows without a doc_id stay. Of rows without words those with equal doc_id and text are one."""
     work = Workspace(spark, "near-keep")
-    got = work.table(classes(spark, docs), "classes")
-    losers = got.where("class_id IS NOT NULL AND doc_id IS NOT NULL AND class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(small(losers, 16), "doc_id", "left_anti").select(*docs.columns)
-    if got.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    got = work.table(_named(docs, work).where("doc_id IS NOT NULL").select("doc_id", "tkey", F.coalesce("group", F.xxhash64("doc_id", "tkey")).alias("group"), "class_id"), "classes")
+    best = got.groupBy("group", "class_id").agg(F.min(F.struct("doc_id", "tkey")).alias("b"))
+    losers = got.join(best, ["group", "class_id"]).where("doc_id <> b.doc_id OR tkey <> b.tkey").select("doc_id", "tkey").distinct()
+    again = work.table(got.groupBy("doc_id", "tkey").count().where("count > 1").select("doc_id", "tkey"), "again")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    keyed = inner.withColumns({"doc_id": F.col(at["doc_id"]).cast("long"), "text": F.col(at["text"])}).withColumn("tkey", _tkey()).drop("text")
+    kept = keyed.join(small(losers, 80), ["doc_id", "tkey"], "left_anti")
+    if not again.isEmpty():
+        twice = small(again, 80)
+        kept = kept.join(twice, ["doc_id", "tkey"], "left_anti").unionByName(kept.join(twice, ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"]))
+    return kept.select(*[F.col(n).alias(c) for c, n in at.items()])

@@ -109,6 +109,23 @@ def test_nulls_repeats_and_no_rows(spark):
     assert near_dedup.classes(spark, table(spark, [])).collect() == []
 
 
+def test_texts_that_share_an_id_are_judged_each_by_itself(spark):
+    rng = random.Random(8)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    near = lambda w, k: " ".join([*w[:-1], f"end{k}"])
+    rows = [(5, near(a, 0)), (5, near(b, 0)), (6, near(a, 1)), (7, near(b, 1)), (8, near(c, 0)), (8, near(a, 2)), (3, "x y z"), (3, near(c, 1))]
+    d = table(spark, [(i, t, None, None, None) for i, t in rows])
+    got = near_dedup._named(d, Workspace(spark, "t")).collect()
+    name = {(r["doc_id"], r["tkey"]): r["class_id"] for r in got}
+    keys = {t: k for (i, t), k in zip(rows, d.select(near_dedup._tkey()).toPandas()["tkey"].tolist())}
+    of = [name[i, keys[t]] for i, t in rows]
+    assert of[:4] == [6, 7, 6, 7] and of[5] == 6
+    assert of[4] == of[7] < 0 and of[6] < 0 and of[4] != of[6]  # ids 3 and 8 stand in several classes
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one(spark, d).collect())
+    left = [r for r in rows if r[1] in {t for _, t in kept}]
+    assert len(kept) == len(set(of)) == 4 and {name[i, keys[t]] for i, t in left} == set(of)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)]
     got = {r["id"]: r["comp"] for r in components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
