@@ -6,19 +6,20 @@ dictionaries and not on itself. With g and b the sums of the sizes, the normalis
 (b - g) / (b + g), how well the text compresses at all, (g + 8) / (n + 8), and its length enter a
 logistic calibration, fitted on labelled texts that neither dictionary has seen.
 
-The fit sees a bounded sample: `most_rows` rows a class for the dictionaries (of each at most
-`most_bytes` bytes) and as many for the calibration, give or take a few, chosen by the hash of the id. Scoring covers
-whole texts of all rows. Held-out rows (crc32 of the id as text, modulo 5, is 0) are never learnt from.
+The fit sees a bounded sample of labelled rows: about `most_rows` ids a class for the dictionaries and as many for the
+calibration, chosen by the hash of the id, with their whole texts. Of the pieces of `PIECE` bytes that the former
+cut into, a dictionary is built from about `SHARE` times its size, chosen by hash from all of each text; only those
+come to the driver, and of the latter only sizes. Scoring covers whole texts of all rows. Held-out rows (crc32 of the id as text,
+modulo 5, is 0) are never learnt from. Very long texts are compressed block after block and never copied.
 
 Null texts are empty; an empty text gets the score that the calibration gives to no bytes. Rows of null
 doc_id are scored and never learnt from. Labels of null quality, or of ids without a document, are left
-out; repeated rows count as often as they come. Without labels of both classes every score is 0.5.
+out; repeated labels count once, repeated documents as often as they come (about `most_rows` different sizes a class). Without labels of both classes every score is 0.5.
 Extra columns are ignored by `score`, and kept by `keep_good`.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,9 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import about, crc32_mod, trim
+from .common import Workspace, about, crc32_mod, small, trim
 
 THRESHOLD = 0.3
+#: Bytes of a piece; the pieces of a dictionary as a multiple of its size.
+PIECE, SHARE = 1024, 16
 
 
 @dataclass(frozen=True)
@@ -86,16 +89,17 @@ def _features(sizes: np.ndarray) -> np.ndarray:
     return np.c_[d, r, r * r, d * r, d * d, np.log1p(n)]
 
 
-def _calibrate(sizes: np.ndarray, y: np.ndarray) -> dict:
-    """Logistic regression by damped Newton steps, lightly held to zero."""
+def _calibrate(sizes: np.ndarray, y: np.ndarray, times: np.ndarray) -> dict:
+    """Logistic regression by damped Newton steps, lightly held to zero. times: how often each row comes."""
     x = _features(sizes)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean = np.average(x, axis=0, weights=times)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=times)) + 1e-9
     z, ridge = np.c_[np.ones(len(x)), (x - mean) / scale], np.diag([0.0] + [0.05] * x.shape[1])
     w = np.zeros(z.shape[1])
-    loss = lambda w: np.logaddexp(0, np.where(y == 1, -(z @ w), z @ w)).sum() + w @ ridge @ w / 2
+    loss = lambda w: times @ np.logaddexp(0, np.where(y == 1, -(z @ w), z @ w)) + w @ ridge @ w / 2
     for _ in range(60):
         p = _sigmoid(z @ w)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-6 * np.eye(len(w)), z.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve((z * (times * p * (1 - p))[:, None]).T @ z + ridge + 1e-6 * np.eye(len(w)), z.T @ (times * (p - y)) + ridge @ w)
         t = 1.0
         while t > 1e-4 and loss(w - t * step) > loss(w):
             t /= 2
@@ -105,41 +109,51 @@ def _calibrate(sizes: np.ndarray, y: np.ndarray) -> dict:
     return {"weights": tuple(map(float, w)), "mean": tuple(map(float, mean)), "scale": tuple(map(float, scale))}
 
 
-def _dictionary(texts: list[bytes], size: int, piece: int = 1024) -> bytes:
-    parts = [t[i : i + piece] for t in texts for i in range(0, len(t), piece)]
-    random.Random(1).shuffle(parts)
-    parts = parts[: 16 * size // piece]
+def _dictionary(pieces: list[bytes], size: int) -> bytes:
     try:
-        return zstandard.train_dictionary(size, parts).as_bytes()
+        return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:  # too few samples: their bytes themselves
-        return b"".join(parts)[-size:] or b"\n" * 16
+        return b"".join(pieces)[-size:] or b"\n" * 16
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_bytes: int = 16 << 10, dictionary_bytes: int = 448 << 10) -> Model:
-    """Learns from rows that are not held out."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 5) != 0))
-    held = {int(r["quality"]): r["count"] for r in known.where("quality IN (0, 1)").groupBy("quality").count().collect()}
-    ids = None
+def _pieces(picked: DataFrame, dictionary_bytes: int) -> dict[int, list[bytes]]:
+    """picked(doc_id, quality, text): of each class pieces of its texts, from all of them with the same chance."""
+    b = picked.select("doc_id", "quality", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    n = F.ceil(F.octet_length("b") / PIECE).cast("int")
+    held = {int(r["quality"]): r["n"] for r in b.groupBy("quality").agg(F.sum(n).alias("n")).collect()}
+    out: dict[int, list[bytes]] = {0: [], 1: []}
+    cut = b.where("octet_length(b) > 0").select("doc_id", "quality", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    chosen = None
     for q in (0, 1):
-        some = known.where((F.col("quality") == q) & about(2 * most_rows / max(held.get(q, 0), 1), "doc_id", seed=11)).select("doc_id", "quality").distinct()
-        ids = some if ids is None else ids.union(some)
-    ids = ids.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))).select("doc_id", "quality", "part")
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 4 * most_rows short rows
-    first = picked.where("part = 0").select("quality", F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, most_bytes).alias("b"))
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for q, b in first.orderBy(F.xxhash64("b")).limit(4 * most_rows).collect():
-        if b:
-            texts[int(q)].append(bytes(b))
+        some = cut.where((F.col("quality") == q) & about(SHARE * dictionary_bytes / PIECE / max(held.get(q) or 0, 1), "doc_id", "i", seed=3))
+        chosen = some if chosen is None else chosen.union(some)
+    chosen = chosen.select("quality", F.col("b").substr(F.col("i") * PIECE + 1, F.lit(PIECE)).alias("b"), F.xxhash64("doc_id", "i", F.lit(1)).alias("h"))
+    for row in sorted(chosen.collect(), key=lambda r: (r["h"], bytes(r["b"]))):  # the bound is twice SHARE * dictionary_bytes
+        out[int(row["quality"])].append(bytes(row["b"]))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, dictionary_bytes: int = 448 << 10) -> Model:
+    """Learns from rows that are not held out."""
+    work = Workspace(docs.sparkSession, "quality")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc32_mod("doc_id", 5) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    held = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    share = F.when(F.col("quality") == 1, about(2 * most_rows / max(held.get(1, 0), 1), "doc_id", seed=11)).otherwise(about(2 * most_rows / max(held.get(0, 0), 1), "doc_id", seed=11))
+    ids = known.where(share).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)))
+    picked = work.table(docs.select("doc_id", "text").join(small(ids, 80), "doc_id"), "picked")
+    pieces = _pieces(picked.where("part = 0"), dictionary_bytes)
     blank = Model(b"\n" * 16, b"\n" * 16)
-    if not texts[0] or not texts[1]:
+    if not pieces[0] or not pieces[1]:
         return blank
-    even = min(dictionary_bytes, *(max(256, sum(map(len, t))) for t in texts.values()))
-    model = Model(_dictionary(texts[1], even), _dictionary(texts[0], even))
-    got = _sized(picked.where("part = 1"), model, "quality").limit(8 * most_rows).collect()
-    y = np.array([int(r["quality"]) for r in got])
+    even = min(dictionary_bytes, *(max(256, sum(map(len, t))) for t in pieces.values()))
+    model = Model(_dictionary(pieces[1], even), _dictionary(pieces[0], even))
+    sizes = work.table(_sized(picked.where("part = 1"), model, "quality").groupBy("quality", "g", "b", "n").agg(F.count("*").alias("times")), "sizes")
+    got = sizes.where(about(2 * most_rows / max(sizes.count(), 1), "quality", "g", "b", "n", seed=7)).orderBy("quality", "g", "b", "n").collect()
+    work.drop()
+    y = np.array([r["quality"] for r in got])
     if not len(y) or y.min() == y.max():
         return blank
-    return Model(model.good, model.bad, **_calibrate(np.array([(r["g"], r["b"], r["n"]) for r in got]), y))
+    return Model(model.good, model.bad, **_calibrate(np.array([(r["g"], r["b"], r["n"]) for r in got]), y, np.array([float(r["times"]) for r in got])))
 
 
 def _sized(df: DataFrame, model: Model, *names: str) -> DataFrame:
@@ -149,6 +163,7 @@ def _sized(df: DataFrame, model: Model, *names: str) -> DataFrame:
         for batch in batches:
             x = np.array([sent.value.sizes(t) for t in batch.column(0).to_pylist()], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x[:, k]) for k in range(3))], names=[*batch.schema.names[1:], "g", "b", "n"])
+        trim()
 
     kinds = dict(df.dtypes)
     return df.select("text", *names).mapInArrow(task, ", ".join([*(f"{n} {kinds[n]}" for n in names), "g long, b long, n long"]))

@@ -47,3 +47,44 @@ def test_labels_of_null_quality_and_without_documents(spark):
     d, labels = mixed(spark)
     more = labels.union(spark.createDataFrame([(1, None, 0), (None, 1, 0), (10**6, 0, 0)], labels.schema))
     assert quality.score(d, more).count() == d.count()
+
+
+def test_scores_against_plain_steps(spark):
+    """Each block compressed by itself with either dictionary, and the logistic curve by hand."""
+    import math
+
+    import zstandard
+
+    d, labels = mixed(spark)
+    model = quality.train(d, labels)
+    for r in quality.score(d, labels, model).join(d.select("doc_id", "text"), "doc_id").collect():
+        raw, sums = r["text"].encode(), []
+        for blob in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(blob), write_content_size=False, write_dict_id=False)
+            sums.append(sum(len(c.compress(raw[i : i + model.block])) for i in range(0, len(raw), model.block)))
+        g, b = sums
+        x, y, n = (b - g) / (b + g), math.log((g + 8) / (len(raw) + 8)), math.log1p(len(raw))
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], (x, y, y * y, x * y, x * x, n), model.mean, model.scale))
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 0.02  # prepared dictionaries may choose other matches
+
+
+def test_learns_from_whole_texts(spark):
+    """What tells good from bad begins after 20,000 bytes that all texts share."""
+    rng = np.random.default_rng(1)
+    same = " ".join(f"w{x}" for x in rng.integers(0, 5000, 4000))
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter") for b in ("ra", "ven", "sol", "di")]
+    texts = [same + " " + " ".join(w if i % 2 else w.upper() + "!!" for w in rng.choice(vocab, 6000)) for i in range(60)]
+    d = docs(spark, texts)
+    got = quality.score(d, spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
+def test_rows_that_come_very_often(spark):
+    from pyspark.sql import functions as F
+
+    d, labels = mixed(spark)
+    many = labels.crossJoin(spark.range(400)).drop("id").unionByName(labels)
+    assert quality.train(d, many) == quality.train(d, labels)
+    often = d.where("doc_id = 1").crossJoin(spark.range(30_000)).drop("id").select(d.columns).unionByName(d)
+    model = quality.train(often, labels, dictionary_bytes=64 << 10)
+    assert len(model.good) <= 64 << 10 and quality.score(d, labels, model).where(F.col("score").isNull()).count() == 0
