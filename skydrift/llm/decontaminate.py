@@ -5,17 +5,20 @@ runs of ten consecutive words, or the item itself if it has fewer (an item witho
 windows of all items form one automaton, and each text is scanned once in its normalised form, words
 joined by single blanks; what it finds is mapped back to words and to offsets in the original text.
 
-Benchmarks above `item_bytes` are dealt into several automata of at most that size, which the texts
-pass one after the other, so no automaton outgrows a worker.
+The benchmark's size is summed before anything is sent. Up to `item_bytes` it is one automaton, which a worker builds
+once. A larger one is dealt into several of about that size, which the texts pass one after the other, so no automaton outgrows a worker; parts
+come to the driver one at a time.
 
 Null and empty texts have no words. Items of equal item_id count once; a null item_id is called "null".
 Repeated documents are each judged; other columns of the documents are kept as they are, except where
-`verdicts` returns its own. An empty benchmark leaves every document clean.
+`verdicts` returns its own. An empty benchmark leaves every document clean. Texts of any length are scanned whole, in
+pieces that overlap by a window, so that no more than a piece is held as words.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -51,25 +54,32 @@ def automaton(items: list[tuple[str, str | None]], window: int = 10):
     return a
 
 
-def scan(a, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+def _cut(raw: bytes, size: int) -> Iterator[bytes]:
+    """A folded text in pieces of about this size, cut at blanks."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end]
+        at = end
+
+
+def scan(a, text: str | None, window: int = 10, size: int = 1 << 20) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Words, the hit runs of words [first, last + 1) and the items found."""
-    w = words(text)
-    if not len(a) or not w:
-        return len(w), [], set()
-    flat = f" {b' '.join(w).decode('latin-1')} "
-    got = list(a.iter(flat))
-    if not got:
-        return len(w), [], set()
-    last = {int(e): i for i, e in enumerate(np.cumsum([len(x) + 1 for x in w]))}  # place of the blank after each word
-    runs, items = [], set()
-    for first, end in sorted((last[e] - n + 1, last[e] + 1) for e, (n, _) in got):
-        if runs and first <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], end))
-        else:
-            runs.append((first, end))
-    for _, (_, keys) in got:
-        items |= keys
-    return len(w), runs, items
+    n, tail, found, items = 0, [], [], set()
+    for piece in _cut((text or "").encode("utf-8", "surrogatepass").translate(FOLD), size):
+        fresh = piece.split()
+        w = tail + fresh
+        if len(a) and w:
+            got = list(a.iter(f" {b' '.join(w).decode('latin-1')} "))
+            if got:  # places of the blanks after words say which word is a match's last
+                last = np.searchsorted(np.cumsum([len(x) + 1 for x in w]), [e for e, _ in got]) + n - len(tail)
+                found += [(e - k + 1, e + 1) for e, (_, (k, _)) in zip(last.tolist(), got)]
+                for _, (_, keys) in got:
+                    items |= keys
+        n += len(fresh)
+        tail = w[len(w) - min(len(w), window - 1) :]
+    return n, merged(found), items
 
 
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,12 +101,24 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SCANNED = "n_words long, runs array<struct<first:int,last:int>>, items array<string>"
 
 
-def _dealt(benchmark: DataFrame, item_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The benchmark in parts of at most about item_bytes, each collected on its own."""
+def _parts(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark in parts of at most about item_bytes, of which one is collected at a time."""
     b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     total = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     k = max(1, -(-2 * total // item_bytes)) if total > item_bytes else 1
-    return [[tuple(r) for r in b.where(F.pmod(F.xxhash64("item_id"), F.lit(k)) == i).collect()] for i in range(k)]
+    for i in range(k):
+        yield [tuple(r) for r in b.where(F.pmod(F.xxhash64("item_id"), F.lit(k)) == i).collect()]
+
+
+_built: dict[str, object] = {}
+
+
+def _once(key: str, make):
+    """One automaton a worker: the last."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = make()
+    return _built[key]
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_bytes: int = 32 << 20) -> DataFrame:
@@ -105,16 +127,16 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_bytes:
     out = docs.withColumns({"_n": F.lit(0).cast("long"), "_r": F.lit(None).cast("array<struct<first:int,last:int>>"), "_i": F.lit(None).cast("array<string>")})
     schema = out.schema
     at = schema.fieldNames().index("text")
-    for items in _dealt(benchmark, item_bytes):
-        sent = spark.sparkContext.broadcast(items)
+    for items in _parts(benchmark, item_bytes):
+        sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            a = automaton(sent.value, window)
+        def task(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            a = _once(key, lambda: automaton(sent.value, window))
             for batch in batches:
                 n, r, i = [], [], []
                 kept = [batch.column(batch.num_columns - k) for k in (2, 1)]
                 for row, text in enumerate(batch.column(at).to_pylist()):
-                    count, runs, found = scan(a, text)
+                    count, runs, found = scan(a, text, window)
                     if kept[0][row].is_valid:
                         runs = merged(runs + [(x["first"], x["last"]) for x in kept[0][row].as_py()])
                         found |= set(kept[1][row].as_py())

@@ -55,3 +55,20 @@ def test_no_rows_and_no_items(spark):
     assert decontaminate.verdicts(table(spark, []), bench(spark)).collect() == []
     got = decontaminate.verdicts(docs(spark, TEXTS), bench(spark, [])).collect()
     assert not any(r["contaminated"] for r in got) and len(got) == len(TEXTS)
+
+
+def test_pieces_of_long_texts_change_nothing():
+    import random
+
+    rng = random.Random(3)
+    items = [(str(k), " ".join(rng.choice("abcdef") for _ in range(rng.randrange(3, 16)))) for k in range(30)]
+    a = decontaminate.automaton(items)
+    for n in (1, 9, 10, 11, 200, 4000):
+        text = "".join(rng.choice(["a", "B", "c", "d", "E", "f"]) + rng.choice([" ", " ", ", ", "\n"]) for _ in range(n))
+        assert decontaminate.scan(a, text, size=1 << 30) == decontaminate.scan(a, text, size=7) == decontaminate.scan(a, text, size=64)
+
+
+def test_long_texts(spark):
+    text = "word " * 4_000_000 + "short one " + "x" * 5_000_000
+    got = decontaminate.verdicts(docs(spark, [text, text[:100]]), bench(spark)).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"]) for r in got] == [(4_000_003, 2), (20, 0)]
