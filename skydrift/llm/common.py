@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import itertools
 import os
 import tempfile
@@ -45,6 +46,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.at(tag))
         return self.spark.read.schema(df.schema).parquet(self.at(tag))
 
+    def free(self) -> None:
+        """Shuffle files of finished steps go when the driver collects what refers to them; a long job asks for that between steps."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, tag: str = "") -> None:
         try:
             jvm = self.spark._jvm
