@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import math
 import os
+import time
+import urllib.request
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 from .config import SearchConfig
 from .functions.exprs import is_off_scan
 from .operators import learn, report, rfi, rollup, share
-from .operators.search import candidates, nfine_of, searched
-from .sources import filterbank
+from .operators.search import candidates, guard, nfine_of, searched
+from .sources import archive, filterbank, publish
 
 
 def session() -> SparkSession:
@@ -24,23 +27,27 @@ def session() -> SparkSession:
     return spark
 
 
-def guard(h: filterbank.Header, cfg: SearchConfig) -> int:
-    """Channels of padding on each side of a unit's core."""
-    hz = abs(h.foff) * 1e6
-    k = int(np.ceil(cfg.max_drift_rate_hz_s * h.tsamp / hz)) if hz else 1
-    return max(1, min(k, cfg.max_drift_ch_per_step)) * max(h.nsamples, 1) + 8
+def too_large(h: filterbank.Header, cfg: SearchConfig) -> str | None:
+    """Why a unit of this file would not fit, or None (as axis.unit_too_large)."""
+    mb = min(min(cfg.channels_per_unit, h.nchans) + 2 * guard(h, cfg), h.nchans) * h.nsamples * 4 / (1 << 20)
+    return f"a unit would be {math.ceil(mb)} MB; the limit is {cfg.max_download_mb}" if mb > cfg.max_download_mb else None
 
 
 def analyze(spark: SparkSession, location: str, out: str, cfg: SearchConfig, f_start: float | None = None, f_stop: float | None = None) -> dict:
     """Searches one file, or a frequency range of it, and writes the run below out."""
+    began = time.perf_counter()
+    filterbank.register(spark)
     h = filterbank.read_header(location)
+    if reason := too_large(h, cfg):
+        raise ValueError(f"{location} is not searched: {reason}")
     c0, c1 = 0, h.nchans
     if f_start is not None or f_stop is not None:
         ends = [((f - h.fch1) / h.foff) for f in (h.fch1 if f_start is None else f_start, h.fch1 + h.foff * (h.nchans - 1) if f_stop is None else f_stop)]
         c0, c1 = max(0, int(np.floor(min(ends)))), min(h.nchans, int(np.ceil(max(ends))) + 1)
     units = spark.read.format("filterbank").option("width", cfg.channels_per_unit).option("pad", guard(h, cfg)).option("c0", c0).option("c1", c1).load(location)
     hits = searched(units, cfg, nfine_of(h.foff, h.nchans)).cache()
-    meta = report.write_run(spark, hits, candidates(hits, cfg), out, cfg, os.path.basename(location))
+    model, why = learn.load(spark, cfg.model_path) if cfg.use_ai else (None, "switched off")
+    meta = report.write_run(spark, hits, candidates(hits, cfg, model), out, cfg, os.path.basename(location), time.perf_counter() - began, why and f"hits have no classes: {why}")
     hits.unpersist()
     return meta
 
@@ -83,8 +90,9 @@ def cadence(spark: SparkSession, files: list[str], out: str, cfg: SearchConfig)
     return spark.read.parquet(f"{out}/events")
 
 
-def share_run(spark: SparkSession, run: str, out: str, cfg: SearchConfig) -> DataFrame:
-    """Writes the run's best findings that pass the gate to a local bundle that doesn't hold them yet."""
+def share_run(spark: SparkSession, run: str, out: str, cfg: SearchConfig, to: tuple[str, ...] = ("bundle",)) -> DataFrame:
+    """Sends the run's best findings that pass the gate to each place that doesn't hold them yet, and remembers what
+    arrived: (finding_id, destination, ok, detail)."""
     found = spark.read.parquet(f"{run}/candidates.parquet").where(F.col("interest") >= cfg.share_min_interest)
     lacking = {c: F.lit(None).cast(t) for c, t in (("multi_target", "boolean"), ("synthetic", "boolean")) if c not in found.columns}
     found = found.withColumns(lacking | {"cadence": F.col("cadence") if "cadence" in found.columns else F.lit("not_run"), "finding_id": share.finding_id(F.col("file"))})
@@ -92,10 +100,45 @@ def share_run(spark: SparkSession, run: str, out: str, cfg: SearchConfig) -> Dat
         done = spark.read.parquet(f"{out}/shared")
     except AnalysisException:  # nothing has been shared
         done = spark.createDataFrame([], "finding_id string, destination string")
-    send = share.decisions(found, ("bundle",), done, cfg.share_require_cadence).where("action = 'send'").select("finding_id")
-    sent = share.write_bundle(share.records(found.join(send, "finding_id", "left_semi")), f"{out}/bundle", cfg.share_top)
-    sent.select("finding_id", F.lit("bundle").alias("destination")).write.mode("append").parquet(f"{out}/shared")
-    return sent
+    chosen = share.decisions(found, to, done, cfg.share_require_cadence).where("action = 'send'").select("finding_id", "destination")
+    results = None
+    for place in to:
+        best = share.records(found.join(chosen.where(F.col("destination") == place), "finding_id", "left_semi"))
+        if place == "bundle":
+            sent = share.write_bundle(best, f"{out}/bundle", cfg.share_top).select("finding_id", F.lit(True).alias("ok"), F.lit("written").alias("detail"))
+        else:
+            top = best.orderBy(F.desc("interest"), "finding_id").limit(cfg.share_top).select("finding_id", "record").repartition(1)  # a few, one after the other
+            if place == "webhook" and cfg.webhook_url:
+                sent = publish.to_webhook(top, cfg.webhook_url, cfg.webhook_format)
+            elif place == "issues" and cfg.github_repo:
+                sent = publish.to_issues(top, os.environ.get("ISSUES_API", "https://api.github.com"), cfg.github_repo, os.environ.get("GITHUB_TOKEN", ""))
+            else:
+                raise ValueError(f"the settings don't say where {place} is")
+        sent = sent.withColumn("destination", F.lit(place))
+        results = sent if results is None else results.unionByName(sent)
+    results = spark.createDataFrame(results.collect(), results.schema)  # sent once; share_top rows a place
+    results.where("ok").select("finding_id", "destination").write.mode("append").parquet(f"{out}/shared")
+    return results
+
+
+def status(spark: SparkSession, archive_url: str | None, volunteers_url: str | None) -> list[str]:
+    """What the two kinds of servers answer: an archive's query for one row, and a project's status page."""
+    def fetch(url: str) -> bytes:
+        with urllib.request.urlopen(url, timeout=10) as r:
+            return r.read()
+
+    out = [f"Spark {spark.version}, {spark.sparkContext.defaultParallelism} tasks at once"]
+    if archive_url:
+        rows = archive.observations(spark, archive_url, {"target": "HIP", "limit": 1}, fetch).collect()
+        bad = [r["target"] for r in rows if r["kind"] == "error"]
+        out.append(f"archive: unreachable ({bad[0]})" if bad else "archive: reachable" if rows else "archive: answered, but returned no rows")
+    if volunteers_url:
+        try:
+            r = archive.ready_to_send(spark.createDataFrame([(1, fetch(volunteers_url).decode())], "id int, body string")).first()
+            out.append(f"volunteers: reachable, {r['ready']} results ready" if r["distributing"] else "volunteers: reachable, sends out no work")
+        except Exception as e:  # noqa: BLE001 - a status says what is wrong
+            out.append(f"volunteers: unreachable ({type(e).__name__})")
+    return out
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -106,6 +149,16 @@ def main(argv: list[str] | None = None) -> None:
         for a in args:
             s.add_argument(a)
         s.add_argument("--config")
+        if name == "crunch":
+            s.add_argument("--limit", type=int, help="files of a visit")
+            s.add_argument("--max-units", type=int, help="units of a file on a visit; the next visit goes on from there")
+        if name == "share":
+            s.add_argument("--to", help="bundle, webhook, issues; comma-separated")
+        if name == "summary":
+            s.add_argument("--out")
+        if name == "status":
+            s.add_argument("--archive", help="base address of an archive's queries")
+            s.add_argument("--volunteers", help="address of a project's status page")
         if name == "analyze":
             s.add_argument("--f-start", type=float)
             s.add_argument("--f-stop", type=float)
@@ -123,26 +176,32 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "analyze":
         print(json.dumps(analyze(spark, a.path, a.out, cfg, a.f_start, a.f_stop)["stats"]))
     elif a.command == "crunch":
-        from .streaming.crunch import crunch, ledger
+        from .streaming.crunch import crunch, ledger, visit
 
-        crunch(spark, a.folder, a.out, cfg).awaitTermination()
-        ledger(spark, a.out).show()
+        if a.limit or a.max_units:
+            visit(spark, a.folder, a.out, cfg, a.limit or 1000, a.max_units).show(truncate=False)
+        else:
+            crunch(spark, a.folder, a.out, cfg).awaitTermination()
+            ledger(spark, a.out).show()
     elif a.command == "train":
-        model, _, right = learn.train(learn.examples(spark, 200))
-        model.write().overwrite().save(a.out)
+        model, _, right = learn.train(learn.examples(spark, 400).persist())
+        learn.save(model, a.out)
         print(f"right on the held-out quarter: {right:.3f}")
     elif a.command == "benchmark":
         r = rollup.recovery(learn.recovery_trials(spark, (1.5, 2.0, 3.0), (0.0, 0.5, 2.0, 8.0), 20)).orderBy("snr", "drift")
         r.write.mode("overwrite").option("header", True).csv(a.out)
         r.show()
     elif a.command == "summary":
-        report.read_runs(spark, a.root).orderBy(F.desc("hits")).show(truncate=False)
+        table, notes, best = report.summary(spark, a.root, a.out or a.root)
+        table.show(1000, truncate=False)
+        print(json.dumps({"warnings": notes, "best": best}, default=str))
     elif a.command == "cadence":
         cadence(spark, a.files, a.out, cfg).show(truncate=False)
     elif a.command == "share":
-        share_run(spark, a.run, a.out, cfg).show()
+        share_run(spark, a.run, a.out, cfg, tuple(a.to.split(",")) if a.to else cfg.share_to).show(truncate=False)
     elif a.command == "status":
-        print(f"Spark {spark.version}, {spark.sparkContext.defaultParallelism} tasks at once")
+        for line in status(spark, a.archive, a.volunteers):
+            print(line)
 
 
 if __name__ == "__main__":

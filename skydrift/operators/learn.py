@@ -117,7 +117,19 @@ def measures(z: np.ndarray, start: float, drift: float, snr: float) -> list[floa
     return [snr, abs(drift), float(abs(drift) < 0.02), float(hi - lo - 1), float((on > 2).mean()), float(dev.std() / base), float((dev**4).mean() / var**2), float(np.sqrt((off[strong] ** 2).mean())) if strong.sum() >= 2 else 6.0, float(np.r_[p[12:28], p[37:53]].mean() / (peak + 1e-3)), float(np.delete(s, np.s_[28:37], 1).mean()), float(on.max() / base)]
 
 
-EXAMPLE = "label string, drift double, " + ", ".join(f"{s} double" for s in SCALARS)
+def image(z: np.ndarray, start: float, drift: float, rows: int = 16, pool: int = 4) -> np.ndarray:
+    """The array form of features.images, row by row."""
+    n_t, n_f = z.shape
+    at = np.rint(start + drift * np.arange(n_t)).astype(int)[:, None] - 32 + np.arange(64)
+    s = np.where((at >= 0) & (at < n_f), z[np.arange(n_t)[:, None], at.clip(0, n_f - 1)], 0.0)
+    if n_t != rows:
+        a = np.arange(rows) * n_t // rows
+        s = np.stack([s[k:j].mean(0) for k, j in zip(a, np.maximum((np.arange(rows) + 1) * n_t // rows, a + 1))])
+    s = s.reshape(rows, -1, pool).mean(2)
+    return (s / (np.abs(s).max() + 1e-6)).ravel()
+
+
+EXAMPLE = "label string, drift double, " + ", ".join(f"{s} double" for s in SCALARS) + ", img array<double>"
 
 
 def examples(spark: SparkSession, per_class: int, seed: int = 1, n_t: int = 16, n_f: int = 1024, tries: int = 30) -> DataFrame:
@@ -141,23 +153,25 @@ def examples(spark: SparkSession, per_class: int, seed: int = 1, n_t: int = 16,
                         at = at[np.abs(at - want["start"]) <= 40]
                     if len(at):
                         c = int(at[0])
-                        rows.append((kind, float(drift[c]), *measures(z, c, float(drift[c]), float(snr[c]))))
+                        rows.append((kind, float(drift[c]), *measures(z, c, float(drift[c]), float(snr[c])), image(z, c, float(drift[c])).tolist()))
                         break
-            names = ["label", "drift", *SCALARS]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.float64()) for k, c in enumerate(zip(*rows) if rows else [[]] * len(names))], names=names)
+            names = ["label", "drift", *SCALARS, "img"]
+            types = [pa.string(), *[pa.float64()] * (len(names) - 2), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=names)
 
     n = spark.sparkContext.defaultParallelism
     return spark.range(per_class * len(LABELS)).repartition(n).mapInArrow(task, EXAMPLE)
 
 
 def _assembled(df: DataFrame) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+    """With the vector of 267 numbers: the scalars, then the image."""
+    from pyspark.ml.functions import array_to_vector
 
-    return VectorAssembler(inputCols=list(SCALARS), outputCol="features", handleInvalid="keep").transform(df)
+    return df.withColumn("features", array_to_vector(F.concat(F.array(*[F.col(s).cast("double") for s in SCALARS]), "img")))
 
 
 def train(rows: DataFrame, seed: int = 1, trees: int = 60):
-    """A random forest over the scalar features; (model, label names, share right on the held-out quarter)."""
+    """A random forest over scalars and image; (model, label names, share right on the held-out quarter)."""
     from pyspark.ml.classification import RandomForestClassifier
 
     number = F.array_position(F.array(*map(F.lit, LABELS)), F.col("label")).cast("double") - 1
@@ -167,6 +181,28 @@ def train(rows: DataFrame, seed: int = 1, trees: int = 60):
     return model, LABELS, right
 
 
+def save(model, folder: str) -> None:
+    """The model, and beside it what it says and of what."""
+    model.write().overwrite().save(f"{folder}/forest")
+    spark = SparkSession.active()
+    spark.createDataFrame([(list(LABELS), list(SCALARS))], "labels array<string>, scalars array<string>").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+
+
+def load(spark: SparkSession, folder: str | None):
+    """(model, None), or (None, why there is none): a model of other labels or features isn't used."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    if not folder:
+        return None, "no model is named"
+    try:
+        meta = spark.read.schema("labels array<string>, scalars array<string>").json(f"{folder}/meta").first()
+        if tuple(meta["labels"]) != LABELS or tuple(meta["scalars"]) != SCALARS:
+            return None, "the model was made for other labels or features; train a new one"
+        return RandomForestClassificationModel.load(f"{folder}/forest"), None
+    except Exception as e:  # noqa: BLE001 - a search goes on without a model, and says so
+        return None, f"the model can't be loaded: {type(e).__name__}"
+
+
 def probabilities(model, hits: DataFrame) -> DataFrame:
     """hits with a p_ column for each label."""
     from pyspark.ml.functions import vector_to_array

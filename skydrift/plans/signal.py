@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,11 +238,68 @@ def scalar_features(spark: SparkSession, d: str) -> DataFrame:
     return _round(features.scalars(h, s), *[c for c in features.SCALARS])
 
 
-@query(None)
+def _sql_of(name: str) -> str:
+    from .registry import _sql
+
+    return _sql[name]
+
+
+@query("SELECT hit_id, unnest(range(0, 11)) AS place, unnest([" + ", ".join(features.SCALARS) + "]) + 0.0 AS v FROM (" + _sql_of("scalar_features") + ") UNION ALL SELECT hit_id, 11 + r * 16 + q AS place, v + 0.0 AS v FROM (" + _sql_of("snippet_16x16") + ")")
 def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return features.vectors(*_found(spark, d), N_T)
+    """The 267 numbers of each hit, a row each."""
+    v = features.vectors(*_found(spark, d), N_T)
+    return v.select("hit_id", F.posexplode("features").alias("place", "v")).select("hit_id", F.col("place").cast("long").alias("place"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+def _in_units(units: DataFrame, rows, schema: str) -> DataFrame:
+    """rows(unit_id, samples [time, channel]) of each packed unit, a task for some units, as the search has them."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for unit, n_t, n_f, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                out += rows(int(unit), np.frombuffer(raw, "<f8").reshape(n_t, n_f))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(kind), kind)], schema=kind)
+
+    return units.select("unit_id", "n_t", "n_f", "z").mapInArrow(task, schema)
+
+
+def _unit_hits(z: np.ndarray) -> list[tuple[int, float, float]]:
+    snr, drift = kernel.search(z, K_MAX)
+    return [(int(c), float(drift[c]), float(snr[c])) for c in kernel.peaks(snr, dedoppler.nms_window(*z.shape, K_MAX), 3.0)]
+
+
+@query(_sql_of("scalar_features"))
+def unit_measures(spark: SparkSession, d: str) -> DataFrame:
+    """What a unit's task measures of its hits, against the relational form's SQL."""
+    rows = lambda obs, z: [(obs * 1000 + c, *learn.measures(z, c, drift, snr)) for c, drift, snr in _unit_hits(z)]
+    return _round(_in_units(kernel.packed(samples(spark, d), N_T, N_F), rows, "hit_id long, " + ", ".join(f"{x} double" for x in features.SCALARS)), *features.SCALARS)
+
+
+@query(_sql_of("snippet_16x16"))
+def unit_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = lambda obs, z: [(obs * 1000 + c, k // 16, k % 16, float(v)) for c, drift, _ in _unit_hits(z) for k, v in enumerate(learn.image(z, c, drift))]
+    return _round(_in_units(kernel.packed(samples(spark, d), N_T, N_F), rows, "hit_id long, r int, q int, v double"), "v")
+
+
+@query(_sql_of("isolated_spikes"))
+def unit_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """Single samples that a unit's task finds off its own tracks."""
+    rows = lambda obs, z: [(obs, s["t"], s["channel"], s["power_sigma"]) for s in detect.spike_array(z, [(c, drift, 2.0) for c, drift, _ in _unit_hits(z)], 0.3, 0, z.shape[1], 10**6) if s["isolated"]]
+    return _round(_in_units(kernel.packed(samples(spark, d), N_T, N_F), rows, "obs long, t int, c int, power_sigma double"), "power_sigma")
+
 
+@query(_sql_of("pulses"))
+def unit_pulses(spark: SparkSession, d: str) -> DataFrame:
+    """The dispersion search of a unit's task."""
+    def rows(obs: int, z: np.ndarray) -> list[tuple]:
+        return [(p["i"], p["dm"], p["w"], p["t"], p["snr"], p["likely_rfi"]) for p in detect.pulse_array(z, 200.0 - 1.5 * np.arange(z.shape[1]), TS, 1.5, 1000.0, 8, NSUB)]
 
+    return _round(_in_units(kernel.packed(event_waterfall(spark, d), _bins(spark, d), N_F), rows, "i int, dm double, w int, t int, snr double, likely_rfi boolean"), "dm", "snr")
 
 
 @query(None)
@@ -263,7 +323,9 @@ def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     """A forest learnt from simulated hits, applied to the hits of the embeddings."""
     model, _, _ = learn.train(learn.examples(spark, PER_CLASS).persist())  # read several times
     h, s = _found(spark, d)
-    return learn.probabilities(model, features.scalars(h, s))
+    n = len(features.SCALARS)
+    x = features.vectors(h, s, N_T).select("hit_id", *[F.col("features")[k].alias(c) for k, c in enumerate(features.SCALARS)], F.slice("features", n + 1, 256).alias("img"))
+    return learn.probabilities(model, x).drop("img")
 
 
 @query(None)

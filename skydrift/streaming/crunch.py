@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import SearchConfig
-from ..operators.search import candidates, searched
+from ..operators import ledger as ledger_ops
+from ..operators.rfi import multi_target
+from ..operators.search import candidates, guard, nfine_of, searched
 from ..sources import filterbank
 
 
@@ -28,6 +31,59 @@ def crunch(spark: SparkSession, folder: str, out: str, cfg: SearchConfig = Searc
     return (w.trigger(processingTime=forever_every) if forever_every else w.trigger(availableNow=True)).start()
 
 
+def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # not yet written
+        return spark.createDataFrame([], schema)
+
+
+PROGRESS, FAILURES, SIGNALS = "obs string, nchans long, cursor long", "obs string, visit long, error string", "obs string, seq long, rank int, frequency_mhz double, target string, interest double"
+
+
+def visit(spark: SparkSession, folder: str, out: str, cfg: SearchConfig = SearchConfig(), limit: int = 1000, max_units: int | None = None) -> DataFrame:
+    """One visit: up to `limit` files that aren't done or given up, of each up to `max_units` units from where the last
+    visit stopped. Progress, failures, signals and candidates are kept below out, by visit; a visit with errors
+    doesn't move a file's cursor, and after three of them it is left alone. A candidate whose frequency other targets have too is marked.
+    Returns (obs, start, stop, errors, hits)."""
+    filterbank.register(spark)
+    heads = filterbank.header_table(spark, folder).withColumn("obs", F.regexp_replace("location", "^.*/|[.][^.]*$", ""))
+    progress, failures = _kept(spark, f"{out}/progress", PROGRESS), _kept(spark, f"{out}/failures", FAILURES)
+    number = (failures.select("visit").union(_kept(spark, f"{out}/visits", "visit long")).agg(F.max("visit")).first()[0] or 0) + 1
+    cursor = progress.groupBy("obs").agg(F.max("cursor").alias("cursor"))
+    files = heads.join(cursor, "obs", "left").join(ledger_ops.given_up(failures).select("obs"), "obs", "left_anti").withColumn("nchans", F.coalesce("nchans", F.lit(1)))
+    todo = ledger_ops.next_range(files.select("obs", "nchans", "cursor"), max_units or 1 << 20, cfg.channels_per_unit).join(files.select("obs", "location", "nchans", "nsamples", "tsamp", "foff", "source_name", "error"), "obs")
+    todo = todo.orderBy(F.col("start") > 0, "obs").limit(limit).collect()  # a row a file of this visit
+    rows, runs = [], None
+    for f in todo:
+        try:
+            if f["error"]:
+                raise OSError(f["error"])
+            h = filterbank.read_header(f["location"])
+            units = spark.read.format("filterbank").option("width", cfg.channels_per_unit).option("pad", guard(h, cfg)).option("c0", f["start"]).option("c1", f["stop"]).load(f["location"])
+            at = f"{out}/hits/visit={number}/obs={f['obs']}"
+            searched(units, cfg, nfine_of(h.foff, h.nchans)).write.mode("overwrite").parquet(at)
+            hits = spark.read.parquet(at)
+            errors, n = hits.agg(F.count_if(F.col("error").isNotNull()), F.count("channel")).first()
+            rows.append((f["obs"], f["start"], f["stop"], int(errors), int(n), h.source_name, f["nchans"], None))
+            one = candidates(hits, cfg, run=f["obs"]).withColumns({"obs": F.lit(f["obs"]), "target": F.lit(h.source_name)})
+            runs = one if runs is None else runs.unionByName(one)
+        except Exception as e:  # noqa: BLE001 - one file that fails doesn't end the visit
+            rows.append((f["obs"], f["start"], f["stop"], 1, 0, None, f["nchans"], f"{type(e).__name__}: {e}"))
+    seen = spark.createDataFrame(rows, "obs string, start long, stop long, errors int, hits int, target string, nchans long, error string")
+    if runs is not None:
+        old = _kept(spark, f"{out}/signals", SIGNALS)
+        strong = runs.withColumn("rank", F.row_number().over(Window.partitionBy("obs").orderBy(F.desc("interest"), "hit_id")))
+        strong.select("obs", F.lit(number).cast("long").alias("seq"), F.col("rank").cast("int").alias("rank"), "frequency_mhz", "target", "interest").write.mode("append").parquet(f"{out}/signals")
+        both = ledger_ops.remembered(old).select("frequency_mhz", "target").union(runs.select("frequency_mhz", "target"))
+        multi_target(runs.drop("multi_target"), both, cfg.multi_target_tol_khz, cfg.multi_target_band_khz, cfg.multi_target_band_hits).write.mode("overwrite").parquet(f"{out}/candidates/batch={number}")
+    progress = ledger_ops.advanced(files.select("obs", "nchans", "cursor"), seen.select("obs", "stop", "errors"))
+    progress.select("obs", "nchans", "cursor").write.mode("append").parquet(f"{out}/progress")
+    seen.where("errors > 0").select("obs", F.lit(number).cast("long").alias("visit"), "error").write.mode("append").parquet(f"{out}/failures")
+    spark.createDataFrame([(number,)], "visit long").write.mode("append").parquet(f"{out}/visits")
+    return seen.select("obs", "start", "stop", "errors", "hits")
+
+
 def ledger(spark: SparkSession, out: str) -> DataFrame:
     """Observations that have been searched, with their units and errors."""
     return spark.read.parquet(f"{out}/ledger").groupBy("obs").agg(F.sum("units").alias("units"), F.sum("errors").alias("errors"), F.max("batch").alias("batch"))
