@@ -306,11 +306,14 @@ def intervals(docs: DataFrame, work: Workspace, batch_bytes: int = 2 << 20, wide
     strings of LENGTH bytes (whole) or PASSAGE."""
     found = work.table(_anchored(docs), "anchors")
     again = work.table(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "again")
-    live = found.join(small(again, 80), "gram", "left_semi")
+    # the tables grow with the collection, so they meet by a shuffle at every size
+    live = work.table(found.join(again.hint("merge"), "gram", "left_semi"), "live")
+    for tag in ("anchors", "again"):
+        work.drop(tag)
     spans = work.table(live.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "tkey", "rel", "first", "last", "full")).alias("one")), "spans")
     grams = spans.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
     grams = work.table(grams.select("gram", "kinds"), "grams")
-    open_spans = spans.join(small(grams, 120), "gram")
+    open_spans = spans.join(grams.hint("merge"), "gram")
     wants = open_spans.select("one.id", "one.tkey", F.struct("gram", "span", "one.rel", "one.first", "one.last").alias("w")).groupBy("id", "tkey").agg(F.collect_list("w").alias("wants"))
     wants = work.table(wants, "wants")
     cut = work.table(_cut_spans(docs.join(wants.hint("merge"), ["id", "tkey"])), "cut")
@@ -322,7 +325,7 @@ def intervals(docs: DataFrame, work: Workspace, batch_bytes: int = 2 << 20, wide
         runs = _column_wise(cut.join(many, "gram", "left_anti"), batch_bytes, work.at("columns")).union(_counted(cut.join(many, "gram", "left_semi").dropDuplicates(["gram", "span"])))
     runs = work.table(runs, "runs")
     single = spans.where("n = 1").join(runs, ["gram", "span"]).select("one.id", "one.tkey", "whole", (F.col("one.first") + F.col("from")).alias("first"), (F.col("one.first") + F.col("to")).alias("last"))
-    several = live.join(small(spans.where("n > 1").select("gram", "span"), 120), ["gram", "span"], "left_semi")
+    several = live.join(spans.where("n > 1").select("gram", "span").hint("merge"), ["gram", "span"], "left_semi")
     several = several.select("id", "tkey", F.explode(F.array(F.struct(F.lit(False).alias("whole"), "first", "last"), F.struct(F.lit(True).alias("whole"), "first", F.col("full").alias("last")))).alias("x")).select("id", "tkey", "x.*").where("first <= last")
     return single.union(several).groupBy("id", "tkey").agg(F.collect_list(F.struct("first", "last", "whole")).alias("ranges"))
 
@@ -341,7 +344,7 @@ def removed(ranges: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[i
 def _with_ranges(docs: DataFrame, work: Workspace, **how) -> DataFrame:
     keyed = _keyed(docs)
     got = work.table(intervals(keyed, work, **how), "intervals")
-    for tag in ("anchors", "again", "spans", "grams", "wants", "cut", "wide", "runs", "columns"):
+    for tag in ("live", "spans", "grams", "wants", "cut", "wide", "runs", "columns"):
         work.drop(tag)
     return keyed.join(got.hint("merge"), ["id", "tkey"], "left")
 
