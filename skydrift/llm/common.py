@@ -41,8 +41,13 @@ class Workspace:
     def at(self, tag: str) -> str:
         return f"{self.path}/{tag}"
 
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
-        """Writes df below the shared folder and reads it back, which cuts its lineage."""
+    def table(self, df: DataFrame, tag: str, few: bool = False, calm: bool = True) -> DataFrame:
+        """Writes df below the shared folder and reads it back, which cuts its lineage. few: in two files at most for
+        each task that can run at a time, for tables that aren't costly to make. calm: see there."""
+        if calm:
+            self.calm()
+        if few:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         df.write.mode("overwrite").parquet(self.at(tag))
         return self.spark.read.schema(df.schema).parquet(self.at(tag))
 
@@ -51,6 +56,12 @@ class Workspace:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def calm(self) -> None:
+        """Executors' heaps grow with what passes through them and keep that size; a collection of all of a heap gives back
+        to the system what the next step doesn't need at once. Each executor gets some of these tiny tasks."""
+        n = self.spark.sparkContext.defaultParallelism
+        self.spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
+
     def drop(self, tag: str = "") -> None:
         try:
             jvm = self.spark._jvm
@@ -77,14 +88,14 @@ def about(share: float, *columns: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
 
 
-def components(work: Workspace, edges: DataFrame) -> DataFrame:
+def components(work: Workspace, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of edges(a, b): rows (id, comp), comp the least id of the component.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) as joins and aggregates;
     each round is written to the shared folder, and nothing is collected but a checksum.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    e = work.table(e, "cc-0")
+    e = work.table(e, f"{tag}-0", True)
     last = None
     for i in itertools.count(1):  # as many as it takes: their number grows with the logarithm of the nodes
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -94,8 +105,8 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
         # every smaller neighbour, and the node itself, hangs on the least one
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small_star = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("x")).select("x.*").where("a < b").distinct()
-        e = work.table(small_star, f"cc-{i}")
-        work.drop(f"cc-{i - 1}")
+        e = work.table(small_star, f"{tag}-{i}", True)
+        work.drop(f"{tag}-{i - 1}")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
         if now == last:
             break

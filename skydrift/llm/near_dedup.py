@@ -162,28 +162,28 @@ def grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, Dat
     distinct texts, numbered as the table of them is written."""
     signed = work.table(_signed(docs), "signed")
     nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = work.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = work.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", True)
     rows = signed.select("doc_id", "tkey", "n", "digest")
     member = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     buckets = member.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
-    member = work.table(member.join(buckets, ["band", "value"]), "member")
+    member = work.table(member.join(buckets, ["band", "value"]), "member", True)
     central = member.groupBy("node").agg(F.sum("size").alias("central"))
     hubs = member.join(central, "node").groupBy("band", "value").agg(F.max(F.struct("central", "node")).alias("m")).select("band", "value", F.col("m.node").alias("hub"))
-    star = work.table(member.join(hubs, ["band", "value"]).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star")
+    star = work.table(member.join(hubs, ["band", "value"]).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star", True)
     wanted = member.select("node").distinct()
-    ids = work.table(nodes.join(wanted, "node", "left_semi").select("digest", "node", "least_id"), "ids")
+    ids = work.table(nodes.join(wanted, "node", "left_semi").select("digest", "node", "least_id"), "ids", True)
     texts = docs.select(F.col("doc_id").cast("long").alias("least_id"), "text")
     some = texts.join(small(ids.where("least_id IS NOT NULL").select("least_id").distinct(), 80), "least_id", "left_semi")
     if not ids.where("least_id IS NULL").isEmpty():
         some = some.union(texts.where("least_id IS NULL"))
     elems = work.table(_with_elements(some).join(ids.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "elems", "parity"), "elems")
-    links = work.table(_linked(star, elems), "links-1")
-    comps = work.table(components(work, links).select(F.col("id").alias("node"), "comp"), "comps-1")
+    links = work.table(_linked(star, elems), "links-1", True)
+    comps = components(work, links).select(F.col("id").alias("node"), "comp")
     # buckets that hold several components: their nodes outside the hub's component are paired across
     seen = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = seen.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "value").join(hubs, ["band", "value"])
     hub_comp = mixed.join(comps.withColumnRenamed("node", "hub").withColumnRenamed("comp", "hcomp"), "hub", "left").select("band", "value", F.coalesce("hcomp", "hub").alias("hcomp"))
-    mixed_members = work.table(seen.join(hub_comp, ["band", "value"]), "mixed")
+    mixed_members = work.table(seen.join(hub_comp, ["band", "value"]), "mixed", True)
     if mixed_members.isEmpty():
         return rows, nodes.select("digest", "node"), comps
     some = mixed_members.select("node").distinct()
@@ -191,16 +191,16 @@ def grouped(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, Dat
     # overlap <= n - alone, so a partner has at most (1 + 1/NEAR) * (n - alone) - n shingles, and at least NEAR * n
     span = mixed_members.join(alone, "node", "left").withColumn("most", F.floor(F.least(F.col("n") / NEAR, (1 + 1 / NEAR) * (F.col("n") - F.coalesce("alone", F.lit(0))) - F.col("n")) + 1e-6)).withColumn("least", F.ceil(F.col("n") * NEAR - 1e-6)).where("most >= least")
     bin_of = lambda c: F.floor(F.log(c) / math.log(1.05))
-    span = work.table(span.join(elems.select("node", "parity"), "node").select("band", "value", "node", "n", "comp", "hcomp", "least", "most", "parity"), "span")
+    span = work.table(span.join(elems.select("node", "parity"), "node").select("band", "value", "node", "n", "comp", "hcomp", "least", "most", "parity"), "span", True)
     asks = span.where("comp <> hcomp").withColumn("bin", F.explode(F.sequence(bin_of(F.greatest(F.col("least"), F.lit(1))), bin_of(F.col("most"))))).select("band", "value", "bin", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "comp", "least", "most", "parity")])
     gives = span.withColumn("bin", bin_of(F.col("n")))
     # of n + n' members in all, at most (1 - NEAR) / (1 + NEAR) may differ
     differ = sum((F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("x_parity")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
     may = (F.col("x_comp") != F.col("comp")) & F.expr("n BETWEEN x_least AND x_most AND x_n BETWEEN least AND most") & (differ <= (F.col("n") + F.col("x_n")) * ((1 - NEAR) / (1 + NEAR)) + 1e-6)
     more = asks.join(gives, ["band", "value", "bin"]).where(may).select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
-    extra = work.table(_linked(more.join(star, ["a", "b"], "left_anti"), elems), "links-2")
+    extra = work.table(_linked(more.join(star, ["a", "b"], "left_anti"), elems), "links-2", True)
     if not extra.isEmpty():
-        comps = work.table(components(Workspace(work.spark, "near-cc"), links.union(extra)).select(F.col("id").alias("node"), "comp"), "comps-2")
+        comps = components(work, links.union(extra), "cc2").select(F.col("id").alias("node"), "comp")
     return rows, nodes.select("digest", "node"), comps
 
 
@@ -210,15 +210,15 @@ def _named(docs: DataFrame, work: Workspace) -> DataFrame:
     for tag in ("member", "star", "elems", "ids", "mixed", "span", "links-1", "links-2"):
         work.drop(tag)
     group = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("group"))
-    rows = work.table(rows.join(group, "digest", "left"), "grouped")
+    rows = work.table(rows.join(group, "digest", "left"), "grouped", True)
     own = F.coalesce("group", F.xxhash64("doc_id", "tkey"))
     # ids that name nothing, as they stand in several classes; there are none unless ids come again
     torn = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("doc_id")
-    torn = work.table(torn, "torn")
     fit = rows.where("group IS NOT NULL AND doc_id IS NOT NULL")
     sure = fit if torn.isEmpty() else fit.join(small(torn, 80), "doc_id", "left_anti")
     names = fit.groupBy("group").agg((-1 - F.abs(F.min(F.xxhash64("digest")) % (1 << 62))).alias("other")).join(sure.groupBy("group").agg(F.min("doc_id").alias("least")), "group", "left")
     out = rows.join(names.select("group", F.coalesce("least", "other").alias("name")), "group", "left")
+    work.calm()
     return out.select("doc_id", "tkey", "n", "group", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("class_id"))
 
 
@@ -231,10 +231,10 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents, with their own columns, of which each class keeps the one of least doc_id, of equal ids one
     of them; rows without a doc_id stay. Of rows without words those with equal doc_id and text are one."""
     work = Workspace(spark, "near-keep")
-    got = work.table(_named(docs, work).where("doc_id IS NOT NULL").select("doc_id", "tkey", F.coalesce("group", F.xxhash64("doc_id", "tkey")).alias("group"), "class_id"), "classes")
+    got = work.table(_named(docs, work).where("doc_id IS NOT NULL").select("doc_id", "tkey", F.coalesce("group", F.xxhash64("doc_id", "tkey")).alias("group"), "class_id"), "classes", True)
     best = got.groupBy("group", "class_id").agg(F.min(F.struct("doc_id", "tkey")).alias("b"))
     losers = got.join(best, ["group", "class_id"]).where("doc_id <> b.doc_id OR tkey <> b.tkey").select("doc_id", "tkey").distinct()
-    again = work.table(got.groupBy("doc_id", "tkey").count().where("count > 1").select("doc_id", "tkey"), "again")
+    again = got.groupBy("doc_id", "tkey").count().where("count > 1").select("doc_id", "tkey")
     names = [f"c{k}" for k in range(len(docs.columns))]
     at = {c: n for c, n in zip(docs.columns, names)}
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])

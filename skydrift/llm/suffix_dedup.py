@@ -305,19 +305,19 @@ def intervals(docs: DataFrame, work: Workspace, batch_bytes: int = 2 << 20, wide
     """docs with id and tkey: rows (id, tkey, ranges), ranges the first and last of consecutive repeated starts, of
     strings of LENGTH bytes (whole) or PASSAGE."""
     found = work.table(_anchored(docs), "anchors")
-    again = work.table(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "again")
+    again = work.table(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "again", True)
     # the tables grow with the collection, so they meet by a shuffle at every size
     live = work.table(found.join(again.hint("merge"), "gram", "left_semi"), "live")
     for tag in ("anchors", "again"):
         work.drop(tag)
-    spans = work.table(live.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "tkey", "rel", "first", "last", "full")).alias("one")), "spans")
+    spans = work.table(live.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "tkey", "rel", "first", "last", "full")).alias("one")), "spans", True)
     grams = spans.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
-    grams = work.table(grams.select("gram", "kinds"), "grams")
+    grams = work.table(grams.select("gram", "kinds"), "grams", True)
     open_spans = spans.join(grams.hint("merge"), "gram")
     wants = open_spans.select("one.id", "one.tkey", F.struct("gram", "span", "one.rel", "one.first", "one.last").alias("w")).groupBy("id", "tkey").agg(F.collect_list("w").alias("wants"))
-    wants = work.table(wants, "wants")
+    wants = work.table(wants, "wants", True)
     cut = work.table(_cut_spans(docs.join(wants.hint("merge"), ["id", "tkey"])), "cut")
-    many = work.table(grams.where(F.col("kinds") > wide).select("gram"), "wide")
+    many = work.table(grams.where(F.col("kinds") > wide).select("gram"), "wide", True)
     if many.isEmpty():
         runs = _column_wise(cut, batch_bytes, work.at("columns"))
     else:
@@ -346,6 +346,7 @@ def _with_ranges(docs: DataFrame, work: Workspace, **how) -> DataFrame:
     got = work.table(intervals(keyed, work, **how), "intervals")
     for tag in ("live", "spans", "grams", "wants", "cut", "wide", "runs", "columns"):
         work.drop(tag)
+    work.calm()
     return keyed.join(got.hint("merge"), ["id", "tkey"], "left")
 
 

@@ -303,5 +303,5 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int =
     """Writes docs as token files (below out, or a folder of its own in the shared one) and reads them back."""
     work = Workspace(spark, "token-codes")
     out = out or work.at("files")
-    manifest = work.table(write_files(docs, out, vocabulary, end_id), "manifest")
+    manifest = work.table(write_files(docs, out, vocabulary, end_id), "manifest", calm=False)
     return read_files(manifest, out)
