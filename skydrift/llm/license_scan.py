@@ -10,7 +10,8 @@ thousand. Minima of windows come from minima of blocks, and those of longer bloc
 
 What is found is verified over the whole text: the passages of S shingles and the template's shingles
 within, exactly. Null, empty and short texts (below five words) match nothing. Rows of equal doc_id are
-scanned each on its own; extra columns are ignored; an empty table gives an empty result.
+scanned each on its own; extra columns are ignored; an empty table gives an empty result. A passage that
+holds several templates gives a row for each. Very long texts are hashed in pieces, and a task holds some hundred bytes a word of its longest text.
 """
 
 from __future__ import annotations

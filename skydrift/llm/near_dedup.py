@@ -42,6 +42,8 @@ from .shingles import PARITY_BITS, U, counted, elements, mix, parity, shingles
 BANDS, ROWS, NEAR = 24, 5, 0.8
 REGISTERS = BANDS * ROWS
 CHUNK_BYTES = 1 << 20
+#: Shingles whose processes run side by side.
+AT_ONCE = 1 << 18
 
 
 def _blocks(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -60,16 +62,35 @@ def _blocks(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> np.ndarray:
     """Times, one row of m registers for each (distinct shingles, counts); rows of empty bags stay infinite."""
     out = np.full((len(bags), m), np.inf)
+    flat = out.reshape(-1)
     todo, factor = [i for i, (k, _) in enumerate(bags) if len(k)], math.log(m) + 2
     while todo:
-        parts = [_blocks(*bags[i]) for i in todo]
+        # of a large bag some shingles at a time: a register keeps the least of all
+        some, n = [], 0
+        for i in todo:
+            for a in range(0, len(bags[i][0]), AT_ONCE):
+                some.append((i, slice(a, a + AT_ONCE)))
+                n += min(AT_ONCE, len(bags[i][0]) - a)
+                if n >= AT_ONCE:
+                    _follow(bags, some, m, factor, flat)
+                    some, n = [], 0
+        if some:
+            _follow(bags, some, m, factor, flat)
+        todo, factor = [i for i in todo if np.isinf(out[i]).any()], factor * 2
+    return out
+
+
+def _follow(bags: list[tuple[np.ndarray, np.ndarray]], some: list[tuple[int, slice]], m: int, factor: float, flat: np.ndarray) -> None:
+    """The processes of some shingles of bags, up to the bags' bounds, into the registers of all bags."""
+    if some:
+        parts = [_blocks(bags[i][0][s], bags[i][1][s]) for i, s in some]
+        todo = [i for i, _ in some]
         sizes = [len(p[0]) for p in parts]
         row = np.repeat(np.array(todo), sizes)
         seed, rate, base = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-        weight = np.concatenate([bags[i][1][p[0]] for i, p in zip(todo, parts)]).astype(float)
+        weight = np.concatenate([bags[i][1][s][p[0]] for (i, s), p in zip(some, parts)]).astype(float)
         bound = np.repeat([m * factor / bags[i][1].sum() for i in todo], sizes)
         time, state = np.zeros(len(row)), seed
-        flat = out.reshape(-1)
         while len(row):
             state = state + U(0x9E3779B97F4A7C15)
             r = mix(state)
@@ -83,8 +104,6 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) ->
             hit = base + (r >> U(32)).astype(float) * 2.0**-32 * rate < weight
             reg = ((r & U(0xFFFFFFFF)) * U(m)) >> U(32)
             np.minimum.at(flat, (row * m + reg.astype(np.int64))[hit], time[hit])
-        todo, factor = [i for i in todo if np.isinf(out[i]).any()], factor * 2
-    return out
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -211,6 +230,8 @@ def _named(docs: DataFrame, work: Workspace) -> DataFrame:
         work.drop(tag)
     group = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("group"))
     rows = work.table(rows.join(group, "digest", "left"), "grouped", True)
+    for tag in ("signed", "nodes"):
+        work.drop(tag)
     own = F.coalesce("group", F.xxhash64("doc_id", "tkey"))
     # ids that name nothing, as they stand in several classes; there are none unless ids come again
     torn = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("doc_id")

@@ -13,6 +13,8 @@ import numpy as np
 from .decontaminate import FOLD
 
 WORDS = 5
+#: Bytes that are hashed at once, and a word more.
+PIECE = 1 << 20
 U = np.uint64
 _BASE = pow(0x9E3779B97F4A7C15 | 1, 1, 1 << 64)
 _powers = [np.ones(1, U), np.ones(1, U)]
@@ -43,15 +45,24 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" ".join(raw).translate(FOLD) + b" ", np.uint8)
     if not raw:
         return np.zeros(0, U), np.zeros(1, np.int64)
-    solid = buf != 32
-    turns = np.flatnonzero(solid[1:] != solid[:-1]) + 1
-    if solid[0]:
-        turns = np.concatenate([[0], turns])
-    a, b = turns[::2], turns[1::2]
-    p, q = _power(len(buf) + 1)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(buf.astype(U) * p[: len(buf)])])
-    h = mix((total[b] - total[a]) * q[a] + (b - a).astype(U) * U(0xD6E8FEB86659FD93))
-    return h, np.searchsorted(a, edges)
+    parts, starts, at = [], [], 0
+    while at < len(buf):  # long texts in pieces that end at a blank, as a word's hash doesn't depend on its place
+        end = len(buf)
+        if end - at > 2 * PIECE:
+            blanks = np.flatnonzero(buf[at + PIECE : at + 2 * PIECE] == 32)
+            end = at + PIECE + int(blanks[0]) + 1 if len(blanks) else at + PIECE + int((buf[at + PIECE :] == 32).argmax()) + 1
+        part = buf[at:end]
+        solid = part != 32
+        turns = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        if solid[0]:
+            turns = np.concatenate([[0], turns])
+        a, b = turns[::2], turns[1::2]
+        p, q = _power(len(part) + 1)
+        total = np.concatenate([np.zeros(1, U), np.cumsum(part.astype(U) * p[: len(part)])])
+        parts.append(mix((total[b] - total[a]) * q[a] + (b - a).astype(U) * U(0xD6E8FEB86659FD93)))
+        starts.append(a + at)
+        at = end
+    return np.concatenate(parts), np.searchsorted(np.concatenate(starts), edges)
 
 
 _COEF = [U(pow(0xA0761D6478BD642F, k + 1, 1 << 64)) for k in range(WORDS)]
