@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,42 +217,87 @@ def _path(n: float) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def isolation_scores(x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 1) -> np.ndarray:
-    """Isolation forest (Liu, Ting and Zhou 2008): how early random cuts part a point from a sample; 0 to 1."""
+def forest(x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 1) -> list[tuple[np.ndarray, ...]]:
+    """Isolation trees (Liu, Ting and Zhou 2008): random cuts of samples of the points. Of each tree's nodes the
+    feature (-1: a leaf), the cut, the child below it (the one above is next) and, of leaves, the path's mean length."""
     rng, n = np.random.default_rng(seed), len(x)
     m = min(sample, n)
-    top, total = math.ceil(math.log2(max(m, 2))), np.zeros(n)
+    top, out = math.ceil(math.log2(max(m, 2))), []
     for _ in range(trees):
-        todo = [(rng.choice(n, m, replace=False), np.arange(n), 0)]
+        nodes = [[-1, 0.0, 0, 0.0]]
+        todo = [(0, rng.choice(n, m, replace=False), 0)]
         while todo:
-            inside, points, depth = todo.pop()
+            k, inside, depth = todo.pop()
             spread = np.ptp(x[inside], axis=0) if len(inside) else np.zeros(x.shape[1])
             if depth >= top or len(inside) < 2 or not spread.any():
-                total[points] += depth + _path(len(inside))
+                nodes[k][3] = depth + _path(len(inside))
                 continue
-            f = rng.choice(np.flatnonzero(spread))
-            cut = rng.uniform(x[inside, f].min(), x[inside, f].max())
-            for side in (True, False):
-                p = points[(x[points, f] < cut) == side]
-                if len(p):
-                    todo.append((inside[(x[inside, f] < cut) == side], p, depth + 1))
-    return 2.0 ** (-total / trees / (_path(m) or 1.0))
-
-
-def anomalies(hits: DataFrame, key: str = "run", least: int = 20) -> DataFrame:
-    """hits(hit_id, run, scalars) with anomaly, 0 to 1 within each run; null in runs of fewer than `least`. A run's
-    hits are capped by the search, so a group fits a task."""
+            f = int(rng.choice(np.flatnonzero(spread)))
+            cut = float(rng.uniform(x[inside, f].min(), x[inside, f].max()))
+            nodes[k][:3] = f, cut, len(nodes)
+            below = x[inside, f] < cut
+            todo += [(len(nodes), inside[below], depth + 1), (len(nodes) + 1, inside[~below], depth + 1)]
+            nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
+        f, cut, child, path = zip(*nodes)
+        out.append((np.array(f), np.array(cut), np.array(child), np.array(path) / (_path(m) or 1.0)))
+    return out
+
+
+def isolation(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
+    """How early random cuts part each point from a sample; 0 to 1."""
+    total = np.zeros(len(x))
+    for f, cut, child, path in trees:
+        at = np.zeros(len(x), np.int64)
+        while len(more := np.flatnonzero(f[at] >= 0)):
+            k = at[more]
+            at[more] = child[k] + (x[more, f[k]] >= cut[k])
+        total += path[at]
+    return 2.0 ** (-total / len(trees))
+
+
+def isolation_scores(x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 1) -> np.ndarray:
+    return isolation(forest(x, trees, sample, seed), x)
+
+
+def anomalies(hits: DataFrame, key: str = "run", least: int = 20, most: int = 4096) -> DataFrame:
+    """hits(hit_id, run, scalars) with anomaly, 0 to 1 within each run; null in runs of fewer than `least`. A run's trees
+    are grown from at most about `most` of its hits, chosen by hash; then all hits are scored where they are."""
     kinds = dict(hits.dtypes)
+    x = hits.select("hit_id", F.col(key).alias("run"), *[F.col(s).cast("double").alias(s) for s in SCALARS])
+    n = x.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    some = x.join(n, "run").where(F.pmod(F.xxhash64("hit_id", F.lit(5)), F.lit(1 << 20)) < F.lit(most) * (1 << 20) / F.col("n"))
 
-    def score(t: pa.Table) -> pa.Table:
-        x = np.column_stack([t.column(s).to_numpy(zero_copy_only=False).astype(float) for s in SCALARS])
-        if len(x) < least:
-            return pa.table({"hit_id": t.column("hit_id"), "anomaly": pa.nulls(len(x), pa.float64())})
-        x = np.nan_to_num((x - np.median(x, 0)) / (x.std(0) + 1e-9))
-        s = isolation_scores(x)
-        return pa.table({"hit_id": t.column("hit_id"), "anomaly": pa.array((s - s.min()) / (np.ptp(s) + 1e-9))})
+    def grow(t: pa.Table) -> pa.Table:
+        t = t.sort_by("hit_id")
+        p = np.column_stack([t.column(s).to_numpy(zero_copy_only=False) for s in SCALARS])
+        mid, scale = np.median(p, 0), p.std(0) + 1e-9
+        return pa.table({"run": t.column("run")[:1], "trees": pa.array([pickle.dumps((mid, scale, forest(np.nan_to_num((p - mid) / scale))))], pa.binary())})
 
-    return hits.select("hit_id", key, *SCALARS).groupBy(key).applyInArrow(score, f"hit_id {kinds['hit_id']}, anomaly double")
+    trees = some.groupBy("run").applyInArrow(grow, f"run {dict(x.dtypes)['run']}, trees binary")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            out = np.full(batch.num_rows, np.nan)
+            runs = np.array([-1 if r is None else r for r in batch.column(1).dictionary_encode().indices.to_pylist()])
+            names = batch.column(1).dictionary_encode().dictionary.to_pylist()
+            p = np.column_stack([batch.column(3 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(SCALARS))])
+            for k, name in enumerate(names):
+                of = np.flatnonzero(runs == k)
+                if not batch.column(2)[int(of[0])].is_valid:
+                    continue
+                if name not in held:
+                    if len(held) > 16:
+                        held.clear()
+                    held[name] = pickle.loads(batch.column(2)[int(of[0])].as_py())
+                mid, scale, made = held[name]
+                out[of] = isolation(made, np.nan_to_num((p[of] - mid) / scale))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, mask=np.isnan(out))], names=["hit_id", "run", "s"])
+
+    joined = x.join(trees, "run", "left").select("hit_id", "run", "trees", *SCALARS)
+    raw = joined.mapInArrow(score, f"hit_id {kinds['hit_id']}, run {dict(x.dtypes)['run']}, s double")
+    ends = raw.groupBy("run").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    return raw.join(ends, "run").select("hit_id", ((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)).alias("anomaly"))
 
 
 def recovery_trials(spark: SparkSession, snrs: tuple[float, ...], drifts: tuple[float, ...], trials: int, false_alarm: float = 0.05, n_noise: int = 100, n_t: int = 16, n_f: int = 1024, seed: int = 7, smear: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ def _load() -> None:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drifting tones of the embeddings, ranked."""
-    return queries()["dedoppler_hits"](spark, sf_dir).orderBy("snr", ascending=False)
+    return queries()["kernel_hits"](spark, sf_dir).orderBy("snr", ascending=False)
 
 
 def queries() -> dict[str, Query]:
