@@ -265,7 +265,7 @@ def anomalies(hits: DataFrame, key: str = "run", least: int = 20, most: int = 40
     kinds = dict(hits.dtypes)
     x = hits.select("hit_id", F.col(key).alias("run"), *[F.col(s).cast("double").alias(s) for s in SCALARS])
     n = x.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    some = x.join(n, "run").where(F.pmod(F.xxhash64("hit_id", F.lit(5)), F.lit(1 << 20)) < F.lit(most) * (1 << 20) / F.col("n"))
+    some = x.join(n, "run").where(F.pmod(F.xxhash64("hit_id", F.lit(5)), F.lit(1 << 20)) < F.lit(float(most << 20)) / F.col("n"))
 
     def grow(t: pa.Table) -> pa.Table:
         t = t.sort_by("hit_id")
