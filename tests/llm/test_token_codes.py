@@ -42,6 +42,18 @@ def test_pieces_give_what_whole_texts_give(texts):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_is_cut_as_the_tokenizer_cuts():
+    """Python and the tokenizer may know letters of different Unicode releases; each character stands in words, before
+    marks and alone."""
+    enc, t = tc.encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    points = [c for c in [*range(0x33480), *range(0xE0000, 0xE01F0)] if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 4000):
+        texts = [f"x{chr(c)}y {chr(c)}, z{chr(c)}.\n{chr(c)}" for c in points[a : a + 4000]]
+        want = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        for text, got, ids in zip(texts, enc(texts), want):
+            assert np.frombuffer(got, "<u4").tolist() == ids, hex(ord(text[1]))
+
+
 TEXTS = ["Hello, world.", None, "", "a  b\n\nc", "<|endoftext|> x", " lead", "trail ", "don't we'll 'twas. it,", "x\ty", "word " * 5000, "été, où. ça!"]
 
 
