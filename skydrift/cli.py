@@ -75,9 +75,17 @@ def demo(spark: SparkSession, out: str, n_f: int = 1 << 18, seed: int = 3) -> tu
     return meta, [r.asDict() for r in rfi.truth_join(truth, ranked(found), 16).orderBy("tone_id").collect()]
 
 
-def cadence(spark: SparkSession, files: list[str], out: str, cfg: SearchConfig) -> DataFrame:
-    """Searches ON and OFF scans (names with _OFF are OFF) and writes the signals that come again in every ON scan
-    along their drift, and in no OFF scan."""
+def siblings(spark: SparkSession, folder: str, product: str) -> dict[str, bool]:
+    """Scans of one product in a folder that make a cadence by their names: path, and whether the scan is ON its target."""
+    listing = "".join(f'<a href="{n}">' for n in sorted(os.listdir(folder)) if '"' not in n)
+    scans = archive.cadence_scans(spark.createDataFrame([(folder, listing)], "folder string, listing string"), product)
+    return {os.path.join(folder, r["name"]): r["is_on"] for r in scans.orderBy("mjd").collect()}
+
+
+def cadence(spark: SparkSession, files: list[str], out: str, cfg: SearchConfig, is_on: dict[str, bool] | None = None) -> DataFrame:
+    """Searches ON and OFF scans (names with _OFF are OFF, if is_on doesn't say) and writes the signals that come again
+    in every ON scan along their drift, and in no OFF scan."""
+    filterbank.register(spark)
     heads = {os.path.splitext(os.path.basename(f))[0]: filterbank.read_header(f) for f in files}
     pad = max(guard(h, cfg) for h in heads.values())
     units = spark.read.format("filterbank").option("width", cfg.channels_per_unit).option("pad", pad).load(",".join(files))
@@ -86,6 +94,9 @@ def cadence(spark: SparkSession, files: list[str], out: str, cfg: SearchConfig)
     hits = hits.select(F.xxhash64("unit_id", "channel").alias("hit_id"), F.regexp_replace("unit_id", ":[^:]*$", "").alias("name"), "frequency_mhz", "drift_rate_hz_s", "snr")
     hits.write.mode("overwrite").parquet(f"{out}/hits")
     scans = spark.createDataFrame([(n, h.tstart) for n, h in heads.items()], "name string, mjd double").withColumn("is_on", ~is_off_scan("name"))
+    if is_on:
+        told = {os.path.splitext(os.path.basename(f))[0]: v for f, v in is_on.items()}
+        scans = spark.createDataFrame([(n, h.tstart, told[n]) for n, h in heads.items()], "name string, mjd double, is_on boolean")
     rfi.cadence_events(scans, spark.read.parquet(f"{out}/hits")).write.mode("overwrite").parquet(f"{out}/events")
     return spark.read.parquet(f"{out}/events")
 
@@ -164,7 +175,8 @@ def main(argv: list[str] | None = None) -> None:
             s.add_argument("--f-stop", type=float)
     s = sub.add_parser("cadence")
     s.add_argument("out")
-    s.add_argument("files", nargs="+")
+    s.add_argument("files", nargs="+", help="scans, or one folder whose names tell the cadence")
+    s.add_argument("--product", default="0000.fil", help="which of a folder's products")
     s.add_argument("--config")
     a = p.parse_args(argv)
     spark, cfg = session(), SearchConfig.load(a.config)
@@ -196,7 +208,8 @@ def main(argv: list[str] | None = None) -> None:
         table.show(1000, truncate=False)
         print(json.dumps({"warnings": notes, "best": best}, default=str))
     elif a.command == "cadence":
-        cadence(spark, a.files, a.out, cfg).show(truncate=False)
+        on = siblings(spark, a.files[0], a.product) if len(a.files) == 1 and os.path.isdir(a.files[0]) else None
+        cadence(spark, list(on) if on is not None else a.files, a.out, cfg, on).show(truncate=False)
     elif a.command == "share":
         share_run(spark, a.run, a.out, cfg, tuple(a.to.split(",")) if a.to else cfg.share_to).show(truncate=False)
     elif a.command == "status":

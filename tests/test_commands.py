@@ -153,3 +153,18 @@ def test_findings_go_to_a_webhook_once(spark, tmp_path, server):
     assert cli.share_run(spark, str(tmp_path / "run"), str(tmp_path / "shared"), cfg, ("bundle", "webhook")).count() == 0 and len(Server.posted) == n
     with pytest.raises(ValueError, match="settings"):
         cli.share_run(spark, str(tmp_path / "run"), str(tmp_path / "shared"), SearchConfig(), ("issues",))
+
+
+def test_a_folder_tells_its_cadence(spark, tmp_path):
+    step = 300 / 18.253611008  # time steps between scans of five minutes
+    on = [True, False, True, False]
+    for k, is_on in enumerate(on):
+        name = f"blc1_guppi_58000_{10_000 + 300 * k}_{'STAR' if is_on else f'OTHER{k}'}_000{k}.gpuspec.0000.fil"
+        z = np.random.default_rng(k).normal(10, 1, (16, 4096)).astype(np.float32)
+        if is_on:
+            z[np.arange(16), np.rint(2000 + k * step + np.arange(16)).astype(int)] += 8
+        fb.write_file(str(tmp_path / name), z, fb.Header(fch1=1420.0, foff=-2.7939677238464355e-06, tsamp=18.253611008, tstart=58000 + (10_000 + 300 * k) / 86400, source_name="S"))
+    found = cli.siblings(spark, str(tmp_path), "0000.fil")
+    assert list(found.values()) == on
+    events = cli.cadence(spark, list(found), str(tmp_path / "out"), SearchConfig(channels_per_unit=4096), found).collect()
+    assert [(r["on_scans_matched"], r["n_on_scans"], r["off_scans_checked"]) for r in events] == [(2, 2, 2)]
