@@ -52,3 +52,26 @@ def test_stages_against_plain_versions(spark, tmp_path):
 def test_registered():
     assert [f"op{n}_" for n in range(1, 11)] == [q[: q.index("_") + 1] for q in queries.queries()]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, empty and long texts, extra columns with clashing names, no rows."""
+    from pyspark.sql import functions as F
+
+    from .conftest import table, with_clashes
+
+    good = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    rows = [(None, None, None, None, None), (None, "some words without an id", "en", None, 24), (10**9, "", None, "src1", 0), (10**9, None, "en", "src1", None), (10**9 + 1, "same id, first text of the two", None, None, 30), (10**9 + 1, "same id, another text", "xx", "odd source", 20), (10**9 + 2, "long " * 300_000, "en", "src2", 1_500_000)]
+    odd = table(spark, rows)
+    for label, docs in (("odd", with_clashes(good.unionByName(odd).unionByName(odd))), ("none", with_clashes(odd.limit(0)))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            names = docs.columns
+            out = stage(spark, docs, SF)
+            assert out.columns == names and dict(out.dtypes) == dict(docs.dtypes)
+            out.write.parquet(str(tmp_path / label / name))
+            docs = spark.read.parquet(str(tmp_path / label / name))
+            if label == "odd" and name == "near_dedup":
+                assert docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").count().where("count > 1").isEmpty()
+        n = docs.count()
+        assert (n == 0) == (label == "none")
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == n
