@@ -75,6 +75,8 @@ class Node:
     kids: list = field(default_factory=list)  # nodes, and strings of text in between
     key: int = 0  # of the subtree's shape
     size: int = 1
+    own: str | None = None  # its text outside of child elements, once it is known
+    order: list | None = None  # of a page: all nodes
 
 
 class _Ends:
@@ -173,6 +175,8 @@ def parse(html: str | None) -> Node:
 
 def _order(root: Node) -> list[Node]:
     """All nodes, parents first, in page order."""
+    if root.order is not None:
+        return root.order
     out, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -182,15 +186,23 @@ def _order(root: Node) -> list[Node]:
 
 
 def _shape(root: Node) -> None:
-    for node in reversed(_order(root)):
-        kids = [k for k in node.kids if k.__class__ is Node]
-        node.size = 1 + sum(k.size for k in kids)
-        node.key = hash((node.tag, *(k.key for k in kids)))
+    order = _order(root)
+    for node in reversed(order):
+        size, keys = 1, [node.tag]
+        for k in node.kids:
+            if k.__class__ is Node:
+                size += k.size
+                keys.append(k.key)
+        node.size, node.key = size, hash(tuple(keys))
+    root.order = order
 
 
 def own_text(node: Node) -> str:
     """Its text outside of child elements."""
-    return " ".join(unescape(" ".join(k for k in node.kids if k.__class__ is str)).split())
+    if node.own is None:
+        text = " ".join([k for k in node.kids if k.__class__ is str])
+        node.own = " ".join((unescape(text) if "&" in text else text).split())
+    return node.own
 
 
 def _elements(node: Node) -> list[Node]:
@@ -380,20 +392,23 @@ def main_text(root: Node, part: Node | None = None, template: set[int] = frozens
     articles = any(n.tag in ("article", "main") for n in _order(root))
     if part is None:
         part = choose(root, alone(root, names))
-    most = sum(len(own_text(x)) for x in _order(part) if not _unseen(x)) / 2
-    blocks, now = [], []
+    blocks, now, most = [], [], None
 
     def cut() -> None:
         if now:
-            if text := " ".join(unescape("".join(now)).split()):
+            text = "".join(now)
+            if text := " ".join((unescape(text) if "&" in text else text).split()):
                 blocks.append(text)
             now.clear()
 
     def dropped(x: Node) -> bool:
+        nonlocal most
         if _unseen(x):
             return True
         if not names or not x.out or x is part or x.tag == "header" and articles:
             return False
+        if most is None:
+            most = sum(len(own_text(y)) for y in _order(part) if not _unseen(y)) / 2
         return sum(len(own_text(y)) for y in _order(x) if not _unseen(y)) <= most
 
     todo: list = [part]
@@ -471,7 +486,6 @@ def _aligned(ref: _Reference, root: Node, names: bool) -> tuple[dict[int, int],
     """Places in the reference of the page's nodes; and for each of its texts (node, text, is it known to be no
     content, place of the node or its nearest aligned ancestor, is the node itself aligned)."""
     place = {id(y): ref.place[id(x)] for x, y in match(ref.root, root)}
-    near, found = {}, {}
     for x in _order(root):  # matching sees names and shapes; of aligned siblings those of equal text belong together
         if twins := ref.twins.get(place.get(id(x), -1)):
             kids = _elements(x)
@@ -481,10 +495,12 @@ def _aligned(ref: _Reference, root: Node, names: bool) -> tuple[dict[int, int],
                     if by_text.get(place.get(id(kid)), id(kid)) != id(kid):
                         del place[id(kid)]
                 place |= {i: k for k, i in by_text.items()}
+    found = {id(root): 0}
     for x in _order(root):
-        found[id(x)] = near[id(x)] = place.get(id(x), near.get(id(x), 0))
-        for kid in _elements(x):
-            near[id(kid)] = found[id(x)]
+        at = found[id(x)] = place.get(id(x), found[id(x)])
+        for kid in x.kids:
+            if kid.__class__ is Node:
+                found[id(kid)] = at
     return place, [(x, t, no, found[id(x)], id(x) in place) for x, t, no in _texts(root, names)]
 
 
