@@ -98,5 +98,5 @@ def owned(hits: DataFrame, channel: str = "channel") -> DataFrame:
 
 def samples_of_units(samples: DataFrame, units: DataFrame) -> DataFrame:
     """Samples (obs, t, c, z) replicated to each unit whose padded window holds them, with channels relative to it."""
-    u = F.broadcast(units.select("obs", "unit_id", "chan_start", "chan_stop", "core_start", "core_stop"))  # a row a unit of one observation's plan
+    u = units.select("obs", "unit_id", "chan_start", "chan_stop", "core_start", "core_stop")  # grows with the files, so the planner chooses
     return samples.join(u, "obs").where("c >= chan_start AND c < chan_stop").withColumn("c", F.col("c") - F.col("chan_start"))

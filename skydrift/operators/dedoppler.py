@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_TO_SIGMA
+from .rangejoin import small
 
 
 def padded_rows(n_t: int) -> int:
@@ -56,7 +57,7 @@ def column_noise(samples: DataFrame, n_t: int, keys: tuple[str, ...] = ("obs",))
 
 def path_sums(samples: DataFrame, table: DataFrame, n_f: int, keys: tuple[str, ...] = ("obs",)) -> DataFrame:
     """The sum along each path from each start channel; samples beyond the window count as zero."""
-    x = samples.join(F.broadcast(table), "t").withColumn("start", F.col("c") - F.col("delta")).where((F.col("start") >= 0) & (F.col("start") < n_f))
+    x = samples.join(small(table), "t").withColumn("start", F.col("c") - F.col("delta")).where((F.col("start") >= 0) & (F.col("start") < n_f))
     return x.groupBy(*keys, "start", "sign", "k", "d").agg(F.sum("z").alias("power"))
 
 

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def small(df: DataFrame, row_bytes: int = 100, most: int = 48 << 20) -> DataFrame:
+    """df with a broadcast hint if a count shows that it fits; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def bucketed(left: DataFrame, right: DataFrame, x: Column, y: Column, width: float, cond: Column, keys: tuple[tuple[Column, Column], ...] = (), how: str = "inner") -> DataFrame:
     """Pairs with |x - y| <= width and cond. Buckets are a little wider than the tolerance, so rounding
     never puts such a pair two buckets apart. left's rows come once for three buckets; right's aren't copied.
