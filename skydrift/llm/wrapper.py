@@ -538,8 +538,8 @@ def template_sums(pages: DataFrame, names: bool = True) -> DataFrame:
                     c[1] += fits
                     c[2] += is_same
                     c[4 if no else 5 if is_same else 3] += len(t)
-                    if not fits:
-                        sums[host, k, _digest(t)][2] += 1
+                for k, extra in {(k, _digest(t)) for _, t, _, k, fits in texts if not fits}:  # once a page, however often it comes there
+                    sums[host, k, extra][2] += 1
             if len(sums) > 100_000:
                 yield emit()
         yield emit()

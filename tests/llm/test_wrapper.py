@@ -178,3 +178,12 @@ def test_deep_long_and_broken_pages(spark):
     got = texts(spark, deep + rows + broken)
     assert got[2].count("bottom") == 3 and got[10].count("cell") == 60_000
     assert time.time() - began < 120
+
+
+def test_what_one_page_repeats_is_no_template(spark):
+    made = [unnamed(i) for i in range(9)]
+    line = "<p>The very same line comes on this page again and again</p>"
+    (i, url, page), text = unnamed(20)
+    odd = page.replace("<p>All rights", line * 40 + "<p>All rights")
+    got = texts(spark, [r for r, _ in made] + [(i, url, odd)])
+    assert got[20] == text + " The very same line comes on this page again and again" * 40
