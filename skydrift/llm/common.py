@@ -42,12 +42,12 @@ class Workspace:
         return f"{self.path}/{tag}"
 
     def table(self, df: DataFrame, tag: str, few: bool = False, calm: bool = True) -> DataFrame:
-        """Writes df below the shared folder and reads it back, which cuts its lineage. few: in two files at most for
-        each task that can run at a time, for tables that aren't costly to make. calm: see there."""
+        """Writes df below the shared folder and reads it back, which cuts its lineage. few: in a quarter as many files as
+        a shuffle has partitions (but one for each task that can run at a time), for tables that aren't costly to make. calm: see there."""
         if calm:
             self.calm()
         if few:
-            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
         df.write.mode("overwrite").parquet(self.at(tag))
         return self.spark.read.schema(df.schema).parquet(self.at(tag))
 
