@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import itertools
 import os
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +62,8 @@ class Workspace:
         """Executors' heaps grow with what passes through them and keep that size; a collection of all of a heap gives back
         to the system what the next step doesn't need at once. Each executor gets some of these tiny tasks."""
         n = self.spark.sparkContext.defaultParallelism
-        self.spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
+        with contextlib.suppress(PySparkException):  # where such calls aren't allowed, heaps stay as they are
+            self.spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
 
     def drop(self, tag: str = "") -> None:
         try:
