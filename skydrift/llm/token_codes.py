@@ -136,13 +136,13 @@ class Encoder:
     several blanks or line feeds in a row, are encoded as they are.
     """
 
-    most = 300_000  # pieces kept
+    most = 150_000  # pieces kept, and as many that have come before them
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.kept = Tokenizer.from_file(path), {}
+        self.tok, self.kept, self.old = Tokenizer.from_file(path), {}, {}
         self.feed = np.array(self.tok.encode("\n", add_special_tokens=False).ids, "<u4")
         probe = [" probe", "été", " Größe", "日本語", "a", " ª"]
         whole = [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(probe, add_special_tokens=False)]
@@ -208,10 +208,14 @@ class Encoder:
             gc.enable()
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > self.most:
-            self.kept.clear()
+        if len(self.kept) > self.most:  # what comes again goes over to the new ones, so frequent pieces stay
+            self.old, self.kept = self.kept, {}
         cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        self._learn(set().union(*cut).difference(self.kept) if cut else set())
+        new = set().union(*cut).difference(self.kept) if cut else set()
+        if again := new & self.old.keys():
+            self.kept.update(zip(again, map(self.old.__getitem__, again)))
+            new -= again
+        self._learn(new)
         get, skip, out = self.kept.__getitem__, self.feed.nbytes, []
         for text, pieces in zip(texts, cut):
             try:
@@ -266,7 +270,7 @@ def write_files(docs: DataFrame, out: str, vocabulary: str, end_id: int, tokens_
                     held += n
         if ids:
             yield flush()
-        enc.kept.clear()
+        ids, sizes, data = [], [], []
         trim()
 
     n = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
