@@ -20,11 +20,15 @@ BATCH_ROWS = "2000"
 BROADCAST_BYTES = 48 << 20
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set to a local one only where unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if not _is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='skydrift-')}"
         spark.conf.set("spark.checkpoint.dir", root)
@@ -61,6 +65,8 @@ class Workspace:
     def calm(self) -> None:
         """Executors' heaps grow with what passes through them and keep that size; a collection of all of a heap gives back
         to the system what the next step doesn't need at once. Each executor gets some of these tiny tasks."""
+        if _is_local(self.spark):  # one JVM, of the machine's size
+            return
         n = self.spark.sparkContext.defaultParallelism
         with contextlib.suppress(PySparkException):  # where such calls aren't allowed, heaps stay as they are
             self.spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
