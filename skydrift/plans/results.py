@@ -195,7 +195,29 @@ def share_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return f.join(f.where("hit_id % 23 = 0").select("finding_id"), "finding_id", "left_anti").select("hit_id", "finding_id")
 
 
-@query(None)
+def _json(**of: str) -> str:
+    """SQL of a JSON object; fields that are null are left out."""
+    return "'{' || array_to_string([" + ", ".join(f"""'"{k}":' || {v}""" for k, v in of.items()) + "], ',') || '}'"
+
+
+def _text(x: str) -> str:
+    return f"""('"' || {x} || '"')"""
+
+
+def _plain(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+RECORD = _json(
+    assessment=_json(ai_class=_text("ai_class"), anomaly=_plain("anomaly"), cadence=_text("cadence"), interest=_plain("interest"), known_rfi_band=_plain("known_rfi_band")),
+    checks=_json(cadence=_plain("CASE WHEN cadence <> 'not_run' THEN cadence = 'passed' END"), drifts=_plain("CASE WHEN NOT drift_unresolved THEN NOT stationary END"), narrowband=_plain("(bandwidth_ch <= 4)"), no_mirror=_plain("(NOT mirror_image)"),
+        one_target=_plain("(NOT multi_target)"), outside_bands=_plain("(NOT known_rfi_band)"), steady=_plain("(on_fraction >= 0.75)")),
+    finding_id=_text("finding_id"),
+    schema="'\"drift-finding/1\"'",
+    signal=_json(**{k: _plain(k) for k in ("bandwidth_ch", "drift_rate_hz_s", "frequency_mhz", "on_fraction", "snr")}))
+
+
+@query(CLASSED + f", f AS (SELECT *, {FID} AS finding_id FROM classed), j AS (SELECT hit_id, finding_id, {RECORD} AS record FROM f) SELECT hit_id, finding_id, record, sha256(record) AS payload_sha256 FROM j")
 def finding_records(spark: SparkSession, d: str) -> DataFrame:
     h = classed(spark, d).withColumn("finding_id", share.finding_id(F.col("target")))
     return share.records(h).select("hit_id", "finding_id", "record", "payload_sha256")
