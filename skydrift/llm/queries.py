@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_mixing, decontaminate, exact_dedup, license_scan, mixing, near_dedup, quality, suffix_dedup, token_codes, wrapper
+from . import context_mixing, decontaminate, exact_dedup, license_scan, mixing, near_dedup, quality, sentence_pieces, spelling, suffix_dedup, token_codes, wrapper
 
 
 # The weights of mixing.Recipe, family by family; a family's level is found as there.
@@ -37,6 +37,28 @@ MIXING_SQL = r"""
     FROM t"""
 
 
+# A run's crc32 byte by byte from a table made by rule; letters beyond ASCII get a byte each, as the distance counts bytes.
+SPELLING_SQL = r"""
+    WITH RECURSIVE step AS (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS x FROM range(0, 256) AS r(i)),
+         crc AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM step),
+         run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+         u AS MATERIALIZED (SELECT w, count(*) AS c, hex(encode(concat(doc_id, ':', w))) AS x FROM run WHERE length(w) >= 6 GROUP BY doc_id, w),
+         h AS (SELECT w, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+                                                        lambda s, b: xor(t[xor(s, b) % 256 + 1], s >> 8))) AS h FROM u, crc),
+         cut AS (SELECT CASE WHEN h % 199 = 0 THEN w[: h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word, c FROM h),
+         v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n, length(word) AS len,
+                      translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', '!"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\]^_`') AS b
+               FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+         pair AS MATERIALIZED (SELECT a.word, o.word AS other, o.n AS m FROM v a JOIN v o ON o.len = a.len WHERE a.word <> o.word AND levenshtein(a.b, o.b) = 1
+                  UNION ALL SELECT a.word, o.word, o.n FROM v a JOIN v o ON o.len = a.len + 1 WHERE levenshtein(a.b, o.b) = 1
+                  UNION ALL SELECT a.word, o.word, o.n FROM v a JOIN v o ON o.len = a.len - 1 WHERE levenshtein(a.b, o.b) = 1),
+         best AS (SELECT word, count(*) AS n_near, min({'m': -m, 'other': other}) AS top FROM pair GROUP BY word),
+         f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.m >= 5 * n THEN top.other END AS form, CASE WHEN -top.m >= 5 * n THEN -top.m END AS form_n FROM v LEFT JOIN best USING (word)),
+         chain AS (SELECT word, form AS last FROM f WHERE form IS NOT NULL UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.last WHERE f.form IS NOT NULL),
+         root AS (SELECT chain.word, chain.last FROM chain JOIN f ON f.word = chain.last WHERE f.form IS NULL)
+    SELECT word, form, coalesce(last, word) AS root, n, n_near, form_n FROM f LEFT JOIN root USING (word)"""
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -83,13 +105,24 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score(spark, _read(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, _read(spark, sf_dir, "documents"))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentence_pieces.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_license_scan, op4_token_codes, op5_quality, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_main_text, op10_context_mixing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_license_scan, op4_token_codes, op5_quality, op6_suffix_dedup, op7_exact_dedup, op8_mixing, op9_main_text, op10_context_mixing, op11_spelling, op12_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_mixing": MIXING_SQL,
+        "op11_spelling": SPELLING_SQL,
         "op2_decontaminate": r"""
             WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
                  b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
