@@ -6,8 +6,7 @@ last token of the shorter prefix before it, which is when both, merged alone, st
 stores a last token for each prefix, and the ids follow backwards from the end, without a queue of merges. A pair
 is tested once by merging its two tokens' characters, best score first and of equal scores the leftmost, and kept.
 
-Text is cut first where no piece of the model lies across: before a blank that follows something else, and around
-characters that no longer piece holds. What such a stretch gave is kept for the next one that is equal, by each
+Text is cut first where no piece of the model lies across (see Codec._cutter). What such a stretch gave is kept for the next one that is equal, by each
 worker, up to `MOST` stretches of at most `LONG` characters; a model whose pieces span blanks gets whole texts.
 
 Models of kind BPE with identity normalisation and without user-defined or unused pieces are taken, others are
@@ -19,6 +18,7 @@ table gives no rows; columns other than doc_id and text are ignored. Texts have
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 from .common import trim
 
 BLANK = "▁"
+#: Characters that are no piece are tokens from here on.
+ALONE = 1 << 21
 #: Stretches of text that a worker keeps, twice; how long they are at most; pairs of tokens it keeps.
-MOST, LONG, PAIRS = 150_000, 64, 1_000_000
+MOST, LONG, PAIRS = 250_000, 64, 500_000
 #: Documents that go to a worker's memory at once.
 ROWS = 200
 
@@ -74,68 +76,101 @@ class Codec:
         self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == kind.NORMAL}
         self.unknown = next(i for i, p in enumerate(spec.pieces) if p.type == kind.UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == kind.BYTE}
+        self.text = {i: p for p, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
-        for piece in self.score:
+        for piece, i in self.ids.items():
             if self.merged(piece) == [piece]:  # others never come out of merging
-                self.automaton.add_word(piece, len(piece))
+                self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        inside = {c for p in self.score if len(p) > 1 for c in p}
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside)
-        spans = any(BLANK in p.lstrip(BLANK) for p in self.score)
-        single = f"|[{alone}]" if alone else ""
-        self.cut = (lambda text: [text] if text else []) if spans else re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+{single}").findall
+        self.pairs: dict[int, bool] = {}
+        self.cut = self._cutter()
         self.kept = _Kept(self._stretch)
 
-    def merged(self, text: str) -> list[str]:
-        """The tokens of a short text by merging: the best neighbours first, of equal ones the leftmost."""
+    def _cutter(self):
+        """How a text falls into stretches that no piece lies across: before a blank that follows something else, around
+        characters that no longer piece holds, and between a word's character and a mark that follows it in no piece."""
+        if any(BLANK in p.lstrip(BLANK) for p in self.score):
+            return lambda text: [text] if text else []
+        ascii_ = [chr(c) for c in range(128)]
+        inside = {c for p in self.score if len(p) > 1 for c in p}
+        after = {y for p in self.score for x, y in zip(p, p[1:]) if x.isalnum() or x == "_"}
+        some = lambda chars: "".join(map(re.escape, chars))
+        alone = some(c for c in ascii_ if c not in inside)
+        cut = some(c for c in ascii_ if c in inside and not (c.isalnum() or c == "_") and c not in after)
+        word, mark = rf"[^\W{alone}{BLANK}]", rf"[^\w{alone}{BLANK}]"
+        joined = f"(?:(?![{cut}]){mark}+)?" if cut else f"{mark}*"
+        return re.compile((f"[{alone}]|" if alone else "") + f"(?=.){BLANK}*{mark}*(?:{word}+{joined})*", re.DOTALL).findall
+
+    def merged(self, text: str, edge: int = -1) -> list[str]:
+        """The tokens of a short text by merging: the best neighbours first, of equal ones the leftmost. Ends early,
+        without a result, where what lies on both sides of a character's end (edge) would merge."""
+        get, none = self.score.get, -math.inf
         parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def compatible(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        known = self.pairs.get(pair)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[pair] = self.merged(left + right) == [left, right]
-        return known
+        scores = [get(x + y, none) for x, y in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
+                break
+            i = scores.index(best)
+            if i == edge:
+                return []
+            parts[i] += parts.pop(i + 1)
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
+            edge -= i < edge
+        return parts
+
+    def _of(self, token: int) -> str:
+        return self.text[token] if token < ALONE else chr(token - ALONE)
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two tokens that follow each other stay apart."""
+        a, b = self._of(left), self._of(right)
+        return bool(self.merged(a + b, len(a) - 1))
 
     def last_tokens(self, text: str) -> list[int]:
-        """For each prefix the length of its encoding's last token. A character that no piece ends with stands alone."""
-        last, done = [0] * (len(text) + 1), 0
-        for end, size in self.automaton.iter(text):
+        """For each prefix its encoding's last token. A character that no piece ends with stands alone."""
+        last, pairs = [0] * (len(text) + 1), self.pairs
+        if len(pairs) > PAIRS:
+            pairs.clear()
+        for end, (size, token) in self.automaton.iter(text):
             i = end + 1
-            while done < i - 1:
-                done += 1
-                last[done] = last[done] or 1
-            if not last[i]:
-                j = i - size
-                if not j or self.compatible(text[j - last[j] : j], text[j:i]):
-                    last[i] = size
-        return [0] + [size or 1 for size in last[1:]]
+            if last[i]:
+                continue
+            j = i - size
+            if j:
+                before = last[j]
+                if not before:  # all pieces that end there have been looked at
+                    before = last[j] = ALONE + ord(text[j - 1])
+                pair = before << 22 | token
+                fits = pairs.get(pair)
+                if fits is None:
+                    fits = pairs[pair] = self.compatible(before, token)
+                if not fits:
+                    continue
+            last[i] = token
+        return last
 
     def _stretch(self, text: str) -> bytes:
         last, i, out = self.last_tokens(text), len(text), []
         while i:
-            token = text[i - last[i] : i]
-            one = self.ids.get(token)
-            if one is not None:
-                out.append(one)
-            elif self.bytes:
-                out += [self.bytes[b] for b in reversed(token.encode())]
-            else:
-                out.append(self.unknown)
-            i -= last[i]
-        return np.array(out[::-1], np.int32).tobytes()
+            token = last[i]
+            if token:
+                out.append(token)
+                i -= len(self.text[token]) if token < ALONE else 1
+                continue
+            last[i] = ALONE + ord(text[i - 1])
+        return np.array(self._ids(out[::-1]), np.int32).tobytes()
+
+    def _ids(self, tokens: list[int]) -> list[int]:
+        """Characters that are no piece become their bytes' pieces, or unknown ones."""
+        if not tokens or max(tokens) < ALONE:
+            return tokens
+        spelled = lambda t: [self.bytes[b] for b in chr(t - ALONE).encode()] if self.bytes else [self.unknown]
+        return [i for t in tokens for i in (spelled(t) if t >= ALONE else (t,))]
 
     def encode(self, text: str) -> np.ndarray:
         whole = self.prefix + text.replace(" ", BLANK) if text else ""
