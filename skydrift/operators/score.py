@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag, half_even
+from .ordering import numbered
 
 OOD_FACTOR, OOD_FALLBACK_SNR_MAX = 3.0, 40.24
 
@@ -41,8 +42,10 @@ def interest(df: DataFrame, threshold: float, snr_max: float | None = None, any_
 
 
 def ranked(df: DataFrame, by: str = "interest", keys: tuple[str, ...] = (), tie: tuple[str, ...] = ("hit_id",)) -> DataFrame:
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(F.desc(by), *tie)
-    return df.withColumn("rank", F.row_number().over(w))
+    """df with rank, largest first, over all rows or within keys; a window for keys, whose top rows Spark can pick early."""
+    if not keys:
+        return numbered(df, [F.desc(by), *tie])
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), *tie)))
 
 
 # Reasons in order of weight; a signal counts under the first that holds.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import KNOWN_BANDS_MHZ
 from ..functions.exprs import in_bands
+from ..operators.ordering import numbered
 from ..operators.rfi import mirror_channel
 from ..operators.score import stationary
 
@@ -94,19 +95,13 @@ RUNS = """runs AS (SELECT printf('run%02d', o_custkey % 50) AS run, count(*) AS
 def ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows, done, failures, partial) of observations, from orders by status and customer."""
     o = table(spark, d, "orders")
-    rows = o.select(F.col("o_orderkey").alias("obs"), F.row_number().over(_by_key()).alias("place"))
+    rows = numbered(o.select(F.col("o_orderkey").alias("obs")), ["obs"], "place")
     done = o.where("o_orderstatus = 'F' AND o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("obs"))
     failures = o.where("o_orderstatus = 'O'").select((F.col("o_custkey") % 400).alias("obs"))
     partial = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("obs"))
     return rows, done, failures, partial
 
 
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.orderBy("o_orderkey")
-
-
 LEDGER = """rows_ AS (SELECT o_orderkey AS obs, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders),
     done AS (SELECT o_orderkey AS obs FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0), failures AS (SELECT o_custkey % 400 AS obs FROM orders WHERE o_orderstatus = 'O'),
     partial AS (SELECT o_orderkey AS obs FROM orders WHERE o_orderkey % 3 = 0)"""
