@@ -1,8 +1,7 @@
 """De-Doppler search: power summed along every linear drift path.
 
-Two forms give the same hits. The relational one joins samples with a table of paths and suits small
-windows and checking; the kernel (see kernel.py) shares partial sums in a Taylor tree and suits units of
-hundreds of thousands of channels.
+Two forms give the same hits, and both share partial sums in a Taylor tree. The relational one deals channels in
+blocks and sums by grouping; the kernel (see kernel.py) works on a unit's samples as an array.
 """
 
 from __future__ import annotations
@@ -13,7 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_TO_SIGMA
+from ..sources.shared import kept
+from . import blocks
+from .blocks import with_halo
 from .rangejoin import small
+from .selection import deviations
 
 
 def padded_rows(n_t: int) -> int:
@@ -50,28 +53,65 @@ def paths(spark: SparkSession, n_t: int, k_max: int, k_limit: float | None = Non
 def column_noise(samples: DataFrame, n_t: int, keys: tuple[str, ...] = ("obs",)) -> DataFrame:
     """Median and scale of every third column sum; the scale of zero deviation is the square root of n_t."""
     sums = samples.groupBy(*keys, "c").agg(F.sum("z").alias("s")).where(F.col("c") % 3 == 0)
-    mid = sums.groupBy(*keys).agg(F.median("s").alias("med"))
-    mad = sums.join(mid, list(keys)).groupBy(*keys, "med").agg((F.median(F.abs(F.col("s") - F.col("med"))) * MAD_TO_SIGMA).alias("mad"))
+    mad = deviations(kept(sums, "column-sums"), "s", keys=keys).withColumn("mad", F.col("mad") * MAD_TO_SIGMA)
     return mad.select(*keys, "med", F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.lit(math.sqrt(n_t))).alias("scale"))
 
 
 def path_sums(samples: DataFrame, table: DataFrame, n_f: int, keys: tuple[str, ...] = ("obs",)) -> DataFrame:
-    """The sum along each path from each start channel; samples beyond the window count as zero."""
+    """The sum along each path of a table from each start channel; samples beyond the window count as zero. Every
+    path adds its own samples; tree_sums shares them."""
     x = samples.join(small(table), "t").withColumn("start", F.col("c") - F.col("delta")).where((F.col("start") >= 0) & (F.col("start") < n_f))
     return x.groupBy(*keys, "start", "sign", "k", "d").agg(F.sum("z").alias("power"))
 
 
+def tree_sums(samples: DataFrame, n_t: int, n_f: int, k_max: int, k_limit: float | None = None, keys: tuple[str, ...] = ("obs",), width: int | None = None) -> DataFrame:
+    """What path_sums gives for the table of paths, by a Taylor tree: in each of log2(n_t) rounds two neighbouring
+    stretches of samples, already summed for half the drift, become one. A sample is in two rows a round, not in one
+    for every drift.
+
+    Start channels are dealt in blocks; a block has all samples that a path from it can meet, a halo on either side.
+    That is the only exchange: the rounds group by the block too, so they stay where their rows are."""
+    tp = padded_rows(n_t)
+    span, m = tp - 1, tp.bit_length() - 1
+    reach = k_max * (n_t - 1) + span
+    width = width or max(1024, 4 * reach)
+    x = with_halo(samples.select(*keys, "t", "c", "z"), F.col("c"), width, reach, reach).drop("_own").repartition(*keys, "_block")
+    signs = F.explode(F.array(F.lit(1), F.lit(-1)))
+    x = x.withColumn("sign", signs).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k_max))))
+    # a path is followed along its sign: channels count upward from its start
+    x = x.select(*keys, "_block", "sign", "k", F.col("t").cast("int").alias("b"), F.lit(0).alias("d"), (F.col("c") - F.col("sign") * F.col("k") * F.col("t")).cast("long").alias("at"), F.col("z").alias("v"))
+    first, last = F.col("_block") * width, (F.col("_block") + 1) * width - 1
+    inside = F.when(F.col("sign") > 0, (F.col("at") >= first) & (F.col("at") <= last + span)).otherwise((F.col("at") <= last) & (F.col("at") >= first - span))
+    x = x.where(inside)
+    for _ in range(m):
+        d = F.explode(F.array(F.col("d") * 2, F.col("d") * 2 + 1)).alias("d2")
+        x = x.select(*keys, "_block", "sign", "k", "b", "d", "at", "v", d)
+        step = F.when(F.col("b") % 2 == 1, F.col("d2") - F.col("d")).otherwise(0)  # the later half starts where the earlier one has drifted to
+        x = x.select(*keys, "_block", "sign", "k", F.shiftright("b", 1).alias("b"), F.col("d2").alias("d"), (F.col("at") - F.col("sign") * step).alias("at"), "v").where(inside)
+        x = x.groupBy(*keys, "_block", "sign", "k", "b", "d", "at").agg(F.sum("v").alias("v"))
+    x = x.where((F.col("at") >= F.greatest(first, F.lit(0))) & (F.col("at") <= F.least(last, F.lit(n_f - 1))))
+    x = x.where((F.col("sign") == 1) | (F.col("k") + F.col("d") > 0))
+    if k_limit is not None and k_limit < 1.0 / span:
+        x = x.where((F.col("k") == 0) & (F.col("d") == 0))
+    else:
+        x = x.where((F.col("d") < span) | (F.col("k") == k_max))
+        if k_limit is not None:
+            x = x.where(F.col("k") + F.col("d") / span <= k_limit + 1e-9)
+    return x.select(*keys, "_block", F.col("at").alias("start"), "sign", "k", "d", F.col("v").alias("power"))
+
+
 def best_paths(sums: DataFrame, n_t: int, keys: tuple[str, ...] = ("obs",), digits: int = 9) -> DataFrame:
     """The strongest path of each start channel; of equal ones the positive, then the slowest."""
     span = padded_rows(n_t) - 1
     ranked = sums.withColumn("drift", F.col("sign") * (F.col("k") * span + F.col("d")) / span)
     best = F.max(F.struct(F.round("power", digits).alias("p"), F.col("sign"), (-F.abs("drift")).alias("slow"))).alias("b")
-    return ranked.groupBy(*keys, "start").agg(best).select(*keys, F.col("start").alias("c"), F.col("b.p").alias("power"), (-F.col("b.slow") * F.col("b.sign")).alias("drift"))
+    block = [c for c in sums.columns if c == "_block"]  # rows are dealt by it already
+    return ranked.groupBy(*keys, *block, "start").agg(best).select(*keys, F.col("start").alias("c"), F.col("b.p").alias("power"), (-F.col("b.slow") * F.col("b.sign")).alias("drift"))
 
 
 def snr_map(samples: DataFrame, n_t: int, n_f: int, k_max: int, k_limit: float | None = None, keys: tuple[str, ...] = ("obs",)) -> DataFrame:
     """(keys, c, snr, drift) of each start channel."""
-    best = best_paths(path_sums(samples, paths(samples.sparkSession, n_t, k_max, k_limit), n_f, keys), n_t, keys)
+    best = best_paths(tree_sums(samples, n_t, n_f, k_max, k_limit, keys), n_t, keys)
     noise = column_noise(samples, n_t, keys)
     return best.join(noise, list(keys)).select(*keys, "c", ((F.col("power") - F.col("med")) / F.col("scale")).alias("snr"), "drift")
 
@@ -82,8 +122,7 @@ def nms_window(n_t: int, n_f: int, k_max: int) -> int:
 
 def peaks(snr: DataFrame, window: int, threshold: float, keys: tuple[str, ...] = ("obs",)) -> DataFrame:
     """Channels at the threshold or above that are the strongest within the window; equal ones all stay."""
-    near = F.max("snr").over(Window.partitionBy(*keys).orderBy("c").rowsBetween(-window, window))
-    return snr.withColumn("near", near).where((F.col("snr") >= threshold) & (F.col("snr") == F.col("near"))).drop("near")
+    return blocks.peaks(snr, "c", "snr", window, threshold, keys)
 
 
 def top_k(df: DataFrame, by: str, k: int, keys: tuple[str, ...] = ("obs",), tie: tuple[str, ...] = ("c",)) -> DataFrame:

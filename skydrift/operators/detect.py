@@ -7,8 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_TO_SIGMA
+from ..sources.shared import kept
+from .blocks import own, with_halo
 from .dedoppler import top_k
+from .rangejoin import small
+from .selection import deviations
 
+#: Time steps of a block of a series.
+SERIES_BLOCK = 1 << 14
 DISPERSION = 4148.808  # seconds times MHz squared, per unit of dispersion measure
 
 
@@ -73,9 +79,10 @@ def dedispersed(sub: DataFrame, lag: DataFrame, dms: DataFrame, n_t: int, n_sub:
 
 def boxcars(series: DataFrame, n_t: int, widths: tuple[int, ...] = (1, 2, 4, 8, 16), keys: tuple[str, ...] = ("obs",)) -> DataFrame:
     """For each trial and width the strongest full box: its start and its signal to noise among all boxes."""
-    w = Window.partitionBy(*keys, "i").orderBy("t")
+    w = Window.partitionBy(*keys, "i", "_block").orderBy("t")
+    series = with_halo(series, F.col("t"), SERIES_BLOCK, 0, max(widths))  # a block sees the box that begins at its end
     boxes = [F.struct(F.lit(k).alias("w"), (F.sum("v").over(w.rowsBetween(0, k - 1)) / F.sqrt(F.lit(float(k)))).alias("box")) for k in widths if k <= n_t]
-    x = series.withColumn("b", F.array(*boxes)).select(*keys, "i", "dm", "t", F.explode("b").alias("b")).select(*keys, "i", "dm", "t", "b.w", "b.box").where(F.col("t") <= n_t - F.col("w"))
+    x = own(series.withColumn("b", F.array(*boxes))).select(*keys, "i", "dm", "t", F.explode("b").alias("b")).select(*keys, "i", "dm", "t", "b.w", "b.box").where(F.col("t") <= n_t - F.col("w"))
     mid = x.groupBy(*keys, "i", "w").agg(F.median("box").alias("m"))
     x = x.join(mid, [*keys, "i", "w"])
     dev = x.groupBy(*keys, "i", "w").agg((F.median(F.abs(F.col("box") - F.col("m"))) * MAD_TO_SIGMA).alias("sd"))
@@ -94,13 +101,13 @@ def pulses(found: DataFrame, threshold: float, most: int = 50, keys: tuple[str,
 
 
 def robust_z(samples: DataFrame, threshold: float = 6.0, keys: tuple[str, ...] = ("obs",)) -> DataFrame:
-    """Channels whose median over time stands out from all of them by the threshold, strongest first."""
-    spec = samples.groupBy(*keys, "c").agg(F.median("z").alias("level"))
-    mid = spec.groupBy(*keys).agg(F.median("level").alias("m"), F.stddev_pop("level").alias("std"))
-    spec = spec.join(mid, list(keys))
-    mad = spec.groupBy(*keys).agg((F.median(F.abs(F.col("level") - F.col("m"))) * MAD_TO_SIGMA).alias("mad"))
+    """Channels whose median over time stands out from all of them by the threshold. NaN and null samples don't count."""
+    z = F.when(~F.isnan("z"), F.col("z"))
+    spec = kept(samples.groupBy(*keys, "c").agg(F.median(z).alias("level")).where("level IS NOT NULL"), "levels")
+    std = spec.groupBy(*keys).agg(F.stddev_pop("level").alias("std"))
+    scales = deviations(spec, "level", "m", "mad", keys).join(std, list(keys)).withColumn("mad", F.col("mad") * MAD_TO_SIGMA)
     scale = F.when(F.col("mad") > 0, F.col("mad")).when(F.col("std") > 0, F.col("std")).otherwise(1e-12)
-    return spec.join(mad, list(keys)).select(*keys, "c", "level", ((F.col("level") - F.col("m")) / scale).alias("robust_z")).where(F.col("robust_z") >= threshold)
+    return spec.join(small(scales), list(keys)).select(*keys, "c", "level", ((F.col("level") - F.col("m")) / scale).alias("robust_z")).where(F.col("robust_z") >= threshold)
 
 
 def pulse_array(z: np.ndarray, freqs: np.ndarray, tsamp: float, threshold: float, max_dm: float, n_dm: int, n_sub: int = 64, widths: tuple[int, ...] = (1, 2, 4, 8, 16), most: int = 50) -> list[dict]:

@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_TO_SIGMA, nan_to_num
+from .blocks import own, with_halo
 
 
 def dc_channel(nfine: int, first: int = 0) -> Column:
     return F.pmod(F.col("c") + first, F.lit(nfine)) == nfine // 2
 
 
-def repair_dc(samples: DataFrame, nfine: int, keys: tuple[str, ...] = ("obs",), first: int = 0) -> DataFrame:
-    """Centre channels become the mean of their neighbours (of themselves at the window's ends)."""
-    w = Window.partitionBy(*keys, "t").orderBy("c")
-    near = (F.coalesce(F.lag("z").over(w), F.col("z")) + F.coalesce(F.lead("z").over(w), F.col("z"))) * 0.5
-    return samples.withColumn("z", F.when(dc_channel(nfine, first), near).otherwise(F.col("z")))
+def repair_dc(samples: DataFrame, nfine: int, keys: tuple[str, ...] = ("obs",), first: int = 0, width: int = 4096) -> DataFrame:
+    """Centre channels become the mean of their neighbours (of themselves at the window's ends). Channels are dealt in
+    blocks with a channel of halo on either side."""
+    w = Window.partitionBy(*keys, "t", "_block").orderBy("c")
+    beside = lambda f, c: F.when(f("c").over(w) == c, f("z").over(w))
+    near = (F.coalesce(beside(F.lag, F.col("c") - 1), F.col("z")) + F.coalesce(beside(F.lead, F.col("c") + 1), F.col("z"))) * 0.5
+    x = with_halo(samples, F.col("c"), width, 1, 1)
+    return own(x.withColumn("z", F.when(dc_channel(nfine, first), near).otherwise(F.col("z"))))
 
 
 def block_of(block: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import KNOWN_BANDS_MHZ
 from ..functions.exprs import finite, half_even, in_bands, is_off_scan, sinc
-from ..operators import rfi, rollup, score, share
+from ..operators import rfi, rollup, score, selection, share
 from .registry import query
 from .views import HITS, hits
 
@@ -257,7 +257,7 @@ def recall_by_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W + " SELECT target, round(quantile_cont(snr, 0.95), 6) AS threshold FROM hits GROUP BY 1")
 def calibration_quantile(spark: SparkSession, d: str) -> DataFrame:
-    return hits(spark, d).groupBy("target").agg(F.round(F.percentile("snr", F.lit(0.95)), 6).alias("threshold"))
+    return selection.quantiles(hits(spark, d), "snr", {"threshold": 0.95}, ("target",)).withColumn("threshold", F.round("threshold", 6))
 
 
 @query(CLASSED + """ SELECT target, hit_id, interest FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY NOT stationary DESC, coalesce(p_technosignature_like, -1) DESC, snr DESC, hit_id) AS rn FROM classed) WHERE rn = 1""")

@@ -84,7 +84,7 @@ def drift_paths(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + BEST + " SELECT obs, c, round(power, 6) AS power, round(drift, 6) AS drift FROM best")
 def drift_paths_best(spark: SparkSession, d: str) -> DataFrame:
     x = samples(spark, d)
-    best = dedoppler.best_paths(dedoppler.path_sums(x, dedoppler.paths(spark, N_T, K_MAX), N_F), N_T)
+    best = dedoppler.best_paths(dedoppler.tree_sums(x, N_T, N_F, K_MAX), N_T)
     return _round(best, "power", "drift")
 
 
