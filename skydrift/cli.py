@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .config import SearchConfig
 from .functions.exprs import is_off_scan
 from .operators import learn, report, rfi, rollup, share
-from .operators.search import candidates, guard, nfine_of, searched
+from .operators.search import candidates, guard, nfine_of, searched, unpacked
 from .sources import archive, filterbank, publish
+from .sources.shared import kept
 
 
 def session() -> SparkSession:
@@ -52,27 +53,21 @@ def analyze(spark: SparkSession, location: str, out: str, cfg: SearchConfig, f_s
     return meta
 
 
-def demo(spark: SparkSession, out: str, n_f: int = 1 << 18, seed: int = 3) -> tuple[dict, list[dict]]:
-    """A simulated observation with three drifting tones among interference; the search's rank of each tone."""
-    rng, os_path = np.random.default_rng(seed), os.path.join(out, "demo.fil")
-    os.makedirs(out, exist_ok=True)
-    z = learn.noise(16, n_f, rng)
-    tones = [(int(n_f * f), d) for f, d in ((0.21, 1.4), (0.52, -2.3), (0.83, 3.1))]
-    for kind in ("rfi_zero_drift", "rfi_intermittent", "rfi_wideband"):
-        for _ in range(8):
-            p = learn.parameters(kind, 16, n_f, rng)
-            lo = max(0, int(p["start"]) - 600)
-            z[:, lo : lo + 1200] = learn.inject(z[:, lo : lo + 1200], kind, p["start"] - lo, p["drift"], p["snr"], p["width"], rng)
-    for c, d in tones:
-        z[:, c - 600 : c + 600] = learn.inject(z[:, c - 600 : c + 600], "technosignature_like", 600, d, 8.0, 1.0, rng)
-    filterbank.write_file(os_path, z, filterbank.Header(fch1=1420.0, foff=-2.7939677238464355e-06, tsamp=18.253611008, tstart=59000.0, source_name="DEMO"))
-    cfg = SearchConfig(channels_per_unit=1 << 16, snr_threshold=10.0)
-    meta = analyze(spark, os_path, os.path.join(out, "run"), cfg)
-    found = spark.read.parquet(os.path.join(out, "run/candidates.parquet"))
-    from .operators.score import ranked
-
-    truth = spark.createDataFrame([(k, c, d) for k, (c, d) in enumerate(tones)], "tone_id int, start_channel long, true_drift double")
-    return meta, [r.asDict() for r in rfi.truth_join(truth, ranked(found), 16).orderBy("tone_id").collect()]
+def observed(spark: SparkSession, location: str, cfg: SearchConfig) -> tuple[DataFrame, filterbank.Header, int]:
+    """(normalised samples of a file's units, header, channels a unit): obs is the unit's first channel. Units are whole,
+    so a last one that is narrower is left out."""
+    filterbank.register(spark)
+    h = filterbank.read_header(location)
+    width = min(cfg.channels_per_unit, h.nchans)
+    units = spark.read.format("filterbank").option("width", width).option("c1", h.nchans // width * width).load(location)
+    return unpacked(units, cfg), h, width
+
+
+def planted_in(spark: SparkSession, location: str, cfg: SearchConfig, snrs: tuple[float, ...], drifts: tuple[float, ...]) -> dict:
+    """The arguments of learn's tests with planted tones for a file."""
+    samples, h, width = observed(spark, location, cfg)
+    k = max(1, math.ceil(max(drifts)))
+    return {"samples": samples, "n_t": h.nsamples, "n_f": width, "k_max": k, "threshold": cfg.snr_threshold, "snrs": snrs, "drifts": drifts}
 
 
 def siblings(spark: SparkSession, folder: str, product: str) -> dict[str, bool]:
@@ -155,7 +150,7 @@ def status(spark: SparkSession, archive_url: str | None, volunteers_url: str | N
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="skydrift")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"demo": ["out"], "inspect": ["path"], "analyze": ["path", "out"], "crunch": ["folder", "out"], "train": ["out"], "benchmark": ["out"], "summary": ["root"], "share": ["run", "out"], "status": []}.items():
+    for name, args in {"inspect": ["path"], "analyze": ["path", "out"], "crunch": ["folder", "out"], "train": ["path", "out"], "benchmark": ["path", "out"], "summary": ["root"], "share": ["run", "out"], "status": []}.items():
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
@@ -180,10 +175,7 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--config")
     a = p.parse_args(argv)
     spark, cfg = session(), SearchConfig.load(a.config)
-    if a.command == "demo":
-        meta, ranks = demo(spark, a.out)
-        print(json.dumps({"stats": meta["stats"], "tones": ranks}, default=str))
-    elif a.command == "inspect":
+    if a.command == "inspect":
         filterbank.header_table(spark, a.path).show(truncate=False)
     elif a.command == "analyze":
         print(json.dumps(analyze(spark, a.path, a.out, cfg, a.f_start, a.f_stop)["stats"]))
@@ -196,13 +188,13 @@ def main(argv: list[str] | None = None) -> None:
             crunch(spark, a.folder, a.out, cfg).awaitTermination()
             ledger(spark, a.out).show()
     elif a.command == "train":
-        model, _, right = learn.train(learn.examples(spark, 400).persist())
+        rows = kept(learn.examples(**planted_in(spark, a.path, cfg, (12.0, 20.0, 40.0), (0.0, 0.5, 2.0, 8.0))), "training")
+        model, _, right = learn.train(rows)
         learn.save(model, a.out)
         print(f"right on the held-out quarter: {right:.3f}")
     elif a.command == "benchmark":
-        r = rollup.recovery(learn.recovery_trials(spark, (1.5, 2.0, 3.0), (0.0, 0.5, 2.0, 8.0), 20)).orderBy("snr", "drift")
-        r.write.mode("overwrite").option("header", True).csv(a.out)
-        r.show()
+        rollup.recovery(learn.recovery_trials(**planted_in(spark, a.path, cfg, (6.0, 8.0, 10.0, 12.0, 20.0), (0.0, 0.5, 2.0, 8.0)))).write.mode("overwrite").option("header", True).csv(a.out)
+        spark.read.option("header", True).csv(a.out).orderBy("snr", "drift").show()
     elif a.command == "summary":
         table, notes, best = report.summary(spark, a.root, a.out or a.root)
         table.show(1000, truncate=False)

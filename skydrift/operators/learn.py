@@ -1,4 +1,4 @@
-"""Simulated observations, a classifier of hits, anomalies, and how much the search recovers."""
+"""A classifier of hits, anomalies, and how much the search recovers of tones planted in what was observed."""
 
 from __future__ import annotations
 
@@ -11,79 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import SCALARS
-from .kernel import peaks, search
-from .dedoppler import nms_window
+from ..sources.shared import kept
+from .dedoppler import column_noise
+from .features import SCALARS, snippets, vectors
+from .kernel import kernel_hits, packed
+from .rangejoin import small
 
 # The classes of signals, in the order in which models and tables have them.
 LABELS = ("technosignature_like", "rfi_zero_drift", "rfi_wideband", "rfi_nonlinear", "rfi_intermittent", "rfi_strong_carrier", "noise")
-# Of each simulated kind the drift (channels a step; none: log-uniform from two steps of the search to the
-# largest), the factor of its strength (none: log-uniform from 10 to 1000) and the width in channels.
-KINDS = {
-    "technosignature_like": (None, 1.0, (0.5, 2.0)),
-    "rfi_zero_drift": ((0.0, 0.0), 1.0, (0.5, 3.0)),
-    "rfi_wideband": ((-0.3, 0.3), 0.6, (12.0, 40.0)),
-    "rfi_nonlinear": ((-1.0, 1.0), 1.0, (1.0, 3.0)),
-    "rfi_intermittent": ((-2.0, 2.0), 1.6, (0.5, 2.0)),
-    "rfi_strong_carrier": ((-0.3, 0.3), None, (0.5, 2.0)),
-}
-BANDS_OF_DRIFT = (1.0, 12.0)
-
-
-def noise(n_t: int, n_f: int, rng: np.random.Generator, bandpass: bool = True, nfine: int | None = None, dof: int = 100) -> np.ndarray:
-    """Power of receiver noise, with a smooth bandpass and a spike at each coarse channel's centre."""
-    z = rng.chisquare(dof, (n_t, n_f)) / dof
-    if bandpass:
-        x = np.linspace(-1, 1, n_f)
-        z = z * (1 + 0.3 * np.cos(3 * x) - 0.2 * x**2)
-    if nfine:
-        z[:, nfine // 2 :: nfine] += 5
-    return z.astype(np.float32)
-
-
-def profile(n_f: int, centre: float, width: float) -> np.ndarray:
-    """A tone's power over channels: sinc squared if it is narrow, else a bell curve; the largest is one."""
-    x = np.arange(n_f) - centre
-    p = np.sinc(x) ** 2 * (np.abs(x) <= 3 * width + 2) if width <= 1 else np.exp(-0.5 * (x / (width / 2.355)) ** 2)
-    return p / (p.max() or 1.0)
-
-
-def inject(z: np.ndarray, kind: str, start: float, drift: float, snr: float, width: float, rng: np.random.Generator, smear: bool = False) -> np.ndarray:
-    """z with one signal, of snr times each channel's own deviation; smear spreads each sample over the channels that
-    it drifts through. An intermittent one is on in a third of the samples, one at least."""
-    n_t, n_f = z.shape
-    out, sigma, t = z.copy(), z.std(0), np.arange(n_t)
-    at = start + drift * t + (3.0 * width * np.sin(5 * np.pi * t / max(n_t, 2.5) + snr) if kind == "rfi_nonlinear" else 0.0)
-    on = t
-    if kind == "rfi_intermittent":
-        on = np.union1d(np.flatnonzero(rng.random(n_t) < 0.35), rng.integers(n_t, size=1))
-    steps = max(1, math.ceil(abs(drift))) if smear else 1
-    for row in on:
-        out[row] += snr * sigma * (sum(profile(n_f, at[row] + drift * (k + 0.5) / steps * (steps > 1), width) for k in range(steps)) / steps)
-    return out
-
-
-def _log_uniform(rng: np.random.Generator, low: float, high: float) -> float:
-    return float(np.exp(rng.uniform(np.log(low), np.log(high))))
-
-
-def parameters(kind: str, n_t: int, n_f: int, rng: np.random.Generator, snr: tuple[float, float] = (1.5, 6.0), max_drift: float = 4.0) -> dict:
-    """Random ones for a kind of signal, which stays within the window."""
-    drifts, factor, widths = KINDS[kind]
-    edge = min(max_drift * n_t + 40, (n_f - 1) / 2)
-    drift = rng.uniform(*drifts) if drifts else _log_uniform(rng, min(2 / max(n_t - 1, 1), max_drift), max_drift) * rng.choice([-1.0, 1.0])
-    return {"kind": kind, "start": float(rng.uniform(edge, n_f - edge)), "drift": float(drift), "snr": float(rng.uniform(*snr)) * factor if factor else _log_uniform(rng, 10, 1000), "width": float(rng.uniform(*widths))}
-
-
-def two_tones(n_t: int = 256, n_f: int = 1024, seed: int = 1) -> np.ndarray:
-    """Noise with one steady and one drifting tone, for the plain detector."""
-    rng = np.random.default_rng(seed)
-    z = rng.normal(10, 1, (n_t, n_f))
-    z[:, n_f * 3 // 10] += 7
-    z[np.arange(n_t), (n_f * 7 // 10 + np.arange(n_t) * 0.2).astype(int)] += 5
-    return z
-
-
 def normalized(z: np.ndarray, block: int = 512) -> np.ndarray:
     """The array form of normalize.normalize."""
     z = np.nan_to_num(z.astype(np.float64))
@@ -130,38 +65,53 @@ def image(z: np.ndarray, start: float, drift: float, rows: int = 16, pool: int =
     return (s / (np.abs(s).max() + 1e-6)).ravel()
 
 
+#: A row of what a classifier learns from.
 EXAMPLE = "label string, drift double, " + ", ".join(f"{s} double" for s in SCALARS) + ", img array<double>"
-
-
-def examples(spark: SparkSession, per_class: int, seed: int = 1, n_t: int = 16, n_f: int = 1024, tries: int = 30) -> DataFrame:
-    """Simulated, searched and measured hits, per_class of each label at most; each row has a seed of its own."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i in batch.column(0).to_pylist():
-                kind = LABELS[i % len(LABELS)]
-                for n in range(tries):
-                    rng = np.random.default_rng([seed, i, n])
-                    z, want = noise(n_t, n_f, rng), None
-                    if kind != "noise":
-                        want = parameters(kind, n_t, n_f, rng, max_drift=16.0)
-                        z = inject(z, kind, want["start"], want["drift"], want["snr"], want["width"], rng)
-                    z = normalized(z, 256)
-                    snr, drift = search(z, 15)
-                    at = peaks(snr, nms_window(n_t, n_f, 15), 5.0)
-                    if want is not None:
-                        at = at[np.abs(at - want["start"]) <= 40]
-                    if len(at):
-                        c = int(at[0])
-                        rows.append((kind, float(drift[c]), *measures(z, c, float(drift[c]), float(snr[c])), image(z, c, float(drift[c])).tolist()))
-                        break
-            names = ["label", "drift", *SCALARS, "img"]
-            types = [pa.string(), *[pa.float64()] * (len(names) - 2), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=names)
-
-    n = spark.sparkContext.defaultParallelism
-    return spark.range(per_class * len(LABELS)).repartition(n).mapInArrow(task, EXAMPLE)
+#: Channels at either end of a window in which no test tone begins, and how far from its start it may be found.
+MARGIN, NEAR_CHANNELS, NEAR_DRIFT = 4, 3, 0.5
+
+
+def planted(samples: DataFrame, n_t: int, n_f: int, snrs: tuple[float, ...], drifts: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+    """Observed samples (obs, t, c, z) with test tones: (samples, trials). Each observation comes once as it is, as cell
+    0, and once for each strength and drift, with a tone of one channel that drifts upwards from a channel that
+    follows from the observation's number. A tone's power over all samples is its strength times the noise of the
+    observation's column sums. trials(obs, source, cell, tone_snr, tone_drift, start) says what is where; obs numbers
+    observation and cell together."""
+    cells = [(0.0, 0.0), *((float(s), float(d)) for s in snrs for d in drifts)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("cell"), F.lit(s).alias("tone_snr"), F.lit(d).alias("tone_drift")) for k, (s, d) in enumerate(cells)]))
+    t = column_noise(samples, n_t).select(F.col("obs").alias("source"), "scale", each.alias("x")).select("source", "scale", "x.*")
+    room = F.lit(n_f - 2 * MARGIN) - F.ceil(F.col("tone_drift") * (n_t - 1))
+    start = MARGIN + F.pmod(F.col("source") * 7919 + F.col("cell") * 104729, room)
+    t = kept(t.select((F.col("source") * len(cells) + F.col("cell")).alias("obs"), "source", "cell", "tone_snr", "tone_drift", start.alias("start"), (F.col("tone_snr") * F.col("scale") / n_t).alias("power")), "trials")
+    on = F.col("c") == F.col("start") + F.rint(F.col("tone_drift") * F.col("t"))
+    x = samples.withColumnRenamed("obs", "source").join(small(t), "source").select("obs", "t", "c", (F.col("z") + F.when(on, F.col("power")).otherwise(0.0)).alias("z"))
+    return x, t.drop("power")
+
+
+def _hits_of_trials(x: DataFrame, trials: DataFrame, n_t: int, n_f: int, k_max: int, threshold: float) -> DataFrame:
+    """(obs, channel, drift, snr, near, and the trial's columns): near where a hit is its trial's tone."""
+    h = kernel_hits(packed(x, n_t, n_f), k_max, threshold).where("channel IS NOT NULL").select(F.col("unit_id").cast("long").alias("obs"), "channel", "drift", "snr")
+    close = (F.abs(F.col("channel") - F.col("start")) <= NEAR_CHANNELS) & (F.abs(F.col("drift") - F.col("tone_drift")) <= NEAR_DRIFT)
+    return h.join(small(trials), "obs").withColumn("near", (F.col("cell") > 0) & close)
+
+
+def recovery_trials(samples: DataFrame, n_t: int, n_f: int, k_max: int, threshold: float, snrs: tuple[float, ...], drifts: tuple[float, ...]) -> DataFrame:
+    """(snr, drift, found): a row for each tone planted in each observation."""
+    x, t = planted(samples, n_t, n_f, snrs, drifts)
+    found = _hits_of_trials(x, t, n_t, n_f, k_max, threshold).where("near").select("obs").distinct().withColumn("found", F.lit(True))
+    return t.where("cell > 0").join(found, "obs", "left").select(F.col("tone_snr").alias("snr"), F.col("tone_drift").alias("drift"), F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def examples(samples: DataFrame, n_t: int, n_f: int, k_max: int, threshold: float, snrs: tuple[float, ...], drifts: tuple[float, ...]) -> DataFrame:
+    """Measured and labelled hits: what is found in the observations as they are is noise, a planted tone that is found
+    again drifts or stands still. (hit_id, then as EXAMPLE)"""
+    x, t = planted(samples, n_t, n_f, snrs, drifts)
+    label = F.when(F.col("cell") == 0, "noise").when(F.col("tone_drift") == 0, "rfi_zero_drift").otherwise("technosignature_like")
+    h = _hits_of_trials(x, t, n_t, n_f, k_max, threshold).where("near OR cell = 0")
+    h = kept(h.select((F.col("obs") * max(n_f, 1000) + F.col("channel")).alias("hit_id"), "obs", "channel", "drift", "snr", label.alias("label")), "examples")
+    v = vectors(h, snippets(h, x, n_t), n_t)
+    numbers = [F.col("features")[k].alias(c) for k, c in enumerate(SCALARS)]
+    return v.join(h.select("hit_id", "label", "drift"), "hit_id").select("hit_id", "label", "drift", *numbers, F.slice("features", len(SCALARS) + 1, 256).alias("img"))
 
 
 def _assembled(df: DataFrame) -> DataFrame:
@@ -172,21 +122,26 @@ def _assembled(df: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame, seed: int = 1, trees: int = 60):
-    """A random forest over scalars and image; (model, label names, share right on the held-out quarter)."""
+    """A random forest over scalars and image; (model, label names, share right on the held-out quarter). The model
+    remembers the largest snr that it was shown."""
     from pyspark.ml.classification import RandomForestClassifier
 
     number = F.array_position(F.array(*map(F.lit, LABELS)), F.col("label")).cast("double") - 1
     x = _assembled(rows.withColumn("y", number)).withColumn("out", F.pmod(F.xxhash64(*SCALARS, F.lit(seed)), F.lit(4)) == 0)
     model = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=10, seed=seed).fit(x.where("NOT out"))
+    model.snr_max = rows.agg(F.max("snr")).first()[0]
     right = model.transform(x.where("out")).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
     return model, LABELS, right
 
 
+META = "labels array<string>, scalars array<string>, snr_max double"
+
+
 def save(model, folder: str) -> None:
     """The model, and beside it what it says and of what."""
     model.write().overwrite().save(f"{folder}/forest")
     spark = SparkSession.active()
-    spark.createDataFrame([(list(LABELS), list(SCALARS))], "labels array<string>, scalars array<string>").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+    spark.createDataFrame([(list(LABELS), list(SCALARS), getattr(model, "snr_max", None))], META).coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
 
 
 def load(spark: SparkSession, folder: str | None):
@@ -196,10 +151,12 @@ def load(spark: SparkSession, folder: str | None):
     if not folder:
         return None, "no model is named"
     try:
-        meta = spark.read.schema("labels array<string>, scalars array<string>").json(f"{folder}/meta").first()
+        meta = spark.read.schema(META).json(f"{folder}/meta").first()
         if tuple(meta["labels"]) != LABELS or tuple(meta["scalars"]) != SCALARS:
             return None, "the model was made for other labels or features; train a new one"
-        return RandomForestClassificationModel.load(f"{folder}/forest"), None
+        model = RandomForestClassificationModel.load(f"{folder}/forest")
+        model.snr_max = meta["snr_max"]
+        return model, None
     except Exception as e:  # noqa: BLE001 - a search goes on without a model, and says so
         return None, f"the model can't be loaded: {type(e).__name__}"
 
@@ -298,32 +255,3 @@ def anomalies(hits: DataFrame, key: str = "run", least: int = 20, most: int = 40
     raw = joined.mapInArrow(score, f"hit_id {kinds['hit_id']}, run {dict(x.dtypes)['run']}, s double")
     ends = raw.groupBy("run").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     return raw.join(ends, "run").select("hit_id", ((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)).alias("anomaly"))
-
-
-def recovery_trials(spark: SparkSession, snrs: tuple[float, ...], drifts: tuple[float, ...], trials: int, false_alarm: float = 0.05, n_noise: int = 100, n_t: int = 16, n_f: int = 1024, seed: int = 7, smear: bool = False) -> DataFrame:
-    """(snr, drift, trial, found): injected tones, searched at the threshold that this share of noise exceeds."""
-    k = max(1, math.ceil(max(drifts)))
-
-    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            top = [float(search(normalized(noise(n_t, n_f, np.random.default_rng([seed, 0, i]), False)), k)[0].max()) for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(top)], names=["top"])
-
-    n = spark.sparkContext.defaultParallelism
-    threshold = spark.range(n_noise).repartition(n).mapInArrow(strongest, "top double").agg(F.percentile("top", F.lit(1 - false_alarm))).first()[0]
-    cells = [(float(s), float(d)) for s in snrs for d in drifts]
-
-    def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i in batch.column(0).to_pylist():
-                s, d = cells[i // trials]
-                rng = np.random.default_rng([seed, 1, i])
-                start = float(rng.integers(40, int(n_f - 40 - d * n_t)))
-                z = normalized(inject(noise(n_t, n_f, rng, False), "technosignature_like", start, d, s, 1.0, rng, smear))
-                snr, drift = search(z, k)
-                at = peaks(snr, nms_window(n_t, n_f, k), threshold)
-                rows.append((s, d, i % trials, bool(np.any((np.abs(at - start) <= 3) & (np.abs(drift[at] - d) <= 0.5)))))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [pa.array([], t) for t in (pa.float64(), pa.float64(), pa.int64(), pa.bool_())], names=["snr", "drift", "trial", "found"])
-
-    return spark.range(len(cells) * trials).repartition(n).mapInArrow(trial, "snr double, drift double, trial long, found boolean")

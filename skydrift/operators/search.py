@@ -102,6 +102,21 @@ def searched(units: DataFrame, cfg: SearchConfig, nfine: int | None = None) -> D
     return units.select("unit_id", "n_t", "n_f", "chan_start", "core_start", "core_stop", "fch1", "foff", "tsamp", "z", "error").mapInArrow(task, HITS)
 
 
+def unpacked(units: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Samples (obs, t, c, z) of units as the filterbank source gives them, normalised; obs is the unit's first channel."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n_t, n_f, first, raw, error in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if error:
+                    raise OSError(error)
+                z = normalized(np.frombuffer(raw, "<f8").reshape(n_t, n_f), cfg.bandpass_block)
+                for t in range(n_t):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n_f, first)), pa.array(np.full(n_f, t, np.int32)), pa.array(np.arange(n_f, dtype=np.int32)), pa.array(z[t])], names=["obs", "t", "c", "z"])
+
+    return units.select("n_t", "n_f", "chan_start", "z", "error").mapInArrow(task, "obs long, t int, c int, z double")
+
+
 def spikes_of(hits: DataFrame) -> DataFrame:
     """Single samples of all units that lie on no track."""
     return hits.where("spikes IS NOT NULL").select("unit_id", F.explode("spikes").alias("s")).select("unit_id", "s.*").where("isolated").drop("isolated")
@@ -121,7 +136,7 @@ def candidates(hits: DataFrame, cfg: SearchConfig, model=None, run: str = "run")
     h = mirror_pairs(h)
     h = h.join(anomalies(h), "hit_id", "left").withColumn("known_rfi_band", in_bands("frequency_mhz", cfg.known_rfi_bands_mhz))
     if model is not None and cfg.use_ai:
-        h = interest(probabilities(model, h), cfg.snr_threshold)
+        h = interest(probabilities(model, h), cfg.snr_threshold, getattr(model, "snr_max", None))
         return h.withColumns({"ai_class": F.when(F.col("ood"), "out_of_distribution").otherwise(best_class([f"p_{x}" for x in LABELS])), "status": F.lit("unverified")})
     h = interest(h, cfg.snr_threshold, any_probability=False)
     return h.withColumns({"ai_class": F.lit("model_unavailable" if cfg.use_ai else "ai_disabled"), "status": F.lit("unverified")})

@@ -83,11 +83,12 @@ def multi_target(spark: SparkSession, d: str) -> DataFrame:
     return rfi.multi_target(h, hits(spark, d).select("target", "frequency_mhz")).select("hit_id", "multi_target", "interest")
 
 
-@query("WITH " + SCANS + ", g AS (SELECT 'c' || (n % 3) AS cadence, name, is_on FROM scans, (SELECT unnest(range(0, 3)) AS n) WHERE n <> 1 OR place = 0 OR place = 1), k AS (SELECT cadence, count_if(is_on) AS n_on, count_if(NOT is_on) AS n_off FROM g GROUP BY 1) SELECT cadence, n_on, n_off, n_on >= 2 AND n_off > 0 AS testable FROM k")
+@query("""WITH k AS (SELECT o_custkey AS cadence, count_if(o_orderkey % 2 = 0) AS n_on, count_if(o_orderkey % 2 <> 0) AS n_off FROM orders GROUP BY 1)
+    SELECT cadence, n_on, n_off, n_on >= 2 AND n_off > 0 AS testable, CASE WHEN n_on < 2 THEN 'only ' || n_on || ' ON scan(s); a test needs 2' WHEN n_off = 0 THEN 'no OFF scan' ELSE n_on || ' ON / ' || n_off || ' OFF scans' END AS reason FROM k""")
 def cadence_testable(spark: SparkSession, d: str) -> DataFrame:
-    s = _scans(spark)
-    three = s.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("n <> 1 OR name IN ('scan0', 'scan1')").withColumn("cadence", F.concat(F.lit("c"), F.col("n").cast("string")))
-    return rfi.testable(three).select("cadence", "n_on", "n_off", "testable")
+    """A customer's orders as the scans of a cadence."""
+    scans = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("cadence"), F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 2 == 0).alias("is_on"))
+    return rfi.testable(scans).select("cadence", "n_on", "n_off", "testable", "reason")
 
 
 TOL = 20_000.0

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import axis, dedoppler, detect, features, kernel, learn, normalize, rollup
+from ..sources.shared import kept
 from ..streaming import crunch
 from .registry import query
 from .views import EVENTS, N_F, N_T, SAMPLES, event_waterfall, samples
@@ -76,9 +77,11 @@ SNR = BEST + ", snr AS (SELECT best.obs, c, (power - med) / scale AS snr, drift
 PEAKS = SNR + f""", peaks AS (SELECT * FROM (SELECT *, max(snr) OVER (PARTITION BY obs ORDER BY c ROWS BETWEEN 64 PRECEDING AND 64 FOLLOWING) AS near FROM snr) WHERE snr = near AND snr >= 3)"""
 
 
-@query("WITH " + PATHS + " SELECT * FROM paths")
+@query("WITH " + BEST + " SELECT obs, CAST(sign AS INTEGER) AS sign, CAST(k AS INTEGER) AS k, CAST(d AS INTEGER) AS d, count(*) AS n, round(sum(power), 4) AS total, round(max(power), 4) AS strongest FROM sums GROUP BY obs, sign, k, d")
 def drift_paths(spark: SparkSession, d: str) -> DataFrame:
-    return dedoppler.paths(spark, N_T, K_MAX).select("sign", "k", "d", "t", "delta")
+    """What lies on each path of an observation, over all channels that it can begin at; each path adds its own samples."""
+    sums = dedoppler.path_sums(samples(spark, d), dedoppler.paths(spark, N_T, K_MAX), N_F)
+    return sums.groupBy("obs", "sign", "k", "d").agg(F.count("*").alias("n"), (F.round(F.sum("power"), 4) + 0.0).alias("total"), (F.round(F.max("power"), 4) + 0.0).alias("strongest"))
 
 
 @query("WITH " + BEST + " SELECT obs, c, round(power, 6) AS power, round(drift, 6) AS drift FROM best")
@@ -309,29 +312,41 @@ def anomaly_scores(spark: SparkSession, d: str) -> DataFrame:
     return learn.anomalies(features.scalars(h, s).withColumn("run", F.lit("all")))
 
 
-PER_CLASS = 400
+TONES, DRIFTS = (3.0, 6.0, 12.0), (0.0, 0.5, 2.0)
+_cells = [(0.0, 0.0), *((s, d) for s in TONES for d in DRIFTS)]
+PLANTED = SAMPLES.replace("samples AS", "base AS") + f""", bs AS (SELECT obs, c, sum(z) AS s FROM base GROUP BY 1, 2), bm AS (SELECT obs, median(s) AS med FROM bs WHERE c % 3 = 0 GROUP BY 1),
+    bn AS (SELECT bs.obs, CASE WHEN median(abs(s - med)) > 0 THEN 1.4826::DOUBLE * median(abs(s - med)) ELSE 4.0 END AS scale FROM bs JOIN bm ON bs.obs = bm.obs WHERE c % 3 = 0 GROUP BY bs.obs, med),
+    cells AS (SELECT * FROM (VALUES {", ".join(f"({k}, {s}::DOUBLE, {d}::DOUBLE)" for k, (s, d) in enumerate(_cells))}) AS v(cell, tone_snr, tone_drift)),
+    trials AS (SELECT bn.obs * {len(_cells)} + cell AS obs, bn.obs AS source, cell, tone_snr, tone_drift, 4 + (bn.obs * 7919 + cell * 104729) % CAST(56 - ceil(tone_drift * 15) AS BIGINT) AS start, tone_snr * scale / 16 AS power FROM bn, cells),
+    samples AS (SELECT trials.obs, t, c, z + CASE WHEN c = start + round_even(tone_drift * t, 0) THEN power ELSE 0.0::DOUBLE END AS z FROM base JOIN trials ON base.obs = trials.source)"""
 
 
-@query(None)
+@query("SELECT x.*, CASE WHEN cell = 0 THEN 'noise' WHEN tone_drift = 0 THEN 'rfi_zero_drift' ELSE 'technosignature_like' END AS label FROM (" + _sql_of("scalar_features").replace(SAMPLES, PLANTED) + f""") x
+    JOIN (WITH {PLANTED + PEAKS[len(SAMPLES):]} SELECT p.obs * 1000 + p.c AS id, cell, tone_drift FROM peaks p JOIN trials t ON t.obs = p.obs WHERE cell = 0 OR (abs(p.c - start) <= 3 AND abs(p.drift - tone_drift) <= 0.5)) y ON y.id = x.hit_id""")
 def synthetic_examples(spark: SparkSession, d: str) -> DataFrame:
-    """Simulated hits of each class."""
-    return learn.examples(spark, PER_CLASS)
+    """Training rows: hits of the embeddings as they are, and tones planted in them that are found again."""
+    return _round(_examples(spark, d).select("hit_id", "label", *features.SCALARS), *features.SCALARS)
+
+
+def _examples(spark: SparkSession, d: str) -> DataFrame:
+    return learn.examples(samples(spark, d), N_T, N_F, K_MAX, 3.0, TONES, DRIFTS)
 
 
 @query(None)
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
-    """A forest learnt from simulated hits, applied to the hits of the embeddings."""
-    model, _, _ = learn.train(learn.examples(spark, PER_CLASS).persist())  # read several times
+    """A forest learnt from tones planted in the embeddings, applied to the hits of the embeddings."""
+    model, _, _ = learn.train(kept(_examples(spark, d), "training"))  # read several times
     h, s = _found(spark, d)
     n = len(features.SCALARS)
     x = features.vectors(h, s, N_T).select("hit_id", *[F.col("features")[k].alias(c) for k, c in enumerate(features.SCALARS)], F.slice("features", n + 1, 256).alias("img"))
     return learn.probabilities(model, x).drop("img")
 
 
-@query(None)
+@query("WITH " + PLANTED + PEAKS[len(SAMPLES):] + """, f AS (SELECT t.obs, tone_snr, tone_drift, bool_or(coalesce(abs(p.c - start) <= 3 AND abs(p.drift - tone_drift) <= 0.5, false)) AS found FROM trials t LEFT JOIN peaks p ON p.obs = t.obs WHERE cell > 0 GROUP BY 1, 2, 3)
+    SELECT tone_snr AS snr, tone_drift AS drift, round(avg(CASE WHEN found THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate, count(*) AS n FROM f GROUP BY 1, 2""")
 def recovery_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    """Share of injected tones that are found, by strength and drift."""
-    return rollup.recovery(learn.recovery_trials(spark, (0.75, 1.0, 1.5, 2.0, 3.0), (0.0, 0.5, 2.0, 8.0), 20, n_noise=60))
+    """Share of tones planted in each observation of the embeddings that are found, by strength and drift."""
+    return rollup.recovery(learn.recovery_trials(samples(spark, d), N_T, N_F, K_MAX, 3.0, TONES, DRIFTS)).withColumn("rate", F.round("rate", 6))
 
 
 @query("WITH e AS (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM e GROUP BY 1, 2")

@@ -151,11 +151,29 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert abs(crunch.best_so_far(spark, str(tmp_path / "out")).first()["drift_rate_hz_s"]) > 0
 
 
-def test_demo_finds_its_tones(spark, tmp_path):
-    fb.register(spark)
-    meta, ranks = cli.demo(spark, str(tmp_path), n_f=1 << 16)
+TONES = [(13_000, 1.4), (30_000, -2.3), (55_000, 3.1)]
+
+
+def observation(path):
+    """Three drifting tones among steady and broad ones."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(10, 1, (16, 1 << 16))
+    t = np.arange(16)
+    for c, drift in TONES:
+        z[t, np.rint(c + drift * t).astype(int)] += 8
+    for c in rng.integers(2000, 60_000, 8):
+        z[:, c] += 7
+        z[:, c + 300 : c + 330] += 1
+    fb.write_file(str(path), z.astype(np.float32), fb.Header(fch1=1420.0, foff=-2.7939677238464355e-06, tsamp=18.253611008, tstart=59000.0, source_name="DEMO"))
+    return str(path)
+
+
+def test_tones_among_interference(spark, tmp_path):
+    meta = cli.analyze(spark, observation(tmp_path / "demo.fil"), str(tmp_path / "run"), SearchConfig(channels_per_unit=1 << 15))
     assert meta["stats"]["errors"] == 0
-    assert all(r["best_rank"] is not None for r in ranks)
+    found = spark.read.parquet(str(tmp_path / "run/candidates.parquet")).where("NOT stationary").collect()
+    for c, drift in TONES:
+        assert any(abs(r["channel"] - c) <= 3 and abs(r["drift"] - drift) < 0.3 for r in found)
 
 
 def test_config(tmp_path):
@@ -183,7 +201,7 @@ def test_cadence_over_files(spark, tmp_path):
 
 def test_share_sends_once(spark, tmp_path):
     fb.register(spark)
-    cli.demo(spark, str(tmp_path), n_f=1 << 16)
+    cli.analyze(spark, observation(tmp_path / "demo.fil"), str(tmp_path / "run"), SearchConfig(channels_per_unit=1 << 15))
     cfg = SearchConfig(share_min_interest=20.0)
     first = cli.share_run(spark, str(tmp_path / "run"), str(tmp_path / "s"), cfg).count()
     assert 0 < first <= 3
