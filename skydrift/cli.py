@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .config import SearchConfig
 from .functions.exprs import is_off_scan
 from .operators import learn, report, rfi, rollup, share
-from .operators.search import candidates, guard, nfine_of, searched, unpacked
+from .operators.search import candidates, cut, guard, searched, unpacked
 from .sources import archive, filterbank, publish
 from .sources.shared import kept
 
@@ -45,8 +45,8 @@ def analyze(spark: SparkSession, location: str, out: str, cfg: SearchConfig, f_s
     if f_start is not None or f_stop is not None:
         ends = [((f - h.fch1) / h.foff) for f in (h.fch1 if f_start is None else f_start, h.fch1 + h.foff * (h.nchans - 1) if f_stop is None else f_stop)]
         c0, c1 = max(0, int(np.floor(min(ends)))), min(h.nchans, int(np.ceil(max(ends))) + 1)
-    units = spark.read.format("filterbank").option("width", cfg.channels_per_unit).option("pad", guard(h, cfg)).option("c0", c0).option("c1", c1).load(location)
-    hits = searched(units, cfg, nfine_of(h.foff, h.nchans)).cache()
+    units = spark.read.format("filterbank").options(**cut(cfg), c0=c0, c1=c1).load(location)
+    hits = searched(units, cfg).cache()
     model, why = learn.load(spark, cfg.model_path) if cfg.use_ai else (None, "switched off")
     meta = report.write_run(spark, hits, candidates(hits, cfg, model), out, cfg, os.path.basename(location), time.perf_counter() - began, why and f"hits have no classes: {why}")
     hits.unpersist()
@@ -82,10 +82,8 @@ def cadence(spark: SparkSession, files: list[str], out: str, cfg: SearchConfig,
     in every ON scan along their drift, and in no OFF scan."""
     filterbank.register(spark)
     heads = {os.path.splitext(os.path.basename(f))[0]: filterbank.read_header(f) for f in files}
-    pad = max(guard(h, cfg) for h in heads.values())
-    units = spark.read.format("filterbank").option("width", cfg.channels_per_unit).option("pad", pad).load(",".join(files))
-    first = next(iter(heads.values()))
-    hits = searched(units, cfg, nfine_of(first.foff, first.nchans)).where("channel IS NOT NULL")
+    units = spark.read.format("filterbank").options(**cut(cfg)).load(",".join(files))
+    hits = searched(units, cfg).where("channel IS NOT NULL")
     hits = hits.select(F.xxhash64("unit_id", "channel").alias("hit_id"), F.regexp_replace("unit_id", ":[^:]*$", "").alias("name"), "frequency_mhz", "drift_rate_hz_s", "snr")
     hits.write.mode("overwrite").parquet(f"{out}/hits")
     scans = spark.createDataFrame([(n, h.tstart) for n, h in heads.items()], "name string, mjd double").withColumn("is_on", ~is_off_scan("name"))

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.exprs import in_bands
+from ..sources.filterbank import guard_band
 from .dedoppler import nms_window
 from .features import SCALARS
 from .kernel import peaks, search
@@ -20,7 +21,7 @@ from .learn import anomalies, image, measures, normalized
 from .rfi import mirror_pairs
 from .score import best_class, interest
 
-HITS = "unit_id string, channel long, drift double, drift_rate_hz_s double, frequency_mhz double, stationary boolean, drift_unresolved boolean, mirror_channel long, n_channels long, n_t int, n_spikes long, seconds double, error string, " + ", ".join(f"{s} double" for s in SCALARS) + ", img array<double>, drift_searched_hz_s double, degraded boolean, stage_seconds map<string,double>, " + "spikes array<struct<t:int,channel:long,power_sigma:double,isolated:boolean>>, pulses array<struct<i:int,dm:double,w:int,t:int,snr:double,likely_rfi:boolean>>"
+HITS = "unit_id string, location string, channel long, drift double, drift_rate_hz_s double, frequency_mhz double, stationary boolean, drift_unresolved boolean, mirror_channel long, n_channels long, n_t int, n_spikes long, seconds double, error string, " + ", ".join(f"{s} double" for s in SCALARS) + ", img array<double>, drift_searched_hz_s double, degraded boolean, stage_seconds map<string,double>, " + "spikes array<struct<t:int,channel:long,power_sigma:double,isolated:boolean>>, pulses array<struct<i:int,dm:double,w:int,t:int,snr:double,likely_rfi:boolean>>"
 
 
 def nfine_of(foff: float, nchans: int) -> int | None:
@@ -34,18 +35,24 @@ def nfine_of(foff: float, nchans: int) -> int | None:
 
 def guard(h, cfg: SearchConfig) -> int:
     """Channels of padding on each side of a unit's core."""
-    hz = abs(h.foff) * 1e6
-    k = int(np.ceil(cfg.max_drift_rate_hz_s * h.tsamp / hz)) if hz else 1
-    return max(1, min(k, cfg.max_drift_ch_per_step)) * max(h.nsamples, 1) + 8
+    return guard_band(h, cfg.max_drift_rate_hz_s, cfg.max_drift_ch_per_step)
+
+
+def cut(cfg: SearchConfig) -> dict[str, str]:
+    """The options of the filterbank source under these settings: each file with the guard bands that its header asks for."""
+    return {"width": str(cfg.channels_per_unit), "pad": "drift", "drift_rate": str(cfg.max_drift_rate_hz_s), "drift_steps": str(cfg.max_drift_ch_per_step), "most_mb": str(cfg.max_download_mb)}
 
 
 def searched(units: DataFrame, cfg: SearchConfig, nfine: int | None = None) -> DataFrame:
     """units as the filterbank source gives them: a row for each hit, and one for each unit without hits or with
-    an error. A hit is reported by the unit whose core it begins in."""
+    an error. A hit is reported by the unit whose core it begins in. Fine channels of a coarse one follow from each
+    unit's own header, if nfine doesn't say."""
 
-    def one(unit_id, n_t, n_f, chan_start, core_start, core_stop, fch1, foff, tsamp, raw) -> tuple[list[dict], dict]:
+    def one(unit_id, location, n_t, n_f, chan_start, core_start, core_stop, nchans, fch1, foff, tsamp, raw) -> tuple[list[dict], dict]:
         import time
 
+        nfine = given or (nfine_of(foff, nchans) if nchans else None)
+
         clock = [time.perf_counter()]
         z = np.frombuffer(raw, "<f8").reshape(n_t, n_f).copy()
         if nfine and cfg.remove_dc_spike:
@@ -84,22 +91,23 @@ def searched(units: DataFrame, cfg: SearchConfig, nfine: int | None = None) -> D
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    kind = to_arrow_schema(_parse_datatype_string(HITS))
+    kind, given = to_arrow_schema(_parse_datatype_string(HITS)), nfine
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for *args, error in zip(*(batch.column(k).to_pylist() for k in range(11))):
+            for *args, error in zip(*(batch.column(k).to_pylist() for k in range(13))):
                 try:
                     if error:
                         raise OSError(error)
                     got, stats = one(*args)
-                    rows += [{"unit_id": args[0]} | h | (stats if n == 0 else {}) for n, h in enumerate(got or [{}])]
+                    rows += [{"unit_id": args[0], "location": args[1]} | h | (stats if n == 0 else {}) for n, h in enumerate(got or [{}])]
                 except Exception as e:  # noqa: BLE001 - a unit that fails is a row that says why
-                    rows.append({"unit_id": args[0], "error": f"{type(e).__name__}: {e}"})
+                    rows.append({"unit_id": args[0], "location": args[1], "error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return units.select("unit_id", "n_t", "n_f", "chan_start", "core_start", "core_stop", "fch1", "foff", "tsamp", "z", "error").mapInArrow(task, HITS)
+    lacking = {c: F.lit(None).cast(t) for c, t in (("location", "string"), ("nchans", "long")) if c not in units.columns}
+    return units.withColumns(lacking).select("unit_id", "location", "n_t", "n_f", "chan_start", "core_start", "core_stop", "nchans", "fch1", "foff", "tsamp", "z", "error").mapInArrow(task, HITS)
 
 
 def unpacked(units: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -127,13 +135,14 @@ def pulses_of(hits: DataFrame) -> DataFrame:
     return hits.where("pulses IS NOT NULL").select("unit_id", F.explode("pulses").alias("p")).select("unit_id", "p.*")
 
 
-def candidates(hits: DataFrame, cfg: SearchConfig, model=None, run: str = "run") -> DataFrame:
-    """Hits with anomaly, flags, interest and class."""
+def candidates(hits: DataFrame, cfg: SearchConfig, model=None, run: str | Column = "run") -> DataFrame:
+    """Hits with anomaly, flags, interest and class. Mirror images are looked for within a file, by its location."""
     from .learn import LABELS, probabilities
 
-    h = hits.where("channel IS NOT NULL").withColumns({"file": F.regexp_replace("unit_id", ":[^:]*$", ""), "run": F.lit(run)})
-    h = h.withColumn("hit_id", F.xxhash64("unit_id", "channel", "drift"))
-    h = mirror_pairs(h)
+    stem = F.regexp_replace("unit_id", ":[^:]*$", "")
+    h = hits.where("channel IS NOT NULL").withColumns({"file": F.coalesce("location", stem), "run": F.lit(run) if isinstance(run, str) else run})
+    h = h.withColumn("hit_id", F.xxhash64("location", "unit_id", "channel", "drift"))
+    h = mirror_pairs(h).withColumn("file", stem)
     h = h.join(anomalies(h), "hit_id", "left").withColumn("known_rfi_band", in_bands("frequency_mhz", cfg.known_rfi_bands_mhz))
     if model is not None and cfg.use_ai:
         h = interest(probabilities(model, h), cfg.snr_threshold, getattr(model, "snr_max", None))

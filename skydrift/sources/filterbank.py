@@ -8,6 +8,9 @@ short read a row, and nothing else of the file is touched.
 
 from __future__ import annotations
 
+import json
+import math
+import operator
 import os
 import struct
 import threading
@@ -20,7 +23,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, Filter, InputPartition, IsNotNull, WriterCommitMessage
 
 # Fixed values of the format.
 INTS = frozenset("machine_id telescope_id data_type barycentric pulsarcentric nbits nsamples nchans nifs nbeams ibeam".split())
@@ -232,45 +235,126 @@ def files_in(folder: str) -> list[str]:
     return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.lower().endswith(SUFFIXES))
 
 
+def guard_band(h: Header, rate: float, steps: int) -> int:
+    """Channels of padding on each side of a unit's core that a tone can drift through: at `rate` Hz/s, and at most
+    `steps` channels a sample."""
+    hz = abs(h.foff) * 1e6
+    k = math.ceil(rate * h.tsamp / hz) if hz else 1
+    return max(1, min(k, max(1, steps))) * max(h.nsamples, 1) + 8
+
+
+@dataclass
+class Cut:
+    """How files are cut into units. pad: channels on either side, or None for what the header and the drift limits ask
+    for; most_mb: the largest unit; ranges: first and end channel of some files; lenient: a file that can't be cut is
+    a unit that says why."""
+
+    width: int = 262144
+    pad: int | None = 0
+    c0: int = 0
+    c1: int | None = None
+    rate: float = 4.0
+    steps: int = 32
+    most_mb: float | None = None
+    ranges: dict[str, list[int]] | None = None
+    lenient: bool = False
+
+    @classmethod
+    def of(cls, o: dict) -> Cut:
+        return cls(
+            int(o.get("width", 262144)), None if o.get("pad") == "drift" else int(o.get("pad", 0)), int(o.get("c0", 0)), int(o["c1"]) if "c1" in o else None, float(o.get("drift_rate", 4.0)),
+            int(o.get("drift_steps", 32)), float(o["most_mb"]) if "most_mb" in o else None, json.loads(o["ranges"]) if "ranges" in o else None, o.get("lenient", "false") == "true")
+
+    def units(self, location: str) -> list[Unit]:
+        try:
+            return self._units(location)
+        except Exception as e:  # noqa: BLE001
+            if not self.lenient:
+                raise
+            return [Unit(location, {}, f"{stem(location)}:", 0, 0, 0, 0, error=f"{type(e).__name__}: {e}")]
+
+    def _units(self, location: str) -> list[Unit]:
+        h = read_header(location)
+        c0, c1 = (self.ranges or {}).get(location, (self.c0, self.c1))
+        c1 = h.nchans if c1 is None else min(c1, h.nchans)
+        pad = guard_band(h, self.rate, self.steps) if self.pad is None else self.pad
+        mb = min(min(self.width, h.nchans) + 2 * pad, h.nchans) * h.nsamples * 4 / (1 << 20)
+        if self.most_mb is not None and mb > self.most_mb:
+            raise ValueError(f"a unit would be {math.ceil(mb)} MB; the limit is {self.most_mb:g}")
+        cores = [(a, min(a + self.width, c1)) for a in range(c0, c1, self.width)]
+        return [Unit(location, asdict(h), f"{stem(location)}:{a}-{b}", max(0, a - pad), min(h.nchans, b + pad), a, b) for a, b in cores]
+
+
+def stem(location: str) -> str:
+    return os.path.splitext(os.path.basename(location.split("?")[0]))[0]
+
+
 def units_of(location: str, width: int, pad: int, c0: int = 0, c1: int | None = None) -> list[Unit]:
-    h = read_header(location)
-    c1 = h.nchans if c1 is None else min(c1, h.nchans)
-    stem = os.path.splitext(os.path.basename(location.split("?")[0]))[0]
-    cores = [(a, min(a + width, c1)) for a in range(c0, c1, width)]
-    return [Unit(location, asdict(h), f"{stem}:{a}-{b}", max(0, a - pad), min(h.nchans, b + pad), a, b) for a, b in cores]
+    return Cut(width, pad, c0, c1).units(location)
+
+
+SCHEMA = "unit_id string, location string, n_t int, n_f int, chan_start long, core_start long, core_stop long, nchans long, f_low double, f_high double, fch1 double, foff double, tsamp double, tstart double, source_name string, z binary, error string"
+
+
+def described(u: Unit) -> dict:
+    """What a unit's row holds but for its samples, known before anything of them is read. f_low and f_high are the
+    outermost frequencies of its core."""
+    if u.error:
+        return {"unit_id": u.unit_id, "location": u.location, "error": u.error}
+    h = Header(**u.header)
+    ends = [h.fch1 + h.foff * c for c in (u.core_start, u.core_stop - 1)]
+    return {
+        "unit_id": u.unit_id, "location": u.location, "n_t": h.nsamples, "n_f": u.chan_stop - u.chan_start, "chan_start": u.chan_start, "core_start": u.core_start, "core_stop": u.core_stop,
+        "nchans": h.nchans, "f_low": min(ends), "f_high": max(ends), "fch1": h.fch1, "foff": h.foff, "tsamp": h.tsamp, "tstart": h.tstart, "source_name": h.source_name}
+
 
+#: How filters that Spark hands over compare a known value; columns with samples and errors aren't known yet.
+COMPARED = {"EqualTo": operator.eq, "GreaterThan": operator.gt, "GreaterThanOrEqual": operator.ge, "LessThan": operator.lt, "LessThanOrEqual": operator.le, "In": lambda x, values: x in values, "StringStartsWith": str.startswith, "StringEndsWith": str.endswith, "StringContains": str.__contains__}
+KNOWN = [c.split()[0] for c in SCHEMA.split(", ") if c.split()[0] not in ("z", "error")]
 
-SCHEMA = "unit_id string, location string, n_t int, n_f int, chan_start long, core_start long, core_stop long, fch1 double, foff double, tsamp double, tstart double, source_name string, z binary, error string"
+
+def _passes(known: dict, f: Filter) -> bool:
+    value = known.get(f.attribute[0])
+    if isinstance(f, IsNotNull):
+        return value is not None
+    return value is not None and COMPARED[type(f).__name__](value, f.value)
 
 
 def _rows(units: list[Unit]) -> Iterator[pa.RecordBatch]:
     types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
     kind = pa.schema([(n, types[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
     for u in units:
-        if u.error:
-            row = dict.fromkeys(kind.names) | {"unit_id": u.unit_id, "location": u.location, "error": u.error}
-            yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in kind], schema=kind)
-            continue
-        h = Header(**u.header)
-        try:
-            z, error = read_window(u.location, u.chan_start, u.chan_stop, h, u.if_index), None
-        except Exception as e:  # noqa: BLE001 - one unit that can't be read is a row that says why
-            z, error = None, f"{type(e).__name__}: {e}"
-        row = (u.unit_id, u.location, h.nsamples, u.chan_stop - u.chan_start, u.chan_start, u.core_start, u.core_stop, h.fch1, h.foff, h.tsamp, h.tstart, h.source_name, None if z is None else z.astype("<f8").tobytes(), error)
-        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kind)], schema=kind)
+        row, z, error = described(u), None, u.error
+        if not error:
+            try:
+                z = read_window(u.location, u.chan_start, u.chan_stop, Header(**u.header), u.if_index).astype("<f8").tobytes()
+            except Exception as e:  # noqa: BLE001 - one unit that can't be read is a row that says why
+                error = f"{type(e).__name__}: {e}"
+        row |= {"z": z, "error": error}
+        yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in kind], schema=kind)
 
 
 class FilterbankReader(DataSourceReader):
+    """Filters on what headers say are answered before a partition is planned, so files and windows beside the asked
+    frequencies aren't opened for their samples."""
+
     def __init__(self, options: dict):
         self.paths = [p for x in options["path"].split(",") for p in (files_in(x) if os.path.isdir(x) else [x])]
-        self.width, self.pad = int(options.get("width", 262144)), int(options.get("pad", 0))
-        self.c0, self.c1 = int(options.get("c0", 0)), int(options["c1"]) if "c1" in options else None
+        self.cut, self.filters = Cut.of(options), []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in KNOWN and (isinstance(f, IsNotNull) or type(f).__name__ in COMPARED):
+                self.filters.append(f)
+            else:
+                yield f
 
     def partitions(self) -> list[Unit]:
-        return [u for p in self.paths for u in units_of(p, self.width, self.pad, self.c0, self.c1)]
+        paths = self.cut.ranges if self.cut.ranges is not None else self.paths
+        return [u for p in paths for u in self.cut.units(p) if all(_passes(described(u), f) for f in self.filters)]
 
     def read(self, partition: Unit) -> Iterator[pa.RecordBatch]:
-        return _rows([partition])
+        return _rows([partition] if partition else [])  # Spark asks for nothing where there are no partitions
 
 
 class FilterbankStream(DataSourceStreamReader):
@@ -298,17 +382,14 @@ class FilterbankStream(DataSourceStreamReader):
         return out
 
     def partitions(self, start: dict, end: dict) -> list[Unit]:
-        units = []
+        units, cut = [], Cut.of(self.options | {"lenient": "true"})  # a file that can't be read is a unit that says why
         for p in sorted(end):
             if start.get(p) != end[p]:
-                try:
-                    units += units_of(p, int(self.options.get("width", 262144)), int(self.options.get("pad", 0)))
-                except Exception as e:  # noqa: BLE001 - a file that can't be read is a unit that says why
-                    units.append(Unit(p, {}, f"{os.path.splitext(os.path.basename(p))[0]}:", 0, 0, 0, 0, error=f"{type(e).__name__}: {e}"))
+                units += cut.units(p)
         return units
 
     def read(self, partition: Unit) -> Iterator[pa.RecordBatch]:
-        return _rows([partition])
+        return _rows([partition] if partition else [])  # Spark asks for nothing where there are no partitions
 
     def commit(self, end: dict) -> None:
         pass
@@ -386,3 +467,4 @@ def file_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Filterbank)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader answers filters

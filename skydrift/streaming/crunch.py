@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import SearchConfig
+from ..operators import learn
 from ..operators import ledger as ledger_ops
 from ..operators.rfi import multi_target
-from ..operators.search import candidates, guard, nfine_of, searched
+from ..operators.search import HITS, candidates, cut, searched
 from ..sources import filterbank
 
 
-def crunch(spark: SparkSession, folder: str, out: str, cfg: SearchConfig = SearchConfig(), nfine: int | None = None, pad: int = 0, forever_every: str | None = None) -> StreamingQuery:
-    """Searches each new file of a folder. Batches write to folders by their number, so one that is run again after
-    a failure overwrites itself. forever_every: how often to look (else what is there now, once)."""
+def name_of(folder: str, location: str = "location") -> Column:
+    """What a file of a folder is called in the ledger: its path below the folder, without .fil unless that would leave
+    the name of another kind of file."""
+    below = F.when(F.col(location).startswith(f"{folder.rstrip('/')}/"), F.expr(f"substring({location}, {len(folder.rstrip('/')) + 2})")).otherwise(F.col(location))
+    return F.regexp_replace(below, r"(?<![.]fil|[.]h5|[.]hdf5)[.]fil$", "")
+
+
+def crunch(spark: SparkSession, folder: str, out: str, cfg: SearchConfig = SearchConfig(), nfine: int | None = None, pad: int | None = None, forever_every: str | None = None) -> StreamingQuery:
+    """Searches each new file of a folder as analyze does: guard bands and fine channels by its header, the model that
+    the settings name. Batches write to folders by their number, so one that is run again after a failure overwrites
+    itself. forever_every: how often to look (else what is there now, once)."""
     filterbank.register(spark)
-    units = spark.readStream.format("filterbank").option("path", folder).option("width", cfg.channels_per_unit).option("pad", pad).load()
+    units = spark.readStream.format("filterbank").options(**cut(cfg) | ({} if pad is None else {"pad": str(pad)})).option("path", folder).load()
 
     def batch(df: DataFrame, n: int) -> None:
         session = df.sparkSession
         searched(df, cfg, nfine).write.mode("overwrite").parquet(f"{out}/hits/batch={n}")
-        hits = session.read.parquet(f"{out}/hits/batch={n}")
-        candidates(hits, cfg, run=f"batch{n}").write.mode("overwrite").parquet(f"{out}/candidates/batch={n}")
-        hits.groupBy(F.regexp_replace("unit_id", ":[^:]*$", "").alias("obs")).agg(F.count_distinct("unit_id").alias("units"), F.count_if(F.col("error").isNotNull()).alias("errors")).write.mode("overwrite").parquet(f"{out}/ledger/batch={n}")
+        hits = session.read.schema(HITS).parquet(f"{out}/hits/batch={n}")
+        model, why = learn.load(session, cfg.model_path) if cfg.use_ai else (None, "switched off")
+        candidates(hits, cfg, model, run=f"batch{n}").withColumn("ai_note", F.lit(why and f"hits have no classes: {why}").cast("string")).write.mode("overwrite").parquet(f"{out}/candidates/batch={n}")
+        hits.groupBy(name_of(folder).alias("obs")).agg(F.count_distinct("unit_id").alias("units"), F.count_if(F.col("error").isNotNull()).alias("errors")).write.mode("overwrite").parquet(f"{out}/ledger/batch={n}")
 
     w = units.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint")
     return (w.trigger(processingTime=forever_every) if forever_every else w.trigger(availableNow=True)).start()
@@ -43,40 +55,35 @@ PROGRESS, FAILURES, SIGNALS = "obs string, nchans long, cursor long", "obs strin
 
 def visit(spark: SparkSession, folder: str, out: str, cfg: SearchConfig = SearchConfig(), limit: int = 1000, max_units: int | None = None) -> DataFrame:
     """One visit: up to `limit` files that aren't done or given up, of each up to `max_units` units from where the last
-    visit stopped. Progress, failures, signals and candidates are kept below out, by visit; a visit with errors
-    doesn't move a file's cursor, and after three of them it is left alone. A candidate whose frequency other targets have too is marked.
+    visit stopped, all of them in one job. Progress, failures, signals and candidates are kept below out, by visit; a
+    visit with errors doesn't move a file's cursor, and after three of them it is left alone. A candidate whose
+    frequency other targets have too is marked. Files of one name in several folders are apart (see name_of).
     Returns (obs, start, stop, errors, hits)."""
     filterbank.register(spark)
-    heads = filterbank.header_table(spark, folder).withColumn("obs", F.regexp_replace("location", "^.*/|[.][^.]*$", ""))
+    heads = filterbank.header_table(spark, folder).withColumn("obs", name_of(folder))
     progress, failures = _kept(spark, f"{out}/progress", PROGRESS), _kept(spark, f"{out}/failures", FAILURES)
     number = (failures.select("visit").union(_kept(spark, f"{out}/visits", "visit long")).agg(F.max("visit")).first()[0] or 0) + 1
     cursor = progress.groupBy("obs").agg(F.max("cursor").alias("cursor"))
     files = heads.join(cursor, "obs", "left").join(ledger_ops.given_up(failures).select("obs"), "obs", "left_anti").withColumn("nchans", F.coalesce("nchans", F.lit(1)))
-    todo = ledger_ops.next_range(files.select("obs", "nchans", "cursor"), max_units or 1 << 20, cfg.channels_per_unit).join(files.select("obs", "location", "nchans", "nsamples", "tsamp", "foff", "source_name", "error"), "obs")
-    todo = todo.orderBy(F.col("start") > 0, "obs").limit(limit).collect()  # a row a file of this visit
-    rows, runs = [], None
-    for f in todo:
-        try:
-            if f["error"]:
-                raise OSError(f["error"])
-            h = filterbank.read_header(f["location"])
-            units = spark.read.format("filterbank").option("width", cfg.channels_per_unit).option("pad", guard(h, cfg)).option("c0", f["start"]).option("c1", f["stop"]).load(f["location"])
-            at = f"{out}/hits/visit={number}/obs={f['obs']}"
-            searched(units, cfg, nfine_of(h.foff, h.nchans)).write.mode("overwrite").parquet(at)
-            hits = spark.read.parquet(at)
-            errors, n = hits.agg(F.count_if(F.col("error").isNotNull()), F.count("channel")).first()
-            rows.append((f["obs"], f["start"], f["stop"], int(errors), int(n), h.source_name, f["nchans"], None))
-            one = candidates(hits, cfg, run=f["obs"]).withColumns({"obs": F.lit(f["obs"]), "target": F.lit(h.source_name)})
-            runs = one if runs is None else runs.unionByName(one)
-        except Exception as e:  # noqa: BLE001 - one file that fails doesn't end the visit
-            rows.append((f["obs"], f["start"], f["stop"], 1, 0, None, f["nchans"], f"{type(e).__name__}: {e}"))
-    seen = spark.createDataFrame(rows, "obs string, start long, stop long, errors int, hits int, target string, nchans long, error string")
-    if runs is not None:
-        old = _kept(spark, f"{out}/signals", SIGNALS)
-        strong = runs.withColumn("rank", F.row_number().over(Window.partitionBy("obs").orderBy(F.desc("interest"), "hit_id")))
-        strong.select("obs", F.lit(number).cast("long").alias("seq"), F.col("rank").cast("int").alias("rank"), "frequency_mhz", "target", "interest").write.mode("append").parquet(f"{out}/signals")
-        both = ledger_ops.remembered(old).select("frequency_mhz", "target").union(runs.select("frequency_mhz", "target"))
-        multi_target(runs.drop("multi_target"), both, cfg.multi_target_tol_khz, cfg.multi_target_band_khz, cfg.multi_target_band_hits).write.mode("overwrite").parquet(f"{out}/candidates/batch={number}")
+    todo = ledger_ops.next_range(files.select("obs", "nchans", "cursor"), max_units or 1 << 20, cfg.channels_per_unit).join(files.select("obs", "location", "nchans", "source_name"), "obs")
+    todo = todo.orderBy(F.col("start") > 0, "obs").limit(limit)
+    ranges = {r["location"]: [r["start"], r["stop"]] for r in todo.collect()}  # a row a file of this visit
+    todo = spark.createDataFrame([(k, *v) for k, v in ranges.items()], "location string, start long, stop long").join(files.select("obs", "location", "nchans", "source_name"), "location")
+    units = spark.read.format("filterbank").options(**cut(cfg), lenient="true", ranges=json.dumps(ranges)).load(folder)
+    searched(units, cfg).write.mode("overwrite").parquet(f"{out}/hits/visit={number}")
+    hits = spark.read.schema(HITS).parquet(f"{out}/hits/visit={number}").withColumn("obs", name_of(folder))
+    sums = hits.groupBy("obs").agg(F.count_if(F.col("error").isNotNull()).cast("int").alias("errors"), F.count("channel").cast("int").alias("hits"), F.min("error").alias("error"))
+    todo.join(sums, "obs", "left").select("obs", "start", "stop", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("hits", F.lit(0)).alias("hits"), F.col("source_name").alias("target"), "nchans", "error").write.mode("overwrite").parquet(f"{out}/seen/visit={number}")
+    seen = spark.read.parquet(f"{out}/seen/visit={number}")
+    model, _ = learn.load(spark, cfg.model_path) if cfg.use_ai else (None, "")
+    found = candidates(hits, cfg, model, run=F.col("obs")).join(seen.select("obs", "target"), "obs")
+    found.write.mode("overwrite").parquet(f"{out}/scored/visit={number}")
+    found = spark.read.schema(found.schema).parquet(f"{out}/scored/visit={number}")
+    old = _kept(spark, f"{out}/signals", SIGNALS)
+    both = ledger_ops.remembered(old).select("frequency_mhz", "target").union(found.select("frequency_mhz", "target"))
+    multi_target(found.drop("multi_target"), both, cfg.multi_target_tol_khz, cfg.multi_target_band_khz, cfg.multi_target_band_hits).write.mode("overwrite").parquet(f"{out}/candidates/batch={number}")
+    strong = found.withColumn("rank", F.row_number().over(Window.partitionBy("obs").orderBy(F.desc("interest"), "hit_id"))).where(F.col("rank") <= ledger_ops.PER_OBSERVATION)
+    strong.select("obs", F.lit(number).cast("long").alias("seq"), F.col("rank").cast("int").alias("rank"), "frequency_mhz", "target", "interest").write.mode("append").parquet(f"{out}/signals")
     progress = ledger_ops.advanced(files.select("obs", "nchans", "cursor"), seen.select("obs", "stop", "errors"))
     progress.select("obs", "nchans", "cursor").write.mode("append").parquet(f"{out}/progress")
     seen.where("errors > 0").select("obs", F.lit(number).cast("long").alias("visit"), "error").write.mode("append").parquet(f"{out}/failures")

@@ -12,6 +12,7 @@ from skydrift.config import SearchConfig
 from skydrift.operators import detect, learn, report
 from skydrift.operators.features import SCALARS
 from skydrift.sources import filterbank as fb
+from skydrift.streaming import crunch
 from skydrift.streaming.crunch import visit
 
 
@@ -168,3 +169,44 @@ def test_a_folder_tells_its_cadence(spark, tmp_path):
     assert list(found.values()) == on
     events = cli.cadence(spark, list(found), str(tmp_path / "out"), SearchConfig(channels_per_unit=4096), found).collect()
     assert [(r["on_scans_matched"], r["n_on_scans"], r["off_scans_checked"]) for r in events] == [(2, 2, 2)]
+
+
+def test_a_stream_finds_what_a_run_finds(spark, tmp_path):
+    """A tone across a unit's edge, found with guard bands only."""
+    (tmp_path / "in").mkdir()
+    f = write(tmp_path / "in/edge.fil", n_f=16_384, tones=[(4088, 1.5, 5)])
+    cfg = SearchConfig(channels_per_unit=4096, snr_threshold=9.0)
+    cli.analyze(spark, f, str(tmp_path / "run"), cfg)
+    crunch.crunch(spark, str(tmp_path / "in"), str(tmp_path / "out"), cfg).awaitTermination()
+    key = lambda at: sorted((r["channel"], round(r["drift"], 6), round(r["snr"], 6), r["interest"]) for r in spark.read.parquet(at).collect())
+    assert key(str(tmp_path / "run/candidates.parquet")) == key(str(tmp_path / "out/candidates")) and any(abs(c - 4088) <= 3 for c, *_ in key(str(tmp_path / "out/candidates")))
+
+
+def test_a_stream_uses_the_model_and_refuses_large_units(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in/t.fil", tones=[(2000, 1.5, 6)])
+    write(tmp_path / "in/long.fil", n_t=700, n_f=4096, seed=1)
+    rng = np.random.default_rng(0)
+    rows = [(learn.LABELS[i % 7], 0.0, *[float(x) for x in rng.normal(i % 7, 0.2, len(SCALARS))], rng.normal(0, 1, 256).tolist()) for i in range(70)]
+    model, _, _ = learn.train(spark.createDataFrame(rows, learn.EXAMPLE), trees=3)
+    learn.save(model, str(tmp_path / "m"))
+    assert learn.load(spark, str(tmp_path / "m"))[0].snr_max == model.snr_max < 10
+    cfg = SearchConfig(model_path=str(tmp_path / "m"), max_download_mb=4)
+    crunch.crunch(spark, str(tmp_path / "in"), str(tmp_path / "out"), cfg).awaitTermination()
+    assert {r["obs"]: r["errors"] for r in crunch.ledger(spark, str(tmp_path / "out")).collect()} == {"t": 0, "long": 1}
+    assert "a unit would be" in spark.read.parquet(str(tmp_path / "out/hits")).where("error IS NOT NULL").first()["error"]
+    best = spark.read.parquet(str(tmp_path / "out/candidates")).orderBy("snr", ascending=False).first()
+    assert best["snr"] > 3 * model.snr_max and best["ai_class"] == "out_of_distribution"  # beyond what this model has seen
+    assert {r["obs"]: r["errors"] for r in visit(spark, str(tmp_path / "in"), str(tmp_path / "v"), cfg).collect()} == {"t": 0, "long": 1}
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for d, c in (("a", 1000), ("b", 3000)):
+        (tmp_path / "in" / d).mkdir(parents=True)
+        write(tmp_path / "in" / d / "x.fil", tones=[(c, 1.5, 6)], seed=c)
+    seen = visit(spark, str(tmp_path / "in"), str(tmp_path / "out"), SearchConfig()).collect()
+    assert sorted((r["obs"], r["errors"]) for r in seen) == [("a/x", 0), ("b/x", 0)]
+    found = spark.read.parquet(str(tmp_path / "out/candidates"))
+    assert {(r["obs"], r["channel"] // 1000) for r in found.where("NOT stationary").select("obs", "channel").collect()} >= {("a/x", 1), ("b/x", 3)} or found.count() >= 2
+    assert found.select("hit_id").distinct().count() == found.count()
+    assert visit(spark, str(tmp_path / "in"), str(tmp_path / "out"), SearchConfig()).count() == 0

@@ -263,3 +263,23 @@ def test_publishing(spark):
     assert {r["detail"] for r in publish.to_issues(found, url, "a/b", "t").collect()} == {"there already"}
     assert not any(r["ok"] for r in publish.to_webhook(found, f"{url}/bad").collect())
     s.shutdown()
+
+
+def test_filters_on_headers_open_fewer_windows(spark, tmp_path, monkeypatch):
+    fb.register(spark)
+    (tmp_path / "in").mkdir()
+    make(tmp_path / "in/a.fil", fch1=1420.0)
+    make(tmp_path / "in/b.fil", fch1=1500.0, source_name="Y")
+    (tmp_path / "in/c.fil").write_bytes((tmp_path / "in/b.fil").read_bytes()[:-20_000])  # its last windows can't be read
+    load = lambda: spark.read.format("filterbank").option("width", 1024).load(str(tmp_path / "in"))
+    whole = {r["unit_id"]: r for r in load().collect()}
+    assert len(whole) == 12
+    step = -2.7939677238464355e-06
+    inside = load().where(f"f_high >= {1420 + step * 1500} AND f_low <= {1420 + step * 1030}")
+    assert {r["unit_id"] for r in inside.collect()} == {"a:1024-2048"} and inside.rdd.getNumPartitions() == 1
+    asked = load().where("source_name = 'Y' AND core_start IN (0, 1024) AND unit_id LIKE 'b%'")
+    assert {r["unit_id"] for r in asked.collect()} == {"b:0-1024", "b:1024-2048"} and asked.rdd.getNumPartitions() == 2
+    assert {r["unit_id"] for r in load().where("error IS NOT NULL AND nchans > 5").collect()} == {k for k, r in whole.items() if r["error"]} != set()
+    assert {r["unit_id"] for r in load().where("f_low > 1450 OR n_t = 3").collect()} == {k for k in whole if k[0] in "bc"}
+    for r in whole.values():
+        assert r["f_low"] < r["f_high"] and r["f_high"] == r["fch1"] + step * r["core_start"]
