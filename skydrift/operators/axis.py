@@ -96,7 +96,11 @@ def owned(hits: DataFrame, channel: str = "channel") -> DataFrame:
     return hits.where((F.col(channel) >= F.col("core_start")) & (F.col(channel) < F.col("core_stop")))
 
 
-def samples_of_units(samples: DataFrame, units: DataFrame) -> DataFrame:
-    """Samples (obs, t, c, z) replicated to each unit whose padded window holds them, with channels relative to it."""
-    u = units.select("obs", "unit_id", "chan_start", "chan_stop", "core_start", "core_stop")  # grows with the files, so the planner chooses
-    return samples.join(u, "obs").where("c >= chan_start AND c < chan_stop").withColumn("c", F.col("c") - F.col("chan_start"))
+def samples_of_units(samples: DataFrame, units: DataFrame, block: int = 4096) -> DataFrame:
+    """Samples (obs, t, c, z) replicated to each unit whose padded window holds them, with channels relative to it. They
+    meet by blocks of channels, so a sample sees the units that reach into its block and no others of its file."""
+    u = units.select("obs", "unit_id", "chan_start", "chan_stop", "core_start", "core_stop").where("chan_stop > chan_start")
+    blocks = F.sequence(F.floor(F.col("chan_start") / block), F.floor((F.col("chan_stop") - 1) / block))
+    u = u.withColumn("_block", F.explode(blocks))  # grows with the files, so the planner chooses the join
+    x = samples.withColumn("_block", F.floor(F.col("c") / block)).join(u, ["obs", "_block"]).where("c >= chan_start AND c < chan_stop")
+    return x.drop("_block").withColumn("c", F.col("c") - F.col("chan_start"))

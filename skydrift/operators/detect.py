@@ -25,14 +25,17 @@ def spikes(samples: DataFrame, threshold: float, most: int = 200, keys: tuple[st
 
 
 def isolated(found: DataFrame, hits: DataFrame, tol: float = 3.0, keys: tuple[str, ...] = ("obs",)) -> DataFrame:
-    """Spikes that lie on no hit's track. Tracks of a unit are few (at most its capped hits), so the pairs are too."""
+    """Spikes that lie on no hit's track. A track is the channels that it covers at each time at which there are spikes,
+    in steps of a few; a spike meets the tracks of its own time and step."""
+    step = max(tol, 1.0)
+    at, reach = F.col("h_c") + F.col("h_d") * F.col("t"), tol + F.col("h_w")
     h = hits.select(*keys, F.col("channel").alias("h_c"), F.col("drift").alias("h_d"), F.coalesce("bandwidth_ch", F.lit(0.0)).alias("h_w"))
-    near = F.abs(F.col("h_c") + F.col("h_d") * found["t"] - found["c"]) <= tol + F.col("h_w")
-    same = [found[k] == h[k] for k in keys]
-    cond = near
-    for s in same:
-        cond = cond & s
-    return found.join(h, cond, "left_anti")
+    tracks = h.join(found.select(*keys, "t").distinct(), list(keys)).withColumn("_step", F.explode(F.sequence(F.floor((at - reach) / step) - 1, F.floor((at + reach) / step) + 1)))
+    tracks = tracks.select(*[F.col(k).alias(f"h_{k}") for k in keys], F.col("t").alias("h_t"), "_step", at.alias("h_at"), reach.alias("h_reach"))
+    on = (F.floor(F.col("c") / step) == F.col("_step")) & (F.col("t") == F.col("h_t")) & (F.abs(F.col("h_at") - F.col("c")) <= F.col("h_reach"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"h_{k}"))
+    return found.join(tracks, on, "left_anti")
 
 
 def pooled(samples: DataFrame, columns: int, n_f: int, keys: tuple[str, ...] = ("obs",)) -> DataFrame:
@@ -140,12 +143,12 @@ def pulse_array(z: np.ndarray, freqs: np.ndarray, tsamp: float, threshold: float
     return [{"i": i, "dm": dm, "w": w, "t": t, "snr": -neg, "likely_rfi": dm < 1.0} for neg, i, w, t, dm in rows]
 
 
-def spike_array(z: np.ndarray, tracks: list[tuple[float, float, float]], threshold: float, lo: int, hi: int, most: int = 50, tol: float = 3.0) -> list[dict]:
-    """spikes and isolated over one unit: the strongest samples of channels lo to hi, and whether each lies on
-    no track (channel, drift, bandwidth)."""
-    t, c = np.nonzero(z[:, lo:hi] >= threshold)
-    c = c + lo
-    order = np.lexsort((c, t, -z[t, c]))[:most]
+def spike_array(z: np.ndarray, tracks: list[tuple[float, float, float]], threshold: float, lo: int, hi: int, most: int = 50, tol: float = 3.0, first: int = 200) -> list[dict]:
+    """spikes and isolated over one unit: of the `first` strongest samples of all its channels those of channels lo to hi,
+    `most` of them, and whether each lies on no track (channel, drift, bandwidth)."""
+    t, c = np.nonzero(z >= threshold)
+    order = np.lexsort((c, t, -z[t, c]))[:first]
+    order = order[(c[order] >= lo) & (c[order] < hi)][:most]
     rows = []
     for k, x in zip(t[order].tolist(), c[order].tolist()):
         near = any(abs(at + drift * k - x) <= tol + width for at, drift, width in tracks)

@@ -292,7 +292,7 @@ def unit_images(spark: SparkSession, d: str) -> DataFrame:
 @query(_sql_of("isolated_spikes"))
 def unit_spikes(spark: SparkSession, d: str) -> DataFrame:
     """Single samples that a unit's task finds off its own tracks."""
-    rows = lambda obs, z: [(obs, s["t"], s["channel"], s["power_sigma"]) for s in detect.spike_array(z, [(c, drift, 2.0) for c, drift, _ in _unit_hits(z)], 0.3, 0, z.shape[1], 10**6) if s["isolated"]]
+    rows = lambda obs, z: [(obs, s["t"], s["channel"], s["power_sigma"]) for s in detect.spike_array(z, [(c, drift, 2.0) for c, drift, _ in _unit_hits(z)], 0.3, 0, z.shape[1], 10**6, first=10**6) if s["isolated"]]
     return _round(_in_units(kernel.packed(samples(spark, d), N_T, N_F), rows, "obs long, t int, c int, power_sigma double"), "power_sigma")
 
 

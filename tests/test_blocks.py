@@ -99,3 +99,33 @@ def test_robust_z_passes_over_nan(spark):
     found = detect.robust_z(waterfall(spark, z)).collect()
     assert {r["c"] for r in found} >= {50} and not any(r["c"] == 60 or np.isnan(r["robust_z"]) for r in found)
     assert blocks.own is own
+
+
+def test_units_meet_their_own_samples_only(spark):
+    from skydrift.operators import axis
+
+    x = spark.range(200).select(F.lit(1).alias("obs"), F.lit(0).alias("t"), F.col("id").alias("c"), F.col("id").cast("double").alias("z"))
+    units = spark.createDataFrame([(1, f"u{a}", max(0, a - 7), min(200, a + 30 + 7), a, a + 30) for a in range(0, 200, 30)] + [(1, "none", 5, 5, 5, 5), (2, "other", 0, 9, 0, 9)], "obs int, unit_id string, chan_start long, chan_stop long, core_start long, core_stop long")
+    got = axis.samples_of_units(x, units, block=16).collect()
+    assert len(got) == len({(r["unit_id"], r["c"]) for r in got}) == sum(min(200, a + 37) - max(0, a - 7) for a in range(0, 200, 30))
+    assert all(r["z"] == r["c"] + r["chan_start"] for r in got)
+    plan = axis.samples_of_units(x, units, block=16)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "_block" in plan
+
+
+def test_spikes_on_tracks_of_any_width(spark):
+    rng = np.random.default_rng(2)
+    spikes = [(1, int(t), int(c), 9.0) for t, c in zip(rng.integers(0, 16, 300), rng.integers(0, 400, 300))]
+    tracks = [(1, 50, 2.5, 0.0), (1, 300, -7.25, 1.0), (1, 200, 0.0, 25.0), (2, 100, 0.0, 500.0), (1, 399, 3.0, None)]
+    found = spark.createDataFrame(spikes, "obs int, t int, c int, power_sigma double")
+    hits = spark.createDataFrame(tracks, "obs int, channel long, drift double, bandwidth_ch double")
+    got = sorted((r["t"], r["c"]) for r in detect.isolated(found, hits).collect())
+    assert got == sorted((t, c) for _, t, c, _ in spikes if not any(o == 1 and abs(h + d * t - c) <= 3 + (w or 0) for o, h, d, w in tracks))
+
+
+def test_strongest_spikes_before_the_core(spark):
+    z = np.zeros((4, 100))
+    z[0, :80] = 50 + np.arange(80)  # eighty stronger ones in the guard band
+    z[1, 80:90] = 20 + np.arange(10)
+    assert len(detect.spike_array(z, [], 9.0, 80, 100, first=85)) == 5 and len(detect.spike_array(z, [], 9.0, 80, 100)) == 10
+    assert [r["channel"] for r in detect.spike_array(z, [], 9.0, 0, 100, most=2)] == [79, 78]
