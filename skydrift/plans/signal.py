@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import axis, dedoppler, detect, features, kernel, learn, normalize, rollup
 from ..sources.shared import kept
 from ..streaming import crunch
@@ -254,6 +255,14 @@ def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.select("hit_id", F.posexplode("features").alias("place", "v")).select("hit_id", F.col("place").cast("long").alias("place"), (F.round("v", 6) + 0.0).alias("v"))
 
 
+@query("WITH " + PEAKS + " SELECT obs, CAST(c AS BIGINT) AS channel, round(drift, 6) AS drift, round(snr, 6) AS snr FROM peaks")
+def table_function_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The search called from SQL."""
+    tables.register(spark)
+    found = spark.sql("SELECT * FROM dedoppler_hits(k_max => 3, threshold => 3.0, samples => TABLE(SELECT obs, t, c, z FROM {x}) PARTITION BY obs)", x=samples(spark, d))
+    return _round(found, "drift", "snr")
+
+
 def _in_units(units: DataFrame, rows, schema: str) -> DataFrame:
     """rows(unit_id, samples [time, channel]) of each packed unit, a task for some units, as the search has them."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -9,6 +9,8 @@ from ..config import SearchConfig
 from ..functions.exprs import file_stem, mjd_to_timestamp
 from ..operators import axis, ledger, rollup
 from ..sources import archive
+from ..sources.shared import new_folder
+from ..streaming import state
 from .registry import query
 from .results import CLASSED, classed
 from .views import HEADERS, LEDGER, RUNS, headers, runs, table
@@ -227,3 +229,21 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
         row = p.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("""WITH v AS (SELECT CAST(o_custkey AS VARCHAR) AS obs, o_orderkey AS seq, (o_orderkey % 9 + 1) * 100 AS stop, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS errors, 'v' || lpad(CAST(o_orderkey // 10000 AS VARCHAR), 6, '0') AS version,
+      CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 1000, 0) END AS interest FROM orders),
+    n AS (SELECT obs, count(*) AS visits, coalesce(max(stop) FILTER (WHERE errors = 0), 0) AS reach, count_if(errors > 0) AS failures, max(version) AS version FROM v GROUP BY 1),
+    b AS (SELECT v.obs, interest, seq, row_number() OVER (PARTITION BY v.obs ORDER BY interest DESC, seq) AS r FROM v JOIN n ON n.obs = v.obs AND n.version = v.version WHERE errors = 0 AND interest IS NOT NULL)
+    SELECT n.obs, visits, reach, CAST(800 AS BIGINT) AS nchans, failures, reach >= 800 AS done, failures >= 3 AS given_up, version, interest, seq FROM n LEFT JOIN b ON b.obs = n.obs AND r = 1""")
+def ledger_state(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as visits to what their customers observe, taken from a stream into keyed state."""
+    k = F.col("o_orderkey")
+    path = f"{d}/orders.parquet"
+    orders = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a file or a folder
+    visits = orders.select(
+        F.col("o_custkey").alias("obs"), k.alias("seq"), ((k % 9 + 1) * 100).cast("long").alias("stop"), F.lit(800).cast("long").alias("nchans"), F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("errors"),
+        F.concat(F.lit("v"), F.lpad(F.floor(k / 10000).cast("string"), 6, "0")).alias("version"), F.when(k % 7 != 0, F.round(F.col("o_totalprice") / 1000, 0)).alias("interest"))
+    out = new_folder(spark, "ledger-state")
+    state.keep(visits, out)
+    return state.ledger(spark, out)
