@@ -18,6 +18,7 @@ from .config import SearchConfig
 from .functions.exprs import is_off_scan
 from .operators import learn, report, rfi, rollup, share
 from .operators.search import candidates, cut, guard, searched, unpacked
+from .operators.siblings import scan_table, tested
 from .sources import archive, filterbank, publish
 from .sources.shared import kept
 
@@ -34,8 +35,9 @@ def too_large(h: filterbank.Header, cfg: SearchConfig) -> str | None:
     return f"a unit would be {math.ceil(mb)} MB; the limit is {cfg.max_download_mb}" if mb > cfg.max_download_mb else None
 
 
-def analyze(spark: SparkSession, location: str, out: str, cfg: SearchConfig, f_start: float | None = None, f_stop: float | None = None) -> dict:
-    """Searches one file, or a frequency range of it, and writes the run below out."""
+def analyze(spark: SparkSession, location: str, out: str, cfg: SearchConfig, f_start: float | None = None, f_stop: float | None = None, scans: dict[str, bool] | None = None, cache: str | None = None) -> dict:
+    """Searches one file, or a frequency range of it, and writes the run below out. scans: the files of its cadence, and
+    which are ON; hits are then looked for in the others, whose results are kept in the folder `cache`."""
     began = time.perf_counter()
     filterbank.register(spark)
     h = filterbank.read_header(location)
@@ -48,7 +50,10 @@ def analyze(spark: SparkSession, location: str, out: str, cfg: SearchConfig, f_s
     units = spark.read.format("filterbank").options(**cut(cfg), c0=c0, c1=c1).load(location)
     hits = searched(units, cfg).cache()
     model, why = learn.load(spark, cfg.model_path) if cfg.use_ai else (None, "switched off")
-    meta = report.write_run(spark, hits, candidates(hits, cfg, model), out, cfg, os.path.basename(location), time.perf_counter() - began, why and f"hits have no classes: {why}")
+    found = candidates(hits, cfg, model)
+    if scans:
+        found = tested(found, scan_table(spark, scans), location, cfg, cache or f"{out}/cadence-cache")
+    meta = report.write_run(spark, hits, found, out, cfg, os.path.basename(location), time.perf_counter() - began, why and f"hits have no classes: {why}")
     hits.unpersist()
     return meta
 
@@ -164,6 +169,8 @@ def main(argv: list[str] | None = None) -> None:
             s.add_argument("--archive", help="base address of an archive's queries")
             s.add_argument("--volunteers", help="address of a project's status page")
         if name == "analyze":
+            s.add_argument("--cadence", metavar="PRODUCT", help="look for hits in the other scans of this product in the file's folder, e.g. 0000.fil")
+            s.add_argument("--cache", help="folder that keeps what scans of a cadence gave")
             s.add_argument("--f-start", type=float)
             s.add_argument("--f-stop", type=float)
     s = sub.add_parser("cadence")
@@ -176,7 +183,8 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "inspect":
         filterbank.header_table(spark, a.path).show(truncate=False)
     elif a.command == "analyze":
-        print(json.dumps(analyze(spark, a.path, a.out, cfg, a.f_start, a.f_stop)["stats"]))
+        scans = siblings(spark, os.path.dirname(os.path.abspath(a.path)), a.cadence) if a.cadence else None
+        print(json.dumps(analyze(spark, os.path.abspath(a.path) if scans else a.path, a.out, cfg, a.f_start, a.f_stop, scans, a.cache)["stats"]))
     elif a.command == "crunch":
         from .streaming.crunch import crunch, ledger, visit
 

@@ -334,6 +334,19 @@ def _rows(units: list[Unit]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in kind], schema=kind)
 
 
+def read_blocks(asked: DataFrame, width: int, rate: float, steps: int) -> DataFrame:
+    """asked(location, block) as units of `width` channels with guard bands, read where the rows are."""
+    cut = Cut(width, None, rate=rate, steps=steps)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for location, block in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                yield from _rows(Cut(**vars(cut) | {"c0": block * width, "c1": (block + 1) * width, "lenient": True}).units(location))
+
+    n = asked.sparkSession.sparkContext.defaultParallelism
+    return asked.select("location", "block").repartition(max(n, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(task, SCHEMA)
+
+
 class FilterbankReader(DataSourceReader):
     """Filters on what headers say are answered before a partition is planned, so files and windows beside the asked
     frequencies aren't opened for their samples."""
