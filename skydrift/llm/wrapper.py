@@ -10,7 +10,7 @@ fifths or more are the reference's is a copy and tells nothing. The sums are par
 size is never gathered in one place.
 
 What follows from them, at any number of pages: text that is the same on n other pages is content with the weight
-2 / (2 + n * n), else template; a node whose text varies is a slot for content, link text isn't. The main part is the
+2 / (2 + n * n), else template; a node whose text varies is a slot for content, link text outside of paragraphs and headings isn't. The main part is the
 node of the reference that holds most of the content and least of the rest (`choose`). On each page it is the
 subtree aligned with that node; a page where this holds less than half of the page's own content, or nothing is
 aligned, is judged by the same rule from its own text alone, and so are pages of hosts with one page. In the main part, nodes that are
@@ -18,7 +18,9 @@ the same on nine tenths of the other pages are dropped, from the third such page
 
 Element names, roles, classes and ids come in as evidence only: text that they place in menus, headers,
 footers, sidebars, notices, adverts, forms or reader comments, or outside of the page's article, counts as not content when
-the main part is chosen, and such blocks within the main part are dropped unless they hold most of it.
+the main part is chosen, and such blocks within the main part are dropped unless they hold most of it. Wrappers that hold
+the page's article, or without one most of its text, aren't outside whatever their name (a form around the page, a
+layout "has-sidebar"); of a name of several words the last one counts, and some first ones (`_tells`).
 `names=False` leaves this evidence out. Scripts, styles and other elements that aren't shown are never text.
 
 Character references are decoded; white space within a block becomes one blank; blocks are trimmed and
@@ -36,6 +38,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -59,6 +62,16 @@ UNSEEN = frozenset("script style template noscript".split())  # they don't part
 OUTSIDE = frozenset("head script style noscript template iframe object svg canvas nav header footer aside form button select option input textarea dialog menu audio video map".split())
 #: And by a word of class, id or role.
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice notices alert popup modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related share sharing social comment comments disqus reply replies complementary contentinfo search toolbar pagination pager".split())
+#: Words of WORDS that say the same of a name that begins with them, as comment-body.
+STRONG = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie footer menu nav navbar newsletter sidebar".split())
+#: A name that begins with these says what a part has or is for, not what it is; before header, what the heading is of.
+QUALIFIERS, HEADED = frozenset("has with no without not hide show is".split()), frozenset("article entry post story content section page".split())
+#: Elements that wrap whole pages at times, forms included.
+WRAPPERS = frozenset("body center div fieldset form main section span table tbody td tr".split())
+#: Links in these are part of the text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption".split())
+#: The share of a page's text that is no link above which a wrapper isn't outside of the text, whatever its name.
+MOST_TEXT = 0.8
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME, STOP = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile("[>\"']")
 ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
@@ -154,7 +167,7 @@ def parse(html: str | None) -> Node:
         attributes = html[m.end() : stop]
         out = tag in OUTSIDE
         if not out and attributes:
-            out = any(WORDS.intersection(re.split(r"[^a-z]+", (a or b or c).lower())) for _, a, b, c in ATTR.findall(attributes)) and tag not in ("html", "body", "article", "main")
+            out = tag not in ("html", "body", "article", "main") and any(_tells(name) for _, a, b, c in ATTR.findall(attributes) for name in (a or b or c).lower().split())
         node = Node(tag, out)
         stack[-1].kids.append(node)
         if tag in VOID or attributes.endswith("/"):
@@ -170,9 +183,48 @@ def parse(html: str | None) -> Node:
     if text < len(html):
         stack[-1].kids.append(html[text:])
     _shape(root)
+    _unmark(root)
     return root
 
 
+@lru_cache(maxsize=100_000)
+def _tells(name: str) -> bool:
+    """Whether a class, id or role says that its element is no main text: by its last word, or by a first one that is
+    strong enough; has-sidebar and article-header don't."""
+    words = [w for w in re.split("[^a-z]+", name) if w]
+    if not words or len(words) > 1 and words[0] in QUALIFIERS or words[-1] == "header" and HEADED.intersection(words):
+        return False
+    return words[-1] in WORDS or words[0] in STRONG
+
+
+def _unmark(root: Node) -> None:
+    """Names don't put outside what holds the text: the wrappers around the longest article where every article is
+    within some, and without articles, those that hold MOST_TEXT of what is no link."""
+    order = _order(root)
+    if not any(x.out and x.tag in WRAPPERS for x in order):
+        return
+    parent = {id(k): x for x in order for k in x.kids if k.__class__ is Node}
+    size: dict[int, int] = {}
+    for x in reversed(order):
+        size[id(x)] = 0 if x.tag == "a" or _unseen(x) else len(own_text(x)) + sum(size[id(k)] for k in x.kids if k.__class__ is Node)
+
+    def above(x: Node) -> list[Node]:
+        out = []
+        while (x := parent.get(id(x))) is not None:
+            out.append(x)
+        return out
+
+    parts = [x for x in order if x.tag in ("article", "main")]
+    if parts:
+        if all(any(y.out for y in above(x)) for x in parts):
+            for y in above(max(parts, key=lambda x: size[id(x)])):
+                y.out = False
+    elif total := size[id(root)]:
+        for x in order:
+            if x.out and x.tag in WRAPPERS and size[id(x)] >= MOST_TEXT * total:
+                x.out = False
+
+
 def _order(root: Node) -> list[Node]:
     """All nodes, parents first, in page order."""
     if root.order is not None:
@@ -333,18 +385,20 @@ class Evidence:
 
 
 def _texts(root: Node, names: bool) -> Iterator[tuple[Node, str, bool]]:
-    """Nodes with text that is shown: (node, own text, is it known to be no content)."""
+    """Nodes with text that is shown: (node, own text, is it known to be no content). Links are known to be none, but for
+    those in paragraphs and headings."""
     articles = names and any(n.tag in ("article", "main") for n in _order(root))
-    todo = [(root, False, not articles)]
+    todo = [(root, False, not articles, False)]
     while todo:
-        x, no, inside = todo.pop()
+        x, no, inside, prose = todo.pop()
         if _unseen(x):
             continue
         inside = inside or x.tag in ("article", "main")
-        no = no or x.tag == "a" or names and x.out and not (x.tag == "header" and articles and inside)
+        prose = x.tag in PROSE or prose and x.tag in INLINE
+        no = no or x.tag == "a" and not prose or names and x.out and not (x.tag == "header" and articles and inside)
         if text := own_text(x):
             yield x, text, no or not inside
-        todo.extend((k, no, inside) for k in reversed(x.kids) if k.__class__ is Node)
+        todo.extend((k, no, inside, prose) for k in reversed(x.kids) if k.__class__ is Node)
 
 
 def weight(n: float) -> float:
@@ -363,6 +417,8 @@ def choose(root: Node, evidence: dict[int, Evidence]) -> Node:
             a, b, d = total[id(kid)]
             c, k, s = c + a, k + b, s + d
         total[id(node)] = c, k, s
+    if not total[id(root)][0]:  # all of it is known to be none, so what there is counts
+        total = {i: (k, 0.0, s) for i, (_, k, s) in total.items()}
     content = total[id(root)][0] or 1.0
     value = lambda n: round((total[id(n)][0] - AGAINST_KNOWN * total[id(n)][1] - AGAINST_SAME * total[id(n)][2]) / content, 9)
     best, depth, levels = root, 0, {id(root): 0}

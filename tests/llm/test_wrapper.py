@@ -187,3 +187,50 @@ def test_what_one_page_repeats_is_no_template(spark):
     odd = page.replace("<p>All rights", line * 40 + "<p>All rights")
     got = texts(spark, [r for r, _ in made] + [(i, url, odd)])
     assert got[20] == text + " The very same line comes on this page again and again" * 40
+
+
+def story(i):
+    return [f"Story {i} line {k} tells of matter {i * 31 + k * 7} at some length, and then of {i * k} more." for k in range(5)]
+
+
+def layouts(i):
+    """Pages whose names tell of other things than they hold: (html, text)."""
+    lines, menu = story(i), "<div><a href='/'>Home</a> <a href='/n'>News of all days</a></div>"
+    p = "".join(f"<p>{x}</p>" for x in lines)
+    head, lead = f"Headline {i} on matter {i * 17}", f"A linked paragraph {i} before the text that leads to story {i * 3} elsewhere"
+    body = " ".join(lines)
+    return {
+        "form": (f"<body><form id=aspnetForm><div>{menu}</div><div><h1>{head}</h1>{p}</div></form>", f"{head} {body}"),
+        "layout": (f"<body><div class='layout has-sidebar'><div>{menu}</div><div><h1>{head}</h1>{p}</div></div>", f"{head} {body}"),
+        "header": (f"<body><div>{menu}</div><div><div class='article-header'><h1>{head}</h1></div><div>{p}</div></div>", f"{head} {body}"),
+        "price": (f"<body><div>{menu}</div><div><p class='share-price'>{head}</p>{p}</div>", f"{head} {body}"),
+        "linked": (f"<body><div>{menu}</div><div><p><a href='/{i}'>{lead}</a></p>{p}</div>", f"{lead} {body}"),
+        "article": (f"<body><form class=search-form><div>{menu}</div><article><h1>{head}</h1>{p}</article></form>", f"{head} {body}"),
+        "comments": (f"<body><div>{menu}</div><div><h1>{head}</h1>{p}</div><div class='post-comments'><div class=comment-body>Reader {i} says {i * 7} words</div></div>", f"{head} {body}"),
+        "nested": (f"<body><div>{menu}</div><article><h1>{head}</h1>{p}</article><section class=comments><article>Reader {i} says {i * 7} words</article></section>", f"{head} {body}"),
+    }
+
+
+def test_names_do_not_overrule_what_pages_hold(spark):
+    rows, want = [], {}
+    for k, kind in enumerate(layouts(0)):
+        for i in range(8):
+            n = 100 * k + i
+            html_, want[n] = layouts(i)[kind]
+            rows.append((n, f"http://{kind}.example/{i}", html_))
+    got = texts(spark, rows)
+    assert {n: (got[n], want[n]) for n in want if got[n] != want[n]} == {}
+    for k, kind in enumerate(layouts(0)):  # and alone, without the other pages of the host
+        page, text = layouts(3)[kind]
+        assert one(page) == text, kind
+
+
+def test_names_of_several_words():
+    yes = "sidebar main-nav site-header cookie-notice comment-body ad-slot post-comments footer_links navbar".split()
+    no = "has-sidebar no-ads article-header entry_header share-price adventure download header-image-caption x 123 page-header".split()
+    assert all(map(wrapper._tells, yes)) and not any(map(wrapper._tells, no))
+
+
+def test_a_page_of_links_only():
+    assert one("<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>") == "One Two"
+    assert one("<body><nav><a href=1>One</a></nav>") in ("", "One")
