@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 _fallback: dict[str, str] = {}
 
 
+def full_address(spark: SparkSession, path: str) -> str:
+    """A path with its file system's scheme: one without means the default file system, not each machine's own disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as a full address. It has to be set on a cluster; a local session without it gets a
     temporary folder of its own."""
@@ -22,8 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
         if sc.applicationId not in _fallback:
             _fallback[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='skydrift-')}"
         root = _fallback[sc.applicationId]
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return full_address(spark, root)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
