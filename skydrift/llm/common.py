@@ -6,14 +6,14 @@ import atexit
 import contextlib
 import gc
 import itertools
-import os
-import tempfile
 import uuid
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: Rows of an Arrow batch that goes to a Python worker: texts are long, and workers' memory is bounded.
 BATCH_ROWS = "2000"
 #: A side is broadcast only when a count shows that it stays below this many bytes.
@@ -25,14 +25,9 @@ def _is_local(spark: SparkSession) -> bool:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set to a local one only where unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _is_local(spark):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='skydrift-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir as a full address, so that Python workers and Spark
+    mean the same place. It has to be set on a cluster."""
+    return shared_folder(spark)
 
 
 class Workspace:
@@ -144,5 +139,5 @@ def local_or_remote(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     if "://" not in uri:
-        return fs.LocalFileSystem(), os.path.abspath(uri)
+        raise ValueError(f"{uri} doesn't say in which file system it lies")
     return fs.FileSystem.from_uri(uri)

@@ -6,8 +6,8 @@ row's content lies. Later runs with the same state folder go on from there. On h
 several rows) whole texts are compared; should two texts share a digest, they are told apart.
 
 Texts are equal if they are identical without the characters [\\x20\\x09-\\x0D]. Of equal texts the
-row with the most code points in the original text stays, then the one with the smallest doc_id.
-Null texts count as empty; a row without a doc_id stays only if its whole group has none; repeated
+row with the most code points in the original text stays, then the one with the smallest doc_id, which may be
+of any type that has an order. Null texts count as empty; a row without a doc_id stays only if no row of its length has one; repeated
 rows count as members of their group; an empty table gives an empty result; other columns are
 ignored, whatever their names. Very long texts are hashed whole.
 """
@@ -41,6 +41,11 @@ def _rows(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return df.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("len"), norm.alias("norm"), digest(norm).alias("digest"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def _best() -> Column:
+    """The longest row, of equal ones that of least id; rows without an id come last."""
+    return F.min(F.struct((-F.col("len")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row"))
+
+
 def ingest(spark: SparkSession, path: str, state: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
     """Streams the Parquet files at path that the state has not seen into it; returns the state's
     latest rows: digest, group_size, keep_len, keep_id, file, row."""
@@ -48,7 +53,7 @@ def ingest(spark: SparkSession, path: str, state: str, digest: Callable[[Column]
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    best = F.max(F.struct("len", (-F.col("doc_id")).alias("neg_id"), "file", "row"))  # nulls are the least
+    best = _best()
     path = f"{path[:-1]}[{path[-1]}]"  # as a pattern, it may name one file or a folder
     keyed = _rows(reader.parquet(path), digest).groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best"))
     before = {k: spark.conf.get(k, None) for k in STORE}
@@ -74,7 +79,7 @@ def ingest(spark: SparkSession, path: str, state: str, digest: Callable[[Column]
         changes = spark.createDataFrame([], keyed.schema)
     # counts only grow, so the largest is the last
     last = changes.groupBy("digest").agg(F.max(F.struct("group_size", "best")).alias("s"))
-    return last.select("digest", "s.group_size", F.col("s.best.len").alias("keep_len"), (-F.col("s.best.neg_id")).alias("keep_id"), F.col("s.best.file").alias("file"), F.col("s.best.row").alias("row"))
+    return last.select("digest", "s.group_size", (-F.col("s.best.less")).alias("keep_len"), F.col("s.best.doc_id").alias("keep_id"), F.col("s.best.file").alias("file"), F.col("s.best.row").alias("row"))
 
 
 def dedup(spark: SparkSession, path: str, state: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -95,8 +100,7 @@ def dedup(spark: SparkSession, path: str, state: str | None = None, digest: Call
     out = plain.select("doc_id", "keep_id", "group_size", is_best.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     if some:
         clashing = rows.join(small(clash, 64), "digest", "left_semi")
-        best = F.max(F.struct("len", (-F.col("doc_id")).alias("neg_id"), "file", "row"))
-        apart = clashing.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), best.alias("b"))
+        apart = clashing.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), _best().alias("b"))
         told = clashing.join(apart, ["digest", "norm"])
-        out = out.unionByName(told.select("doc_id", (-F.col("b.neg_id")).alias("keep_id"), "group_size", ((F.col("file") == F.col("b.file")) & (F.col("row") == F.col("b.row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")))
+        out = out.unionByName(told.select("doc_id", F.col("b.doc_id").alias("keep_id"), "group_size", ((F.col("file") == F.col("b.file")) & (F.col("row") == F.col("b.row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")))
     return out

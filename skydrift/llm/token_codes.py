@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import full_address
 from .common import Workspace, local_or_remote, trim
 
 MAGIC, BLOCK = b"DACODES1", 512
@@ -273,6 +274,7 @@ def write_files(docs: DataFrame, out: str, vocabulary: str, end_id: int, tokens_
         ids, sizes, data = [], [], []
         trim()
 
+    out = full_address(docs.sparkSession, out)  # what tasks write through is what Spark means
     n = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return dealt.mapInArrow(task, "path string, part int, seq int, n_docs long, n_tokens long")
@@ -299,6 +301,7 @@ def read_files(manifest: DataFrame, out: str) -> DataFrame:
                 crcs = [zlib.crc32(codes.document(k).astype("<u4").tobytes()) for k in range(codes.n_docs)]
                 yield pa.RecordBatch.from_arrays([pa.array(codes.doc_ids, pa.int64()), pa.array(codes.offsets[:-1] + start), pa.array(np.diff(codes.offsets)), pa.array(crcs, pa.int64())], schema=DIGEST)
 
+    out = full_address(manifest.sparkSession, out)
     n = manifest.sparkSession.sparkContext.defaultParallelism
     return files.repartition(max(n, manifest.rdd.getNumPartitions())).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

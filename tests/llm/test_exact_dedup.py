@@ -58,3 +58,11 @@ def test_nulls_repeats_and_no_rows(spark, tmp_path):
     assert sum(r["kept"] for r in got) == 2
     path = stored(spark, table(spark, []), tmp_path / "e.parquet")
     assert exact_dedup.dedup(spark, path).collect() == []
+
+
+def test_ids_of_any_type_and_size(spark, tmp_path):
+    low, high = -(2**63), 2**63 - 1
+    path = stored(spark, docs(spark, ["a", "b"]).selectExpr("CASE WHEN doc_id = 0 THEN {} ELSE {} END AS doc_id".format(f"CAST('{low}' AS BIGINT)", f"CAST('{high}' AS BIGINT)"), "'same' AS text"), tmp_path / "d.parquet")
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.dedup(spark, path).collect()} == {(low, low, True), (high, low, False)}
+    path = stored(spark, spark.createDataFrame([("x2", "same"), ("x10", "sa me"), ("x3", "same"), (None, "same")], "doc_id string, text string"), tmp_path / "s.parquet")
+    assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup.dedup(spark, path).collect()} == {(i, "x10") for i in ("x2", "x10", "x3", None)}
