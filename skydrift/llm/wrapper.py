@@ -200,8 +200,15 @@ def _tells(name: str) -> bool:
 def _unmark(root: Node) -> None:
     """Names don't put outside what holds the text: the wrappers around the longest article where every article is
     within some, and without articles, those that hold MOST_TEXT of what is no link."""
+    todo = [root]
+    while todo:  # what can be reached without passing a mark
+        x = todo.pop()
+        if x.tag in ("article", "main"):
+            return
+        if not x.out:
+            todo.extend(k for k in x.kids if k.__class__ is Node)
     order = _order(root)
-    if not any(x.out and x.tag in WRAPPERS for x in order):
+    if not any(x.out for x in order):
         return
     parent = {id(k): x for x in order for k in x.kids if k.__class__ is Node}
     size: dict[int, int] = {}
@@ -215,10 +222,9 @@ def _unmark(root: Node) -> None:
         return out
 
     parts = [x for x in order if x.tag in ("article", "main")]
-    if parts:
-        if all(any(y.out for y in above(x)) for x in parts):
-            for y in above(max(parts, key=lambda x: size[id(x)])):
-                y.out = False
+    if parts:  # all of them within marks
+        for y in above(max(parts, key=lambda x: size[id(x)])):
+            y.out = False
     elif total := size[id(root)]:
         for x in order:
             if x.out and x.tag in WRAPPERS and size[id(x)] >= MOST_TEXT * total:
