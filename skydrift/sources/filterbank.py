@@ -8,12 +8,14 @@ short read a row, and nothing else of the file is touched.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import operator
 import os
 import struct
 import threading
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
@@ -32,6 +34,8 @@ STRINGS = frozenset("source_name rawdatafile".split())
 KINDS = {8: np.uint8, 16: np.uint16, 32: np.float32, 64: np.float64}
 SUFFIXES = (".fil", ".h5", ".hdf5")
 CHUNK = 4096
+#: How old the newest entry of a folder is before it is taken.
+SETTLED_NS = 50_000_000
 
 
 @dataclass
@@ -371,35 +375,47 @@ class FilterbankReader(DataSourceReader):
 
 
 class FilterbankStream(DataSourceStreamReader):
-    """Files of a folder. An offset is all file names that were there, each with its size and time of change, so a
-    batch is what an earlier offset lacks, whatever the order of names and times; a file that is written anew is
-    searched again, and one that is taken away leaves no gap. Files named by `done` (comma-separated) are passed
-    over; names that end in .part are not yet complete."""
+    """Files of a folder, in the order in which they came there. An offset is the place in that order up to which files
+    are taken: the time at which the last one came (when its entry last changed, which copying or moving it sets anew
+    whatever time its content has) and its name. So offsets stay small, a batch is what came after an earlier offset, a
+    file that is written anew is searched again, and one that is taken away leaves no gap. Files named by `done`
+    (comma-separated) are passed over; names that end in .part are not yet complete. files_per_batch bounds a batch of
+    a stream that has just begun; a stream that goes on takes all that came meanwhile at first."""
 
     def __init__(self, options: dict):
         self.folder, self.options = options["path"], options
         self.done = set(filter(None, options.get("done", "").split(",")))
+        self.most = int(options["files_per_batch"]) if "files_per_batch" in options else None
+        self.taken: dict | None = None  # the last offset that was given out, once it is known
 
     def initialOffset(self) -> dict:
-        return {}
+        self.taken = {"at": 0, "path": ""}
+        return self.taken
+
+    def came(self) -> list[tuple[int, str]]:
+        """When each file came, and its name; no file comes later with a place before the last one of these."""
+        while True:
+            out = []
+            for p in files_in(self.folder):
+                with contextlib.suppress(FileNotFoundError):  # taken away meanwhile
+                    out.append((os.stat(p).st_ctime_ns, p))
+            out.sort()
+            if not out or time.time_ns() - out[-1][0] > SETTLED_NS:
+                return [x for x in out if x[1] not in self.done]
+            time.sleep(SETTLED_NS / 1e9)  # clocks of file systems tick in some milliseconds; another file may come in the same tick
 
     def latestOffset(self) -> dict:
-        out = {}
-        for p in files_in(self.folder):
-            try:
-                s = os.stat(p)
-            except FileNotFoundError:  # taken away meanwhile
-                continue
-            if p not in self.done:
-                out[p] = f"{s.st_size}:{s.st_mtime_ns}"
-        return out
+        files = self.came()
+        if self.taken is not None:
+            files = [x for x in files if x > (self.taken["at"], self.taken["path"])][: self.most]
+        if files:
+            self.taken = {"at": files[-1][0], "path": files[-1][1]}
+        return self.taken or {"at": 0, "path": ""}
 
     def partitions(self, start: dict, end: dict) -> list[Unit]:
-        units, cut = [], Cut.of(self.options | {"lenient": "true"})  # a file that can't be read is a unit that says why
-        for p in sorted(end):
-            if start.get(p) != end[p]:
-                units += cut.units(p)
-        return units
+        cut = Cut.of(self.options | {"lenient": "true"})  # a file that can't be read is a unit that says why
+        after, upto = ((o["at"], o["path"]) for o in (start, end))
+        return [u for at, p in self.came() if after < (at, p) <= upto for u in cut.units(p)]
 
     def read(self, partition: Unit) -> Iterator[pa.RecordBatch]:
         return _rows([partition] if partition else [])  # Spark asks for nothing where there are no partitions

@@ -283,3 +283,27 @@ def test_filters_on_headers_open_fewer_windows(spark, tmp_path, monkeypatch):
     assert {r["unit_id"] for r in load().where("f_low > 1450 OR n_t = 3").collect()} == {k for k in whole if k[0] in "bc"}
     for r in whole.values():
         assert r["f_low"] < r["f_high"] and r["f_high"] == r["fch1"] + step * r["core_start"]
+
+
+def test_offsets_stay_small_and_batches_bounded(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        make(tmp_path / f"in/{9 - k}.fil", n_f=256, seed=k)
+    stream = fb.FilterbankStream({"path": str(tmp_path / "in"), "width": "256", "files_per_batch": "2"})
+    at, taken = stream.initialOffset(), []
+    for _ in range(4):
+        end = stream.latestOffset()
+        taken.append([fb.stem(u.location) for u in stream.partitions(at, end)])
+        at = end
+    assert taken == [["9", "8"], ["7", "6"], ["5"], []] and set(at) == {"at", "path"}
+    import os
+
+    make(tmp_path / "in/old.fil", n_f=256)
+    os.utime(tmp_path / "in/old.fil", (1, 1))  # its content is old, but it has just come
+    (tmp_path / "in/9.fil").unlink()
+    again = fb.FilterbankStream({"path": str(tmp_path / "in"), "width": "256", "files_per_batch": "2"})  # goes on where the other one stopped
+    end = again.latestOffset()
+    assert [fb.stem(u.location) for u in again.partitions(at, end)] == ["old"]
+    assert again.partitions(end, again.latestOffset()) == []
+    empty = fb.FilterbankStream({"path": str(tmp_path / "none")})
+    assert empty.partitions(empty.initialOffset(), empty.latestOffset()) == []

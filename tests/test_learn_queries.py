@@ -46,6 +46,11 @@ def test_training_rows_teach_a_classifier(spark, noise):
     assert set(n) == {"noise", "rfi_zero_drift", "technosignature_like"} and n["technosignature_like"] > 40 and n["rfi_zero_drift"] > 20
     model, _, right = learn.train(rows, trees=20)
     assert right > 0.9 and model.snr_max == rows.agg({"snr": "max"}).first()[0]
+    held = {}
+    for label, _, recall, k in model.recall:
+        held[label] = held.get(label, 0) + k
+        assert 0 <= recall <= 1
+    assert held == {label: k // 4 for label, k in n.items()}  # every fourth row of each label
     rows.unpersist()
 
 
