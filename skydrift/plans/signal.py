@@ -216,6 +216,7 @@ SNIP = PEAKS + """, hh AS (SELECT obs * 1000 + c AS hit_id, obs, c AS channel, d
 def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = samples(spark, d)
     h = dedoppler.hits(x, N_T, N_F, K_MAX, 3.0).select((F.col("obs") * 1000 + F.col("c")).alias("hit_id"), "obs", F.col("c").alias("channel"), "drift", "snr")
+    h = kept(h, "found")  # read by each of the measures
     return h, features.snippets(h, x, N_T)
 
 
