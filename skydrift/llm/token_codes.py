@@ -137,7 +137,7 @@ class Encoder:
     several blanks or line feeds in a row, are encoded as they are.
     """
 
-    most = 150_000  # pieces kept, and as many that have come before them
+    most = 400_000  # pieces kept, and as many that have come before them
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
