@@ -50,7 +50,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
 
 
 def test_registered():
-    assert [f"op{n}_" for n in range(1, 11)] == [q[: q.index("_") + 1] for q in queries.queries()]
+    assert [f"op{n}_" for n in range(1, 13)] == [q[: q.index("_") + 1] for q in queries.queries()]
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
