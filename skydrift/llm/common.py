@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import gc
 import itertools
 import uuid
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +16,8 @@ from ..sources.shared import shared_folder
 BATCH_ROWS = "2000"
 #: A side is broadcast only when a count shows that it stays below this many bytes.
 BROADCAST_BYTES = 48 << 20
-
-
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.split("[")[0] == "local"
+#: A row group of these tables: a task that writes or reads one holds about so much of it.
+GROUP_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,14 +38,12 @@ class Workspace:
     def at(self, tag: str) -> str:
         return f"{self.path}/{tag}"
 
-    def table(self, df: DataFrame, tag: str, few: bool = False, calm: bool = True) -> DataFrame:
+    def table(self, df: DataFrame, tag: str, few: bool = False) -> DataFrame:
         """Writes df below the shared folder and reads it back, which cuts its lineage. few: in a quarter as many files as
-        a shuffle has partitions (but one for each task that can run at a time), for tables that aren't costly to make. calm: see there."""
-        if calm:
-            self.calm()
+        a shuffle has partitions (but one for each task that can run at a time), for tables that aren't costly to make."""
         if few:
             df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
-        df.write.mode("overwrite").parquet(self.at(tag))
+        df.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(self.at(tag))
         return self.spark.read.schema(df.schema).parquet(self.at(tag))
 
     def free(self) -> None:
@@ -57,15 +51,6 @@ class Workspace:
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def calm(self) -> None:
-        """Executors' heaps grow with what passes through them and keep that size; a collection of all of a heap gives back
-        to the system what the next step doesn't need at once. Each executor gets some of these tiny tasks."""
-        if _is_local(self.spark):  # one JVM, of the machine's size
-            return
-        n = self.spark.sparkContext.defaultParallelism
-        with contextlib.suppress(PySparkException):  # where such calls aren't allowed, heaps stay as they are
-            self.spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
-
     def drop(self, tag: str = "") -> None:
         try:
             jvm = self.spark._jvm

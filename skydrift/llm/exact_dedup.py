@@ -96,7 +96,6 @@ def dedup(spark: SparkSession, path: str, state: str | None = None, digest: Call
     is_best = (F.col("file") == F.col("kfile")) & (F.col("row") == F.col("krow"))
     if some:
         plain = plain.join(clash, "digest", "left_anti")
-    work.calm()
     out = plain.select("doc_id", "keep_id", "group_size", is_best.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     if some:
         clashing = rows.join(small(clash, 64), "digest", "left_semi")

@@ -239,7 +239,6 @@ def _named(docs: DataFrame, work: Workspace) -> DataFrame:
     sure = fit if torn.isEmpty() else fit.join(small(torn, 80), "doc_id", "left_anti")
     names = fit.groupBy("group").agg((-1 - F.abs(F.min(F.xxhash64("digest")) % (1 << 62))).alias("other")).join(sure.groupBy("group").agg(F.min("doc_id").alias("least")), "group", "left")
     out = rows.join(names.select("group", F.coalesce("least", "other").alias("name")), "group", "left")
-    work.calm()
     return out.select("doc_id", "tkey", "n", "group", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("class_id"))
 
 

@@ -107,6 +107,6 @@ def roots(work: Workspace, found: DataFrame) -> DataFrame:
 def variants(spark: SparkSession, docs: DataFrame, least_length: int = 6, least_n: int = 5, times: int = 5, slip: int = 199) -> DataFrame:
     """One row a word of docs(doc_id, text): word, form, root, n, n_near, form_n."""
     work = Workspace(spark, "spelling")
-    vocabulary = work.table(words(docs, least_length, least_n, slip), "words", True, calm=False)
-    found = work.table(forms(vocabulary, times), "forms", True, calm=False)
+    vocabulary = work.table(words(docs, least_length, least_n, slip), "words", True)
+    found = work.table(forms(vocabulary, times), "forms", True)
     return found.join(roots(work, found), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

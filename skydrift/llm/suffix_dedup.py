@@ -14,7 +14,8 @@ likewise: more than fifty words that documents share have at least so many bytes
    column's part of the collection's Burrows-Wheeler order) and the common prefixes of neighbours in it.
    Neighbours that share 240 symbols, or 400, mark a start as repeated. Rounds are at most 577, whatever
    the length of the documents. The symbols of a batch of spans lie in an external file in the shared folder, column after column from the right, which
-   is written once and read once, in sequence; in memory are only order, common prefixes and runs, some 40 bytes a span.
+   is written once and read once, in sequence. A task also holds the bytes of the spans of its batch, which are written from there: a batch is the spans of whole
+   grams, some 2 MB, or those of one gram, at most `wide` times the bytes of a span; and order, common prefixes and runs, some 40 bytes a span.
 4. Marked starts go back to their documents as intervals.
 
 A whole-collection construction would take as many rounds as the longest document has bytes, each over
@@ -346,7 +347,6 @@ def _with_ranges(docs: DataFrame, work: Workspace, **how) -> DataFrame:
     got = work.table(intervals(keyed, work, **how), "intervals")
     for tag in ("live", "spans", "grams", "wants", "cut", "wide", "runs", "columns"):
         work.drop(tag)
-    work.calm()
     return keyed.join(got.hint("merge"), ["id", "tkey"], "left")
 
 
