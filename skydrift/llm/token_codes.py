@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -38,7 +39,6 @@ from .common import Workspace, local_or_remote, trim
 MAGIC, BLOCK = b"DACODES1", 512
 #: Encoded at once.
 TEXTS = 1000
-END = "<|endoftext|>"
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], tokens: np.ndarray) -> bytes:
@@ -134,7 +134,8 @@ class Encoder:
     A byte-level BPE splits a text before it merges anything, and always before a blank that follows
     something else than white space; around a line feed between two such characters; and before a
     comma or full stop that follows a letter. So pieces cut there give the same ids alone. Texts with other white space, or with
-    several blanks or line feeds in a row, are encoded as they are.
+    several blanks or line feeds in a row, are encoded as they are; so are those with one of the tokenizer's added tokens, which it
+    finds before it splits.
     """
 
     most = 400_000  # pieces kept, and as many that have come before them
@@ -144,6 +145,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.kept, self.old = Tokenizer.from_file(path), {}, {}
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        across = [t for t in added if " " in t or "\n" in t]  # these don't lie within a piece
+        self.across = re.compile("|".join(map(re.escape, across))) if across else None
         self.feed = np.array(self.tok.encode("\n", add_special_tokens=False).ids, "<u4")
         probe = [" probe", "été", " Größe", "日本語", "a", " ª"]
         whole = [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(probe, add_special_tokens=False)]
@@ -180,8 +185,8 @@ class Encoder:
             kept.update(dict.fromkeys(joined))
             new = new - joined
         joined = "".join([p[1:] if p[0] == "\n" else p for p in new])
-        if len(joined.split()) > 1 or joined.strip() != joined or END in joined:  # some piece isn't a plain word
-            odd = [p for p in new if END in p or len((p[1:] if p[0] == "\n" else "." + p).split()) != 1 or p[-1].isspace() or p[1:2].isspace()]
+        if len(joined.split()) > 1 or joined.strip() != joined or self.added.search(joined):  # some piece isn't a plain word
+            odd = [p for p in new if self.added.search(p) or len((p[1:] if p[0] == "\n" else "." + p).split()) != 1 or p[-1].isspace() or p[1:2].isspace()]
             kept.update(dict.fromkeys(odd))
             new = new.difference(odd)
         for p in new:
@@ -220,8 +225,10 @@ class Encoder:
         get, skip, out = self.kept.__getitem__, self.feed.nbytes, []
         for text, pieces in zip(texts, cut):
             try:
+                if self.across and self.across.search(text):
+                    raise TypeError(text)
                 out.append(b"".join(map(get, pieces))[skip:])
-            except TypeError:  # a None among them
+            except TypeError:  # a None among them, or an added token across pieces
                 out.append(array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes())
         return out
 

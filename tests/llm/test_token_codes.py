@@ -57,6 +57,17 @@ def test_every_character_is_cut_as_the_tokenizer_cuts():
 TEXTS = ["Hello, world.", None, "", "a  b\n\nc", "<|endoftext|> x", " lead", "trail ", "don't we'll 'twas. it,", "x\ty", "word " * 5000, "été, où. ça!"]
 
 
+def test_added_tokens_are_the_tokenizers(tmp_path):
+    """A vocabulary with added tokens of its own, within a word, of two words, and with a line feed."""
+    t = Tokenizer.from_file(VOCABULARY)
+    t.add_special_tokens(["<|turn|>", "<|a b|>"])
+    t.add_tokens(["<x>\n"])
+    t.save(str(tmp_path / "more.json"))
+    texts = ["hi <|turn|> you", "a<|turn|>b, c", "see <|a b|> there <|a", "b|> x", "end <x>\nnext", "<x> \n", "<|endoftext|>", "plain words, here."]
+    for text, got in zip(texts, tc.Encoder(str(tmp_path / "more.json"))(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_files_round_trip(spark, whole):
     d = with_clashes(docs(spark, TEXTS, first=3)).repartition(3)
     got = [tuple(r) for r in tc.encode(spark, d, VOCABULARY).orderBy("doc_id").collect()]
