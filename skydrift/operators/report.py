@@ -72,15 +72,13 @@ def summary(spark: SparkSession, root: str, out: str) -> tuple[DataFrame, dict,
     """All runs below root with their best candidate and flags, and a row of totals, as summary.csv and summary.html
     below out; (the table, warnings, the best run)."""
     runs = read_runs(spark, root)
-    rows = [(r["run"], f"{r['at']}/candidates.parquet") for r in runs.select("run", "at").toLocalIterator()]
-    found = None
-    for run, path in rows:
-        one = spark.read.parquet(path)
-        lacking = {c: F.lit(None).cast("boolean") for c in ("mirror_image", "multi_target") if c not in one.columns}
-        one = one.withColumns(lacking | {"run": F.lit(run)}).select("run", "hit_id", "frequency_mhz", "drift_rate_hz_s", "snr", "interest", "ai_class", "mirror_image", "multi_target")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    paths = [f"{r['at']}/candidates.parquet" for r in runs.select("at").toLocalIterator()]  # an address a run
+    if not paths:
         return runs.drop("at"), {}, {}
+    found = spark.read.option("mergeSchema", "true").parquet(*paths)  # one scan for all runs, whose columns may differ
+    lacking = {c: F.lit(None).cast("boolean") for c in ("mirror_image", "multi_target") if c not in found.columns}
+    found = found.withColumns(lacking | {"run": F.regexp_extract("_metadata.file_path", "/([^/]+)/candidates[.]parquet/", 1)})
+    found = found.select("run", "hit_id", "frequency_mhz", "drift_rate_hz_s", "snr", "interest", "ai_class", "mirror_image", "multi_target")
     table = rollup.per_run(runs.drop("at"), found)
     table = table.withColumn("flags", rollup.run_flags())
     notes = rollup.warnings(table).first().asDict()

@@ -107,6 +107,21 @@ def test_summary_of_runs(spark, tmp_path):
     assert "TOTAL" in spark.read.text(str(tmp_path / "sum/summary.html"), wholetext=True).first()[0]
 
 
+def test_summary_of_runs_with_other_columns(spark, tmp_path):
+    """Runs are read by one scan, whatever their number; what a run's table lacks is null for it alone."""
+    for k in range(12):
+        at = f"{tmp_path}/runs/r{k}"
+        row = spark.range(k, k + 1).selectExpr("cast(id as string) AS hit_id", "1400.0 + id AS frequency_mhz", "0.1D AS drift_rate_hz_s", "10.0D + id AS snr", "cast(id AS double) AS interest", "'noise' AS ai_class")
+        row = row.selectExpr("*", "true AS mirror_image") if k % 2 else row
+        row.write.parquet(f"{at}/candidates.parquet")
+        meta = {"title": at, "processed_utc": "2024-01-01T00:00:00", "config": {"max_drift_rate_hz_s": 4.0}, "stats": {"hits": 1, "channels": 5, "drift_searched_hz_s": 4.0}}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{at}/metadata.json")
+    table, _, best = report.summary(spark, str(tmp_path / "runs"), str(tmp_path / "sum"))
+    rows = {r["run"]: r for r in table.collect()}
+    assert best["run"] == "r11" and rows["TOTAL (12 runs)"]["hits"] == 12
+    assert all(rows[f"r{k}"]["best_mirror_image"] == bool(k % 2) and rows[f"r{k}"]["best_interest"] == k for k in range(12))
+
+
 class Server(BaseHTTPRequestHandler):
     posted: list = []
 
