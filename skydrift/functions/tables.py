@@ -1,8 +1,10 @@
 """Table functions for SQL: the search over any table of samples.
 
-    SELECT * FROM dedoppler_hits(k_max => 3, threshold => 10.0, samples => TABLE(SELECT obs, t, c, z FROM x) PARTITION BY obs)
+    SELECT * FROM dedoppler_hits(k_max => 3, threshold => 10.0, samples => TABLE(SELECT obs, t, c, z FROM x) PARTITION BY (obs, hash(obs)))
 
-A partition is one observation or unit; its rows come as Arrow batches, in any order.
+A partition is one observation or unit; its rows come as Arrow batches, in any order. Where x is dealt by obs already, as
+a join leaves it, Spark adds no exchange for PARTITION BY obs, and may later read the join's by the tasks that wrote it,
+which parts an observation. No join deals by the hash as well, so with it there always is an exchange of its own.
 """
 
 from __future__ import annotations

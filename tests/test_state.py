@@ -82,3 +82,23 @@ def test_table_function_without_hits(spark, threshold):
     tables.register(spark)
     x = spark.createDataFrame([(1, 0, 0, 1.0), (1, 1, 0, 1.0)], "obs long, t int, c int, z double")
     assert spark.sql("SELECT * FROM dedoppler_hits(k_max => 0, threshold => {t}, samples => TABLE(SELECT * FROM {x}) PARTITION BY obs)", x=x, t=threshold).count() == 0
+
+
+def test_table_function_over_a_join_has_an_exchange_of_its_own(spark, tmp_path):
+    from skydrift.plans import registry
+
+    rng = np.random.default_rng(4)
+    for k in range(4):  # each file ends amid an observation
+        rows = [(v, rng.normal(size=64).tolist()) for v in range(k * 88, (k + 1) * 88)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.mode("append").parquet(f"{tmp_path}/embeddings.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of large tables, whose join deals by obs
+    try:
+        found = registry.queries()["table_function_hits"](spark, str(tmp_path))
+        got = sorted((r["obs"], r["channel"], r["drift"], r["snr"]) for r in found.collect())
+        want = sorted((int(r["unit_id"]), r["channel"], r["drift"], r["snr"]) for r in registry.queries()["kernel_hits"](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == want and got
+    # the join's exchange may be read by the tasks that wrote it; this kind is never
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
