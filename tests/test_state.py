@@ -102,3 +102,10 @@ def test_table_function_over_a_join_has_an_exchange_of_its_own(spark, tmp_path):
     assert got == want and got
     # the join's exchange may be read by the tasks that wrote it; this kind is never
     assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_fold_runs_no_python_for_a_key(spark):
+    rows = [(f"o{i % 40}", i, i * 7 % 1000, 900, int(i % 5 == 0), f"v{1 + i // 150}", float(i * 13 % 20) if i % 3 else float("nan")) for i in range(400)]
+    found = state.folded(spark.createDataFrame([*rows, (None, 900, 1, 1, 0, "v1", 1.0)], VISIT).where("obs IS NOT NULL"))
+    assert {tuple(r) for r in found.collect()} == fold([(*r[:-1], None if r[-1] != r[-1] else r[-1]) for r in rows])
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
