@@ -129,3 +129,13 @@ def test_strongest_spikes_before_the_core(spark):
     z[1, 80:90] = 20 + np.arange(10)
     assert len(detect.spike_array(z, [], 9.0, 80, 100, first=85)) == 5 and len(detect.spike_array(z, [], 9.0, 80, 100)) == 10
     assert [r["channel"] for r in detect.spike_array(z, [], 9.0, 0, 100, most=2)] == [79, 78]
+
+
+def test_parts_grow_with_samples(spark, monkeypatch):
+    """A task of the drift search holds a part of the samples, not a share of them."""
+    monkeypatch.setattr(dedoppler, "PART", 256)
+    x = spark.range(16 * 16 * 64).select((F.col("id") / 1024).cast("int").alias("obs"), (F.col("id") % 16).cast("int").alias("t"), (F.col("id") / 16 % 64).cast("int").alias("c"), F.lit(1.0).alias("z"))
+    sums = dedoppler.tree_sums(x, 16, 64, 3)
+    assert sums.rdd.getNumPartitions() == dedoppler.path_sums(x, dedoppler.paths(spark, 16, 3), 64).rdd.getNumPartitions() == 64
+    assert {r[0] for r in sums.select("_block").distinct().collect()} == {0}
+    assert sums.where("k = 0 AND d = 0").agg(F.sum("power")).first()[0] == 16 * 16 * 64
