@@ -94,11 +94,14 @@ def apply_cadence(hits: DataFrame, events: DataFrame | None, status: str = "test
 
 
 def truth_join(injected: DataFrame, hits: DataFrame, n_t: int) -> DataFrame:
-    """For each injected tone the best rank of a hit within the channels it drifts through, and 4 more."""
+    """For each injected tone the best rank of a hit within the channels it drifts through, and 4 more. Of a channel's hits
+    only the best can be it, and tones of equal start and drift ask once, so pairs are made of channels, not of hits."""
     cond = F.abs(F.col("channel") - F.col("start_channel")) <= F.abs(F.col("true_drift") * n_t) + 4
     width = injected.agg(F.max(F.abs(F.col("true_drift") * n_t) + 4)).first()[0] or 1.0
-    met = bucketed(injected, hits.select("channel", "rank"), F.col("start_channel"), F.col("channel"), float(width), cond)
-    best = met.groupBy("tone_id").agg(F.min("rank").alias("best_rank"))
+    asked = injected.select("start_channel", "true_drift").distinct()
+    met = bucketed(asked, hits.groupBy("channel").agg(F.min("rank").alias("rank")), F.col("start_channel"), F.col("channel"), float(width), cond)
+    found = met.groupBy("start_channel", "true_drift").agg(F.min("rank").alias("best_rank"))
+    best = injected.join(found, ["start_channel", "true_drift"]).groupBy("tone_id").agg(F.min("best_rank").alias("best_rank"))
     return injected.join(best, "tone_id", "left")
 
 
