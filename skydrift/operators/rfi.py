@@ -35,16 +35,16 @@ def multi_target(hits: DataFrame, seen: DataFrame, tol_khz: float = 2.0, band_kh
     """hits(hit_id, target, frequency_mhz, interest) with multi_target: another target had a signal within
     tol_khz, or band_hits within band_khz; such hits keep a fifth of their interest.
 
-    `seen` is first summed by frequency and target, so a hit meets each frequency once. Frequencies at most
-    band_khz apart share buckets of that width."""
+    `seen` is first summed by frequency and target, and hits of one target and frequency ask once, so pairs are made of
+    frequencies, not of hits. Frequencies at most band_khz apart share buckets of that width."""
     s = seen.groupBy(F.col("frequency_mhz").alias("sf"), F.col("target").alias("st")).agg(F.count("*").alias("n"))
-    mine = hits.select("hit_id", "target", "frequency_mhz")
+    mine = hits.select("target", "frequency_mhz").distinct()
     tol, band = tol_khz / 1e3, band_khz / 1e3
     # as searches in sorted frequencies have it: at f - tol or above, and at f + tol or below
     inside = lambda t: F.col("sf").between(F.col("frequency_mhz") - t, F.col("frequency_mhz") + t)
     near = bucketed(mine, s, F.col("frequency_mhz"), F.col("sf"), band, F.expr("st <> target") & inside(band))
-    found = near.groupBy("hit_id").agg(F.sum(F.when(inside(tol), F.col("n")).otherwise(0)).alias("same"), F.sum("n").alias("band"))
-    marked = hits.join(found, "hit_id", "left").withColumn("multi_target", F.coalesce((F.col("same") > 0) | (F.col("band") >= band_hits), F.lit(False)))
+    found = near.groupBy("target", "frequency_mhz").agg(F.sum(F.when(inside(tol), F.col("n")).otherwise(0)).alias("same"), F.sum("n").alias("band"))
+    marked = hits.join(found, ["target", "frequency_mhz"], "left").select(*hits.columns, "same", "band").withColumn("multi_target", F.coalesce((F.col("same") > 0) | (F.col("band") >= band_hits), F.lit(False)))
     return marked.drop("same", "band").withColumn("interest", F.when(F.col("multi_target"), half_even(F.col("interest") * 0.2, 1)).otherwise(F.col("interest")))
 
 

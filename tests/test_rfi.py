@@ -1,6 +1,7 @@
 """Joins of hits by channel make pairs of channels, however many hits lie on one."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skydrift.operators import rfi
 
@@ -18,3 +19,17 @@ def test_tones_meet_channels_and_not_hits(spark):
     assert {(r["tone_id"], r["best_rank"]) for r in found.collect()} == set(best.items())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "min(rank" in plan[plan.rindex("Join Inner") :]
+
+
+def test_equal_frequencies_ask_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, f"T{k % 4}", 1000 + float(rng.integers(0, 300)) / 1000, 50.0) for k in range(300)] + [(900, None, 1000.1, 50.0), (901, "T1", None, 50.0)]
+    hits = spark.createDataFrame(rows, "hit_id long, target string, frequency_mhz double, interest double")
+    found = rfi.multi_target(hits, hits.select("target", "frequency_mhz"))
+    assert found.columns == [*hits.columns[:3], "interest", "multi_target"]
+    def other(t, f):
+        near = lambda w: sum(s is not None and t is not None and s != t and g is not None and f is not None and f - w <= g <= f + w for _, s, g, _ in rows)
+        return near(0.002) > 0 or near(0.025) >= 2
+    assert {(r["hit_id"], r["multi_target"]) for r in found.collect()} == {(k, other(t, f)) for k, t, f, _ in rows}
+    more = hits.union(hits.withColumn("hit_id", F.col("hit_id") + 1000))
+    assert rfi.multi_target(more, hits.select("target", "frequency_mhz")).where("multi_target").count() == 2 * found.where("multi_target").count()
