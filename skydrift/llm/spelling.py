@@ -7,7 +7,8 @@ square of the vocabulary, so what meets must also share the half of the word tha
 edit lies in one half, and the other is the same letter by letter. Each pair of near words meets in one place by
 rule (the first equal band; the first half where both are equal), so there are no duplicates to be removed. Then
 the edit distance is taken. Groups of words that meet are joined by equi-joins, which AQE splits where one is
-large; nothing is capped.
+large; nothing is capped. No side of a join is broadcast: all of them grow with the vocabulary, and Spark would size
+them by their compressed files, before they become several rows a word.
 
 Words are counted before they are shuffled, and only distinct ones are compared. Tables that are read several
 times lie in the shared folder. Null texts have no words, a null doc_id counts as an empty string where a run is
@@ -45,6 +46,11 @@ def words(docs: DataFrame, least_length: int = 6, least_n: int = 5, slip: int =
     return runs.select(word.alias("word")).where(F.length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_n)
 
 
+def merged(a: DataFrame, b: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """The join of two tables that grow with the vocabulary, by sorted exchanges."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
 def parity(word: str) -> Column:
     """The three bands of a word's mask. Letters go to the bands in turn, so frequent ones spread over all of them."""
     place = "(CASE WHEN ascii(c) < 128 THEN ascii(c) - 97 ELSE ascii(c) - 166 END)"
@@ -74,7 +80,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     size = F.col("size")
     a = side(F.concat(_ways(size, "replaced"), _ways(size - 1, "deleted")), "a")  # the longer one
     b = side(F.concat(_ways(size, "replaced"), _ways(size, "deleted")), "b")
-    met = a.join(b, ["edit", "len", "k", "h", "p", "q", "part"])
+    met = merged(a, b, ["edit", "len", "k", "h", "p", "q", "part"])
     earlier = [(F.col("k") <= j) | (F.col("bands_a")[j] != F.col("bands_b")[j]) for j in range(BANDS - 1)]
     half = F.floor(F.col("len") / 2).cast("int")
     first_half = (F.col("h") == 0) | (F.substring("word_a", F.lit(1), half) != F.substring("word_b", F.lit(1), half))
@@ -89,7 +95,7 @@ def forms(vocabulary: DataFrame, times: int = 5) -> DataFrame:
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("m"))))
     near = pair.select(both.alias("x")).select("x.*").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     enough = -F.col("best.m") >= F.col("n") * times
-    return vocabulary.join(near, "word", "left").select("word", F.when(enough, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(enough, -F.col("best.m")).alias("form_n"))
+    return merged(vocabulary, near, "word", "left").select("word", F.when(enough, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(enough, -F.col("best.m")).alias("form_n"))
 
 
 def roots(work: Workspace, found: DataFrame) -> DataFrame:
@@ -98,10 +104,10 @@ def roots(work: Workspace, found: DataFrame) -> DataFrame:
     links, i = work.table(found.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "links-0", True), 0
     while True:
         on = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        if links.join(on, "root", "left_semi").isEmpty():
+        if merged(links, on, "root", "left_semi").isEmpty():
             return links
         i += 1
-        links = work.table(links.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root")), f"links-{i}", True)
+        links = work.table(merged(links, on, "root", "left").select("word", F.coalesce("next", "root").alias("root")), f"links-{i}", True)
 
 
 def variants(spark: SparkSession, docs: DataFrame, least_length: int = 6, least_n: int = 5, times: int = 5, slip: int = 199) -> DataFrame:
@@ -109,4 +115,4 @@ def variants(spark: SparkSession, docs: DataFrame, least_length: int = 6, least_
     work = Workspace(spark, "spelling")
     vocabulary = work.table(words(docs, least_length, least_n, slip), "words", True)
     found = work.table(forms(vocabulary, times), "forms", True)
-    return found.join(roots(work, found), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return merged(found, roots(work, found), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

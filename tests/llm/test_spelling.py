@@ -129,3 +129,14 @@ def test_common_endings(spark, tmp_path):
     pairs = spelling.near_pairs(v).collect()
     assert len(pairs) == sum(one_edit(a, b) for i, a in enumerate(words) for b in words[:i])
     assert "CartesianProduct" not in spelling.near_pairs(v)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_is_broadcast(spark, tmp_path):
+    """Sides become several rows a word after Spark has sized them by their files, so none may go through the driver."""
+    v = spark.read.parquet(stored(spark, spark.createDataFrame([(f"spelled{a}{b}", 5 + 90 * (a == b)) for a in "abcdef" for b in "abcdef"], "word string, n long"), tmp_path / "v"))
+    found = spelling.forms(v)
+    assert found.where("form IS NOT NULL").count() > 0
+    work = spelling.Workspace(spark, "spelling-test")
+    for df in (spelling.near_pairs(v), found, spelling.roots(work, found), spelling.variants(spark, docs(spark, ["wordless wordlesz " * 5 + "wordless " * 30]))):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
