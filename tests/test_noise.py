@@ -40,7 +40,7 @@ def test_all_columns_or_every_third(spark):
         assert (r["med"], r["scale"]) == pytest.approx(noise(z, every))
 
 
-@pytest.mark.parametrize("name", ["dedoppler_hits", "nms_peaks"])
+@pytest.mark.parametrize("name", ["dedoppler_hits", "nms_peaks", "feature_vectors"])
 def test_snr_by_the_noise_of_all_columns(spark, folder, name):
     z = quiet_thirds()
     snr, _ = kernel.search(z.astype(float), K_MAX)  # by every third column
