@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag, half_even
+from .blocks import with_halo
 from .rangejoin import bucketed
 
 
@@ -31,21 +32,39 @@ def mirror_pairs(hits: DataFrame, tol: int = 3, ratio: float = 2.0) -> DataFrame
     return hits.join(marks, "hit_id", "left").withColumns({"mirror_pair": flag("mirror_pair"), "mirror_image": flag("mirror_image")})
 
 
-def multi_target(hits: DataFrame, seen: DataFrame, tol_khz: float = 2.0, band_khz: float = 25.0, band_hits: int = 2) -> DataFrame:
+def multi_target(hits: DataFrame, seen: DataFrame, tol_khz: float = 2.0, band_khz: float = 25.0, band_hits: int = 2, asked: DataFrame | None = None) -> DataFrame:
     """hits(hit_id, target, frequency_mhz, interest) with multi_target: another target had a signal within
-    tol_khz, or band_hits within band_khz; such hits keep a fifth of their interest.
+    tol_khz, or band_hits within band_khz; such hits keep a fifth of their interest. asked(target, frequency_mhz), if
+    given, has all that hits have, from where they cost less to read.
 
-    `seen` is first summed by frequency and target, and hits of one target and frequency ask once, so pairs are made of
-    frequencies, not of hits. Frequencies at most band_khz apart share buckets of that width."""
-    s = seen.groupBy(F.col("frequency_mhz").alias("sf"), F.col("target").alias("st")).agg(F.count("*").alias("n"))
-    mine = hits.select("target", "frequency_mhz").distinct()
+    `seen` is first summed by frequency and target, and hits of one target and frequency ask once. Frequencies are dealt in
+    blocks with a halo. A hit with another target in its bin of tol_khz, all of which lies within tol_khz of it, is settled.
+    Others send probes to the ends of their ranges; how many lie between them is the difference of running counts
+    over all targets, less that of their own. So no pairs are made."""
     tol, band = tol_khz / 1e3, band_khz / 1e3
+    near, reach = min(tol, band), max(band * 1.01, 1e-9)
+    f, t, n = F.col("frequency_mhz"), F.col("target"), F.col("n")
+    of = lambda df, n, asks: df.where(f.isNotNull() & t.isNotNull()).select("target", "frequency_mhz", F.lit(n).cast("long").alias("n"), F.lit(asks).alias("asks"))
+    asked = hits if asked is None else asked
+    cells = of(seen, 1, True) if asked is seen else of(seen, 1, False).unionByName(of(asked, 0, True))
+    cells = cells.groupBy("target", "frequency_mhz").agg(F.sum("n").alias("n"), F.bool_or("asks").alias("asks"))
+    x = with_halo(cells, f, 16 * reach, reach, reach).withColumn("_bin", F.floor(f / near) if near > 0 else f)
     # as searches in sorted frequencies have it: at f - tol or above, and at f + tol or below
-    inside = lambda t: F.col("sf").between(F.col("frequency_mhz") - t, F.col("frequency_mhz") + t)
-    near = bucketed(mine, s, F.col("frequency_mhz"), F.col("sf"), band, F.expr("st <> target") & inside(band))
-    found = near.groupBy("target", "frequency_mhz").agg(F.sum(F.when(inside(tol), F.col("n")).otherwise(0)).alias("same"), F.sum("n").alias("band"))
-    marked = hits.join(found, ["target", "frequency_mhz"], "left").select(*hits.columns, "same", "band").withColumn("multi_target", F.coalesce((F.col("same") > 0) | (F.col("band") >= band_hits), F.lit(False)))
-    return marked.drop("same", "band").withColumn("interest", F.when(F.col("multi_target"), half_even(F.col("interest") * 0.2, 1)).otherwise(F.col("interest")))
+    same = Window.partitionBy("_block", "_bin")
+    least, most = lambda c: F.min(F.when(n > 0, c)).over(same), lambda c: F.max(F.when(n > 0, c)).over(same)
+    settled = (least(f) >= f - near) & (most(f) <= f + near) & ((least(t) != t) | (most(t) != t))
+    x = x.withColumn("settled", F.coalesce(settled, F.lit(False))).withColumn("asks", F.col("asks") & F.col("_own"))
+    row = lambda pos, side, wide, n: F.struct(pos.alias("pos"), F.lit(side).alias("side"), F.lit(wide).alias("wide"), n.alias("m"))
+    none = F.lit(0).cast("long")
+    point, probes = row(f, 0, False, n), [row(f + side * w, side, wide, none) for w, wide in ((near, False), (band, True)) for side in (-1, 1)]
+    x = x.select("_block", "target", "frequency_mhz", "asks", "settled", F.explode(F.when(F.col("asks") & ~F.col("settled"), F.array(point, *probes)).otherwise(F.array(point))).alias("x"))
+    x = x.select("_block", "target", "frequency_mhz", "asks", "settled", "x.*")
+    upto = lambda *by: F.sum("m").over(Window.partitionBy("_block", *by).orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("others", F.col("side") * (upto() - upto("target"))).where((F.col("side") != 0) | (F.col("asks") & F.col("settled")))
+    many = lambda wide: F.sum(F.when(F.col("wide") == wide, F.col("others")).otherwise(0))
+    found = x.groupBy("_block", "target", "frequency_mhz").agg((F.bool_or("settled") | (many(False) > 0) | (many(True) >= max(band_hits, 1))).alias("multi_target")).drop("_block")
+    marked = hits.drop("multi_target").join(found, ["target", "frequency_mhz"], "left").select(*[c for c in hits.columns if c != "multi_target"], F.coalesce("multi_target", F.lit(False)).alias("multi_target"))
+    return marked.withColumn("interest", F.when(F.col("multi_target"), half_even(F.col("interest") * 0.2, 1)).otherwise(F.col("interest")))
 
 
 def testable(scans: DataFrame, keys: tuple[str, ...] = ("cadence",), min_on: int = 2) -> DataFrame:

@@ -1,5 +1,7 @@
 """Joins of hits by channel make pairs of channels, however many hits lie on one."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,3 +35,23 @@ def test_equal_frequencies_ask_once(spark):
     assert {(r["hit_id"], r["multi_target"]) for r in found.collect()} == {(k, other(t, f)) for k, t, f, _ in rows}
     more = hits.union(hits.withColumn("hit_id", F.col("hit_id") + 1000))
     assert rfi.multi_target(more, hits.select("target", "frequency_mhz")).where("multi_target").count() == 2 * found.where("multi_target").count()
+
+
+def test_frequencies_make_no_pairs(spark):
+    """Dense and sparse stretches, on both sides of blocks' and bins' edges, with and without hits that are settled early."""
+    rng = np.random.default_rng(4)
+    f = np.concatenate([1000 + rng.integers(0, 4000, 700) / 1e3, 2000 + rng.random(900) / 50, [0.0, -0.0, math.nan, math.inf, -5.0, 1000.0]])
+    rows = [(k, f"T{k % 5 if k % 3 else 0}", float(x), 50.0) for k, x in enumerate(f)] + [(9000, "T1", math.nan, 50.0), (9001, "T2", 0.0, 50.0)]
+    hits = spark.createDataFrame(rows, "hit_id long, target string, frequency_mhz double, interest double")
+    like = lambda a, b: a <= b or math.isnan(b)
+    for tol, band, least in ((2.0, 25.0, 2), (0.5, 3.0, 3), (0.0, 1.0, 1), (5.0, 1.0, 2)):
+        found = rfi.multi_target(hits, hits.select("target", "frequency_mhz"), tol, band, least)
+        def other(t, x):
+            near = [g for _, s, g, _ in rows if s != t and like(x - band / 1e3, g) and like(g, x + band / 1e3)]
+            return any(like(x - tol / 1e3, g) and like(g, x + tol / 1e3) for g in near) or len(near) >= least
+        assert {(r["hit_id"], r["multi_target"]) for r in found.collect()} == {(k, other(t, x)) for k, t, x, _ in rows}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Inner" not in plan and "Join LeftOuter" in plan
+        same = rfi.multi_target(hits, seen := hits.select("target", "frequency_mhz"), tol, band, least, seen)
+        marks = lambda df: sorted((r["hit_id"], r["multi_target"]) for r in df.collect())
+        assert marks(same) == marks(found)
