@@ -34,7 +34,8 @@ def scored(hits: DataFrame, cfg: dict) -> DataFrame:
     hits = hits.withColumns({"mirror_channel": rfi.mirror_channel(cfg["fine_channels"]), "stationary": score.stationary(cfg["samples"]), "known_rfi_band": in_bands("frequency_mhz", bands)})
     marked = rfi.mirror_pairs(hits, cfg["mirror_tol_channels"])
     found = score.interest(marked, cfg["snr_threshold"], cfg["snr_max"])
-    found = rfi.multi_target(found, hits.select("target", "frequency_mhz"), cfg["multi_target_tol_khz"], cfg["multi_target_band_khz"], cfg["multi_target_band_hits"])
+    seen = hits.select("target", "frequency_mhz")
+    found = rfi.multi_target(found, seen, cfg["multi_target_tol_khz"], cfg["multi_target_band_khz"], cfg["multi_target_band_hits"], seen)
     label = score.best_class([f"p_{c}" for c in cfg["classes"]])
     return score.set_aside(found.withColumn("ai_class", F.when(F.col("ood"), "out_of_distribution").otherwise(label)))
 

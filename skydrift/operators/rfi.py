@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import flag, half_even
 from .blocks import with_halo
+from .mirror import images
 from .rangejoin import bucketed
 
+#: Channels of a stretch, and hits of a task's part, in which mirror images are looked for.
+STRETCH, PART = 256, 1 << 16
+
 
 def mirror_channel(nfine: int, channel: str = "channel") -> Column:
     """Where the image of a channel about its coarse channel's centre lies."""
@@ -19,16 +23,17 @@ def mirror_channel(nfine: int, channel: str = "channel") -> Column:
 def mirror_pairs(hits: DataFrame, tol: int = 3, ratio: float = 2.0) -> DataFrame:
     """hits(hit_id, file, channel, mirror_channel, drift, snr) with mirror_pair and mirror_image.
 
-    A hit pairs with another of its file that lies within tol of its image with the opposite drift. Both
-    are images where their strengths are alike, else the weaker one is."""
-    a = hits.where("mirror_channel >= 0").select("file", F.col("hit_id").alias("i"), F.col("mirror_channel").alias("mc"), F.col("drift").alias("di"), F.col("snr").alias("si"))
-    b = hits.select(F.col("file").alias("file_j"), F.col("hit_id").alias("j"), F.col("channel").alias("cj"), F.col("drift").alias("dj"), F.col("snr").alias("sj"))
-    cond = F.expr("i <> j") & (F.abs(F.col("cj") - F.col("mc")) <= tol) & (F.abs(F.col("di") + F.col("dj")) <= F.greatest(F.lit(0.25), F.abs("di") * 0.1))
-    pairs = bucketed(a, b, F.col("mc"), F.col("cj"), tol, cond, ((F.col("file"), F.col("file_j")),))
-    alike = F.greatest("si", "sj") < F.least("si", "sj") * ratio
-    j_weak = (F.col("sj") < F.col("si")) | ((F.col("sj") == F.col("si")) & (F.col("j") < F.col("i")))
-    both = F.array(F.struct(F.col("i").alias("hit_id"), (alike | ~j_weak).alias("image")), F.struct(F.col("j").alias("hit_id"), (alike | j_weak).alias("image")))
-    marks = pairs.select(F.explode(both).alias("m")).groupBy("m.hit_id").agg(F.bool_or("m.image").alias("mirror_image"), F.lit(True).alias("mirror_pair"))
+    A hit pairs with another of its file that lies within tol whole channels of its image with the opposite drift. Both
+    are images where their strengths are alike (within a ratio, 1 at least), else the weaker one is. Hits are dealt by
+    stretches of channels; there each finds the strongest of its partners by searching, so no pairs are made."""
+    x = [F.col("drift").cast("double").alias("drift"), F.col("snr").cast("double").alias("snr"), "hit_id"]
+    side = lambda df, at, asks: df.where(F.col("file").isNotNull() & F.col(at).isNotNull() & F.col("drift").isNotNull() & F.col("hit_id").isNotNull()).select(F.lit(asks).alias("asks"), "file", F.col(at).cast("long").alias("at"), *x)
+    asking = with_halo(side(hits.where("mirror_channel >= 0"), "mirror_channel", True), F.col("at"), STRETCH, tol, tol).drop("_own")
+    asked = side(hits, "channel", False).withColumn("_block", F.floor(F.col("at") / STRETCH))
+    parts = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), hits.count() // PART)
+    dealt = asking.unionByName(asked).withColumn("_part", F.pmod(F.xxhash64("file", "_block"), F.lit(parts))).drop("_block")
+    found = dealt.groupBy("_part").applyInArrow(images(tol, ratio), f"hit_id {dict(hits.dtypes)['hit_id']}, image boolean")
+    marks = found.groupBy("hit_id").agg(F.bool_or("image").alias("mirror_image"), F.lit(True).alias("mirror_pair"))
     return hits.join(marks, "hit_id", "left").withColumns({"mirror_pair": flag("mirror_pair"), "mirror_image": flag("mirror_image")})
 
 
