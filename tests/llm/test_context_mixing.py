@@ -251,6 +251,19 @@ def test_words_seen_once_are_entered_everywhere(spark):
     assert [c.sum() for c in t.counts] == [2 * 8 * len("zebra ")] * cm.ORDERS
 
 
+def test_every_occurrence_is_entered(spark):
+    """Words and beginnings that they share count as often as words come in training texts, also where a float would be full."""
+    joined, times = b"\x00zebra \x00zebu \x00zen \x01zebra", np.array([3, 5, 0, 20_000_001])
+    merged = spark.createDataFrame([(cm.pack(joined, times, times),)], "words binary")
+    t = cm.Tables([bytes(r["data"]) for r in cm._counted(merged).orderBy("part").collect()])
+    want = 8 * (len("zebra ") * 20_000_004 + len("zebu ") * 5)
+    assert [c.sum(dtype=float) for c in t.counts] == pytest.approx([want] * cm.ORDERS, rel=1e-7)
+    rows, n = cm.training_rows(joined, times)
+    e = cm.Events(rows)
+    assert (rows, n.tolist()) == ([b"\x00zebra ", b"\x00zebu ", b"\x01zebra "], [3, 5, 20_000_001])
+    assert e.times(n)[e.cells[:3]].tolist() == [8, 8, 8] and e.times(np.ones(3)).tolist() == e.weight.tolist()
+
+
 def test_unseen_words_are_coded_alike_in_all_slices(spark, monkeypatch):
     """Words of one letter, which no training text has, one in each held-out text: with several slices their chances still
     add up to less than one."""
